@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm import bpe, decontam, tokenfiles
+from sylva.llm import bpe, decontam, neardup, simhash, substring, tokenfiles
 from sylva.llm.tables import small_batches, table
 
 
@@ -43,7 +43,19 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.checksums(spark, path).join(at, ["file", "at"]).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op6_decontaminate, op7_token_files)}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 50 words that also start in a smaller document, cut from every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.verdicts(substring.cut_repeats(docs))
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose SimHashes of 3-word shingles link at 3 bits or fewer."""
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, most_bits=3)
+    return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op6_decontaminate, op7_token_files, op8_substring_dedup, op10_near_duplicates)}
 
 _OP6 = r"""
 WITH i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark WHERE text IS NOT NULL),
@@ -58,4 +70,15 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(words.n_hit, 0) A
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_decontaminate": _OP6}
+_OP8 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, doc_id, p, md5(array_to_string(list_slice(w, p, p + 49), ' ')) AS h FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+first AS (SELECT h, min(doc_id) AS least FROM win GROUP BY h),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + 50)) AS q FROM win JOIN first USING (h) WHERE doc_id > least),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM d),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY q) AS text FROM words ANTI JOIN gone USING (r, q) GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_decontaminate": _OP6, "op8_substring_dedup": _OP8}

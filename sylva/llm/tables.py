@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch: texts can be long, and a batch is held by a Python worker as a whole.
-BATCH_ROWS = 256
+#: Rows of an Arrow batch, which a Python worker holds as a whole; Spark bounds its bytes besides.
+BATCH_ROWS = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
