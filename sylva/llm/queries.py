@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm import bpe, decontam, neardup, simhash, substring, tokenfiles
+from sylva.llm import bpe, decontam, fingerprint, neardup, simhash, substring, tokenfiles
 from sylva.llm.tables import small_batches, table
 
 
@@ -25,6 +25,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(short, vocabulary), vocabulary).unionByName(bpe.digests(bpe.decode(bpe.together(long), vocabulary), vocabulary))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    found = fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: simhash.as_hex(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents against all benchmark items."""
     small_batches(spark)
@@ -55,7 +61,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op6_decontaminate, op7_token_files, op8_substring_dedup, op10_near_duplicates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op4_fingerprints, op6_decontaminate, op7_token_files, op8_substring_dedup, op10_near_duplicates)}
 
 _OP6 = r"""
 WITH i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark WHERE text IS NOT NULL),
