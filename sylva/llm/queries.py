@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm import bpe, decontam, fingerprint, neardup, simhash, substring, tokenfiles
+from sylva.llm import bpe, chat, decontam, fingerprint, neardup, simhash, substring, tokenfiles
 from sylva.llm.tables import small_batches, table
 
 
@@ -17,6 +17,13 @@ def multilingual_vocabulary() -> bpe.Vocabulary:
     return bpe.Vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that quotes control strings, formatted in windows and read back."""
+    quoting = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.verdicts(chat.windows(rows.unionByName(spark.createDataFrame(quoting, "conv_id long, turn long, role string, text string"))))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every document; long ones by overlapping chunks."""
     small_batches(spark)
@@ -61,7 +68,27 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op4_fingerprints, op6_decontaminate, op7_token_files, op8_substring_dedup, op10_near_duplicates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_windows, op2_byte_bpe, op4_fingerprints, op6_decontaminate, op7_token_files, op8_substring_dedup, op10_near_duplicates)}
+
+_OP1 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, 4 + len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) AS tokens,
+  23 + length(role) + length(text) + len(regexp_extract_all(role, '\\|<\||</?s>|\[/?INST\]')) + len(regexp_extract_all(text, '\\|<\||</?s>|\[/?INST\]')) AS chars FROM c),
+s AS (SELECT conv_id, tokens AS sys_tokens, chars AS sys_chars FROM t WHERE pos = 1 AND role = 'system'),
+r AS (SELECT t.conv_id, pos, tokens, chars, greatest(2048 - 256 - coalesce(sys_tokens, 0), 256) AS stride, sum(tokens) OVER (PARTITION BY t.conv_id ORDER BY pos) - tokens AS start
+  FROM t LEFT JOIN s USING (conv_id) WHERE NOT (pos = 1 AND role = 'system')),
+w AS (SELECT *, 2 * (start // stride) + CASE WHEN (start + tokens - 1) // stride > start // stride THEN 1 ELSE 0 END AS win FROM r),
+f AS (SELECT conv_id, win, min(start) AS first, sum(chars) AS chars FROM w GROUP BY conv_id, win),
+h AS (SELECT f.conv_id, f.win, sum(r.chars) AS chars FROM f JOIN r ON r.conv_id = f.conv_id AND r.start < f.first AND r.start >= f.first - 256 GROUP BY f.conv_id, f.win),
+n AS (SELECT conv_id, sum(chars) AS chars FROM (
+  SELECT conv_id, chars FROM f UNION ALL SELECT conv_id, chars FROM h UNION ALL SELECT f.conv_id, sys_chars FROM f JOIN s USING (conv_id)
+  UNION ALL SELECT conv_id, sys_chars FROM s ANTI JOIN f USING (conv_id)) GROUP BY conv_id)
+SELECT t.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(any_value(n.chars) AS BIGINT) AS formatted_chars
+FROM t JOIN n USING (conv_id) GROUP BY t.conv_id
+"""
 
 _OP6 = r"""
 WITH i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark WHERE text IS NOT NULL),
@@ -87,4 +114,4 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k
 FROM d LEFT JOIN kept USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_decontaminate": _OP6, "op8_substring_dedup": _OP8}
+ORACLE_SQL: dict[str, str] = {"op1_chat_windows": _OP1, "op6_decontaminate": _OP6, "op8_substring_dedup": _OP8}
