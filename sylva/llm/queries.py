@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm import bpe, chat, decontam, fingerprint, neardup, simhash, substring, tokenfiles
-from sylva.llm.tables import small_batches, table
+from sylva.llm import bpe, chat, decontam, fingerprint, langid, neardup, quality, simhash, substring, tokenfiles, toxicity
+from sylva.llm.tables import id_residue, small_batches, table
 
 
 def multilingual_vocabulary() -> bpe.Vocabulary:
@@ -32,6 +32,35 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(short, vocabulary), vocabulary).unionByName(bpe.digests(bpe.decode(bpe.together(long), vocabulary), vocabulary))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those whose id's crc32 is not 1 modulo 3."""
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_residue(F.col("doc_id"), 3) == 1
+    model = langid.train(docs, ~held_out)
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+def _scored(spark: SparkSession, sf_dir: str, operator, label: str, modulus: int, residue: int) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_residue(F.col("doc_id"), modulus) == residue
+    model = operator.train(docs, table(spark, sf_dir, "labels"), label, ~held_out)
+    found = operator.score(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from labels whose id's crc32 is not 0 modulo 5."""
+    return _scored(spark, sf_dir, quality, "quality", 5, 0)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labels whose id's crc32 is not 2 modulo 4."""
+    return _scored(spark, sf_dir, toxicity, "toxic", 4, 2)
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how alike they are."""
     found = fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
@@ -68,7 +97,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_windows, op2_byte_bpe, op4_fingerprints, op6_decontaminate, op7_token_files, op8_substring_dedup, op10_near_duplicates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_windows, op2_byte_bpe, op3_language, op4_fingerprints, op5_quality, op6_decontaminate, op7_token_files, op8_substring_dedup, op9_toxicity, op10_near_duplicates)}
 
 _OP1 = r"""
 WITH c AS (
