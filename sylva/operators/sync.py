@@ -14,7 +14,7 @@ def debounced(changes: DataFrame, client: str, ts: str, order: list[str], gap_se
     A change within the gap of the one before restarts the wait, so a burst ends with a quiet gap.
     """
     rows = with_previous(changes.select(client, ts, *order), [client], [ts, *order], {ts: "before_"})
-    micros = lambda c: F.unix_micros(c)
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
     starts = F.when(F.col("before_").isNull() | (micros(F.col(ts)) - micros(F.col("before_")) >= int(gap_seconds * 1e6)), 1).otherwise(0).cast("long")
     numbered = running_sum(rows, [client], [ts, *order], starts, "burst_")
     return numbered.groupBy(client, "burst_").agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("n_changes"), F.max_by(F.col(order[-1]), F.struct(ts, *order)).alias("last")).drop("burst_")
