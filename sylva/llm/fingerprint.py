@@ -78,8 +78,12 @@ def succession(keys: DataFrame, order: list[str]) -> DataFrame:
     return led.select(*keys.columns, *(after[c].alias(f"next_{c}") for c in keys.columns))
 
 
+#: Stands for a null id in joins.
+_NO_ID = -(1 << 63)
+
+
 def _key(doc_id: Column) -> Column:
-    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)).cast("long"))
+    return F.coalesce(doc_id.cast("long"), F.lit(_NO_ID).cast("long"))
 
 
 def edited_likeness(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, queries_every: int = 20) -> DataFrame:
@@ -88,8 +92,9 @@ def edited_likeness(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, queries
     ``doc_id``, ``n_chars``, ``edited_sha256``, ``fingerprint`` and ``edited_fingerprint`` long, ``near_edited``,
     ``near_next``, and ``n_near``: for ids divisible by ``queries_every`` the documents within the search radius.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.select("doc_id", _key(F.col("doc_id")).alias("key_"), F.xxhash64("text").alias("hash_"), "text")
+    # both joins below take the same columns, so that they share one shuffle of the texts
+    texts = docs.select(_key(F.col("doc_id")).alias("key_"), F.coalesce("text", F.lit("")).alias("text")).select("key_", F.xxhash64("text").alias("hash_"), "text")
+    doc_id = F.when(F.col("key_") != _NO_ID, F.col("key_"))
     rows = texts.groupBy("key_", "hash_").agg(F.max(F.length("text")).cast("long").alias("n"))
     order = succession(rows, ["key_", "hash_"]).checkpoint()
 
@@ -100,7 +105,7 @@ def edited_likeness(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, queries
     own = texts.join(given, (F.col("key_") == F.col("to_key")) & (F.col("hash_") == F.col("to_hash")))
     n = F.length("text")
     edited = F.concat(F.left("text", n - F.floor(n / 2).cast("int")), F.col("start"))
-    both = own.select("doc_id", "key_", "hash_", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    both = own.select(doc_id.alias("doc_id"), "key_", "hash_", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
     both = both.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     # the sum of an edited text's votes carries its checksum as part of its key
     sides = F.explode(F.array(F.struct(F.lit("").alias("sha"), F.col("text").alias("text")), F.struct(F.col("edited_sha256").alias("sha"), F.col("edited").alias("text"))))
