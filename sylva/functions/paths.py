@@ -58,7 +58,7 @@ def any_segment_ignored(path: Column, patterns: tuple[str, ...]) -> Column:
     """Whether a segment starts with a pattern: an ignored directory takes its subtree along."""
     if not patterns:
         return F.lit(False)
-    return F.exists(F.split(path, "/", -1), lambda s: F.lit(False) if not patterns else _starts(s, patterns))
+    return F.exists(F.split(path, "/", -1), lambda s: _starts(s, patterns))
 
 
 def event_ignored(path: Column, patterns: tuple[str, ...]) -> Column:

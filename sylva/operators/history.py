@@ -72,14 +72,12 @@ def reach(history: DataFrame, starts: DataFrame, up: bool = True, most_hops: int
                 known = known.unionByName(n)
             frontier = frontier.join(known.select("tree", "start", "time_id"), ["tree", "start", "time_id"], "left_anti")
             news.append(frontier)
-        before = seen
         for n in news:
             seen = seen.unionByName(n)
         seen = seen.checkpoint()
         frontier = seen.where(F.col("hops") == hops)
         if frontier.isEmpty():
             return seen
-        del before
     raise RuntimeError(f"no end after {most_hops} hops")
 
 
