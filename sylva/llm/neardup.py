@@ -37,8 +37,8 @@ def shingle_prints(docs: DataFrame, shingle_words: int) -> DataFrame:
     """``doc_id``, ``node`` binary: the fingerprint of the text's word shingles, each as often as it occurs."""
     words = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.coalesce(F.length("text"), F.lit(0)).alias("_chars"), simhash.blank_words(simhash.ascii_lower(F.col("text"))).alias("_words"))
     prints = simhash.simhash(words, ["doc_id", "_text", "_chars"], "_words", shingle_words)
-    again = prints.where("copies > 1").withColumn("copies", F.explode(F.sequence(F.lit(2).cast("long"), F.col("copies"))))
-    return prints.unionByName(again).select("doc_id", "fingerprint", F.unhex(simhash.as_hex(F.col("fingerprint"))).alias("node"))
+    each = prints.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return each.select("doc_id", "fingerprint", F.unhex(simhash.as_hex(F.col("fingerprint"))).alias("node"))
 
 
 def word_set_prints(docs: DataFrame, prints: int = 4, least_words: int = 10) -> DataFrame:
