@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from sylva.functions import hashing, paths
 from sylva.operators.ordering import checkpoint_dir, positions
 
-#: Levels of a tree that are planned at once; deeper trees are checkpointed in between.
-_LEVELS_AT_ONCE = 6
-
 
 def file_nodes(files: DataFrame) -> DataFrame:
     """Files (``path``, ``blob_id``, ``size``, ``mtime`` in ms) as nodes; the time of change is part of the hash."""
@@ -38,26 +35,29 @@ def merkle_nodes(files: DataFrame, explicit_dirs: DataFrame | None = None) -> Da
     """
     checkpoint_dir(files.sparkSession)
     leaves = file_nodes(files)
-    dirs = directories(files, explicit_dirs).withColumn("depth", paths.depth(F.col("path")))
+    dirs = directories(files, explicit_dirs).withColumn("depth", paths.depth(F.col("path"))).checkpoint()
     deepest = dirs.agg(F.max("depth").alias("d")).first()["d"]
     columns = leaves.columns
-    below: DataFrame | None = None
+    lanes = [f"lane{k}" for k in range(4)]
+
+    def sums_of(nodes: DataFrame) -> DataFrame:
+        return nodes.groupBy(paths.parent(F.col("path")).alias("path")).agg(F.count("*").alias("n_children"), *hashing.set_lanes(F.col("hash")))
+
+    # all files are summed up in one pass, to a row for each directory
+    of_files = sums_of(leaves).checkpoint()
+    below = leaves.limit(0)
     done = [leaves]
     for level in range(deepest, -1, -1):
-        kids = leaves.where(paths.depth(F.col("path")) == level + 1).select("path", "hash")
-        if below is not None:
-            kids = kids.unionByName(below.select("path", "hash"))
-        sums = kids.groupBy(paths.parent(F.col("path")).alias("path")).agg(F.count("*").alias("n_children"), *hashing.set_lanes(F.col("hash")))
-        here = dirs.where(F.col("depth") == level).select("path").join(sums, "path", "left")
-        here = here.fillna(0, ["n_children"]).withColumns({f"lane{k}": F.coalesce(f"lane{k}", F.lit(0).cast("decimal(38,0)")) for k in range(4)})
+        own = dirs.where(F.col("depth") == level).select("path")
+        parts = of_files.join(own, "path", "left_semi").unionByName(sums_of(below))
+        sums = parts.groupBy("path").agg(F.sum("n_children").alias("n_children"), *(F.sum(x).cast("decimal(38,0)").alias(x) for x in lanes))
+        here = own.join(sums, "path", "left").select("path", F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"), *(F.coalesce(x, F.lit(0)).cast("decimal(38,0)").alias(x) for x in lanes))
         name = F.when(F.col("path") == paths.ROOT, F.lit(paths.ROOT)).otherwise(paths.basename(F.col("path")))
         digest = hashing.set_hash(F.lit("directory"), name, F.col("path"), F.col("n_children"))
         below = here.select(
             "path", name.alias("name"), F.lit("directory").alias("type"), (F.col("n_children") > 0).alias("is_parent"), "n_children",
             F.lit(None).cast("long").alias("size"), F.lit(None).cast("string").alias("blob_id"), F.lit(None).cast("long").alias("mtime"), digest.alias("hash"),
-        )
-        if (deepest - level) % _LEVELS_AT_ONCE == _LEVELS_AT_ONCE - 1:
-            below = below.checkpoint()
+        ).checkpoint()
         done.append(below)
     return reduce(DataFrame.unionByName, done).select(*columns)
 
