@@ -117,31 +117,29 @@ class Model:
 
 
 def fit_model(x: np.ndarray, lang: list[str]) -> Model:
-    """Fits rows of :func:`shares` and their languages."""
+    """Fits rows of :func:`shares` and their languages; scales ``x`` in place."""
     langs = sorted(set(lang))
     families = [family_of(k) for k in langs]
     names = sorted(set(families))
-    spread = np.sqrt((x * x).mean(axis=0)) + 1e-6 if len(x) else np.ones(x.shape[1])
-    scaled = (x / spread).astype(np.float32)
+    spread = np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)) + 1e-6 if len(x) else np.ones(x.shape[1])
+    x /= spread.astype(x.dtype)
     y = np.array([langs.index(k) for k in lang])
     columns, biases = [], []
 
-    def add(rows: np.ndarray, positive: np.ndarray, loss: str) -> None:
-        target = np.where(positive, 1.0, -1.0)
-        # classes weigh the same whatever their number of rows
-        weights = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum()))
-        w, b = fit(Dense(scaled[rows]), target, weights, loss, l2=1e-3, rounds=80)
+    def add(positive: np.ndarray, negative: np.ndarray, loss: str) -> None:
+        # classes weigh the same whatever their number of rows; other rows weigh nothing, so that none is copied
+        weights = positive * (0.5 / max(1, positive.sum())) + negative * (0.5 / max(1, negative.sum()))
+        w, b = fit(Dense(x), np.where(positive, 1.0, -1.0), weights, loss, l2=1e-3, rounds=80)
         columns.append(w / spread)
         biases.append(b)
 
     if len(names) > 1:
         of_row = np.array([families[k] for k in y])
         for f in names:
-            add(np.arange(len(y)), of_row == f, "logistic")
+            add(of_row == f, of_row != f, "logistic")
     pairs = [(i, j) for i, j in itertools.combinations(range(len(langs)), 2) if families[i] == families[j]]
     for i, j in pairs:
-        rows = np.flatnonzero((y == i) | (y == j))
-        add(rows, y[rows] == i, "hinge")
+        add(y == i, y == j, "hinge")
     return Model(langs, families, np.array(columns).T.reshape(x.shape[1], -1), np.array(biases), pairs)
 
 
@@ -163,7 +161,12 @@ def train(docs: DataFrame, train_rows, most: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], names=["lang", "shares"])
 
     got = sorted((r["lang"], bytes(r["shares"])) for r in chosen.select("lang", "text").mapInArrow(run, "lang string, shares binary").toLocalIterator())
-    return fit_model(np.frombuffer(b"".join(s for _, s in got), dtype="<f4").reshape(-1, DIMENSIONS), [k for k, _ in got])
+    x = np.empty((len(got), DIMENSIONS), dtype=np.float32)
+    for k, (_, row) in enumerate(got):
+        x[k] = np.frombuffer(row, dtype="<f4")
+    langs = [k for k, _ in got]
+    del got
+    return fit_model(x, langs)
 
 
 @functools.lru_cache(maxsize=2)
