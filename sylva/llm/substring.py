@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 WINDOW_WORDS = 50
 #: Bytes of text in a block, which one task holds at once.
 BLOCK_BYTES = 4 << 20
+_WORDS_AT_ONCE = 1 << 15
 _LAST_ID = (1 << 63) - 1
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -68,8 +69,13 @@ class Words:
         self.bounds = np.concatenate([[0], np.searchsorted(self.start, ends)])
         self.counts = np.diff(self.bounds)
         self.size = size
-        with np.errstate(over="ignore"):
-            self.hashes = _mix(_spans_hash(data.astype(np.uint64) + np.uint64(1), self.start, self.end, _BASES[0]) ^ (self.end - self.start).astype(np.uint64)) if len(self.start) else np.empty(0, np.uint64)
+        self.hashes = np.empty(len(self.start), np.uint64)
+        # some words at a time: prefix sums take several long integers for each byte
+        for at in range(0, len(self.start), _WORDS_AT_ONCE):
+            first, end = self.start[at : at + _WORDS_AT_ONCE], self.end[at : at + _WORDS_AT_ONCE]
+            part = data[first[0] : end[-1]].astype(np.uint64) + np.uint64(1)
+            with np.errstate(over="ignore"):
+                self.hashes[at : at + len(first)] = _mix(_spans_hash(part, first - first[0], end - first[0], _BASES[0]) ^ (end - first).astype(np.uint64))
         #: First words of the windows, and the text of each.
         per_text = np.maximum(self.counts - size + 1, 0)
         self.text = np.repeat(np.arange(len(texts)), per_text)
