@@ -8,6 +8,9 @@ are the groups.  Within a key only a spanning forest of the links is given, foun
 group of copies gives links in proportion to its size; keys of very many fingerprints are dealt out in cells, every
 pair of which meets in one.
 
+A SimHash can't tell a similarity of 0.8 from one of 0.7, so the pipeline's stage (:func:`keep_first`) finds its
+candidates by MinHash keys of the texts' 5-word shingles and checks each link on the whole shingle sets.
+
 Defined results: a null or blank text has fingerprint zero and is linked like any other; a null ``doc_id`` is never
 a group's id unless all its documents have none; rows of one ``doc_id`` are kept apart by their text, and rows
 that repeat each give their own result; further columns are ignored; an empty table gives an empty one.
@@ -15,6 +18,7 @@ that repeat each give their own result; further columns are ignored; an empty ta
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +35,11 @@ RADIUS = 3
 #: Fingerprints of one key that are compared in one task; more are dealt out in cells.
 CELL_ROWS = 16_384
 _ALL_PAIRS = 8
+#: MinHash keys of a text and values of each: two texts of similarity 0.8 share none with a chance of 3 in a million.
+BANDS, BAND_ROWS = 32, 5
+#: Bytes of the shingle sets of one key that are compared in one task; more are dealt out in cells.
+CELL_BYTES = 1 << 24
+_ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def shingle_prints(docs: DataFrame, shingle_words: int) -> DataFrame:
@@ -41,37 +50,6 @@ def shingle_prints(docs: DataFrame, shingle_words: int) -> DataFrame:
     return each.select("doc_id", "fingerprint", F.unhex(simhash.as_hex(F.col("fingerprint"))).alias("node"))
 
 
-def word_set_prints(docs: DataFrame, prints: int = 4, least_words: int = 10) -> DataFrame:
-    """``doc_id``, ``text_hash`` long, ``node`` binary: ``prints`` fingerprints of the text's different words, 8 bytes each.
-
-    Each different word votes once, so a changed word moves few bits and frequent words don't drown the others.  A
-    text of fewer than ``least_words`` words has its whole sequence as its only term.
-    """
-    seeds = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) for k in range(prints)], dtype=np.uint64)
-    lower = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        digest = xxhash.xxh64_intdigest
-        for batch in batches:
-            nodes = []
-            for text in batch.column("text").to_pylist():
-                words = (text or "").encode("utf-8", "surrogatepass").translate(lower).split()
-                terms = {b" ".join(words)} if 0 < len(words) < least_words else set(words)
-                if not terms:
-                    nodes.append(bytes(8 * prints))
-                    continue
-                h = _mix(np.array([digest(w) for w in terms], dtype=np.uint64)[:, None] ^ seeds)
-                votes = np.zeros(64 * prints, dtype=np.int64)
-                for at in range(0, len(h), 4096):
-                    votes += np.unpackbits(h[at : at + 4096].astype(">u8").view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
-                nodes.append(np.packbits(2 * votes > len(h)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes, type=pa.binary())], names=["doc_id", "text_hash", "node"])
-
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, node binary")
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -209,17 +187,21 @@ def spanning_links(prints: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.n
 def grouped(prints: DataFrame, most_bits: int = RADIUS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``prints`` (``doc_id``, ``node``, ...) with ``component_id``, the smallest ``doc_id`` of its group.
 
-    Fingerprints of 64 bits are linked exactly up to 3 bits.  Of several prints, those texts are linked that share a
-    key in one of them, which at most 3 differing bits there ensure, and differ in at most ``most_bits`` in all.
+    Fingerprints of 64 bits are linked exactly up to 3 bits.
     """
     checkpoint_dir(prints.sparkSession)
     prints = prints.checkpoint()
     nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    found = components(links(nodes, most_bits, cell_rows))
+    return _named(prints, nodes, links(nodes, most_bits, cell_rows))
+
+
+def _named(rows: DataFrame, nodes: DataFrame, found_links: DataFrame) -> DataFrame:
+    """``rows`` with ``component_id``, the smallest ``first_id`` of the nodes linked to a row's ``node``."""
+    found = components(found_links)
     rooted = nodes.join(found, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(smallest, "root").select("node", "component_id")
-    return prints.join(named, "node")
+    return rows.join(named, "node")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, most_bits: int = RADIUS) -> DataFrame:
@@ -229,12 +211,188 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, most_bits: int = RA
     return grouped(shingle_prints(docs, shingle_words), most_bits).select("doc_id", "fingerprint", "component_id")
 
 
-def keep_first(docs: DataFrame, prints: int = 4, most_bits: int = 22) -> DataFrame:
+def text_shingles(text: str | None, shingle_words: int) -> np.ndarray:
+    """The sorted hashes of a text's different shingles; one of fewer words has its whole sequence, a blank one none."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_ASCII_LOWER).split()
+    if not words:
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = min(shingle_words, len(h))
+    total = np.full(len(h) - n + 1, n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            total += h[k : len(h) - n + 1 + k]
+            total = _mix(total * np.uint64(0x9E3779B97F4A7C15))
+    return np.unique(total)
+
+
+def band_keys(shingles: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
+    """A key for each band of ``rows`` MinHash values; two sets share a given one with their similarity to the power ``rows``."""
+    seeds, factors = _hash_family(bands * rows)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(shingles), 512):
+            np.minimum(least, ((shingles[at : at + 512, None] ^ seeds) * factors).min(axis=0), out=least)
+        key = np.arange(bands, dtype=np.uint64)
+        for k in range(rows):
+            key = _mix((key + least[k::rows]) * np.uint64(0x9E3779B97F4A7C15))
+    return key.view(np.int64)
+
+
+@functools.lru_cache(maxsize=4)
+def _hash_family(n: int) -> tuple[np.ndarray, np.ndarray]:
+    x = _mix(np.arange(1, 2 * n + 1, dtype=np.uint64))
+    return x[:n], x[n:] | np.uint64(1)
+
+
+def shingle_keys(docs: DataFrame, shingle_words: int) -> DataFrame:
+    """``doc_id``, ``text_hash`` long, ``node`` binary (a hash of the text's shingle set), ``shingles`` long (their number), ``keys``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            nodes, sizes, keys = [], [], []
+            for text in batch.column("text").to_pylist():
+                own = text_shingles(text, shingle_words)
+                nodes.append(xxhash.xxh3_128_digest(own.tobytes()))
+                sizes.append(len(own))
+                keys.append(band_keys(own) if len(own) else np.empty(0, np.int64))
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "shingles", "keys"])
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, node binary, shingles long, keys array<long>")
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, shingle_words: int, least: float, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """``a``, ``b``: for every key of ``nodes`` a spanning forest of its sets with a Jaccard similarity of ``least`` or more.
+
+    Of keys with the same members one is compared.  Only the sets of texts that share a key are sent, and every link
+    is checked on the whole sets.
+    """
+    keyed_ = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "node", "shingles")
+    met = keyed_.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"), F.sum(8 * F.col("shingles")).alias("bytes")).where("n > 1")
+    chosen = met.groupBy("n", "members", "bytes").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("bytes") / cell_bytes).cast("long").alias("cells"))
+    members = keyed_.join(chosen, "key").select("key", "cells", "node").checkpoint()
+    wanted = members.select("node").distinct().join(nodes.select("node", "one"), "node")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [text_shingles(text, shingle_words).tobytes() for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "set"])
+
+    texts = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("one"), "text")
+    sent = texts.join(wanted, texts["one"].eqNullSafe(wanted["one"])).select("node", "text").mapInArrow(sets, "node binary, set binary")
+    own = F.pmod(F.xxhash64("node"), F.col("cells"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
+    dealt = members.withColumn("own", own).withColumn("other", other).select("key", "node", (F.least("own", "other") * F.col("cells") + F.greatest("own", "other")).alias("cell"))
+    rows = dealt.join(sent.groupBy("node").agg(F.first("set").alias("set")), "node")
+    rows = rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, run_nodes, run_sets = None, [], []
+        for batch in batches:
+            for key, cell, node, packed in zip(*(batch.column(c).to_pylist() for c in ("key", "cell", "node", "set"))):
+                if (key, cell) != at:
+                    yield from _similar(run_nodes, run_sets, least)
+                    at, run_nodes, run_sets = (key, cell), [], []
+                run_nodes.append(node)
+                run_sets.append(np.frombuffer(packed, np.uint64))
+        yield from _similar(run_nodes, run_sets, least)
+
+    return rows.select("key", "cell", "node", "set").mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _similar(nodes: list[bytes], sets: list[np.ndarray], least: float) -> Iterator[pa.RecordBatch]:
+    if len(pairs := similar_pairs(sets, least)):
+        yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in side], pa.binary()) for side in zip(*pairs)], names=["a", "b"])
+
+
+def similar_pairs(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the graph that links sets with a Jaccard similarity of ``least`` or more.
+
+    Rows gather round pivots as in :func:`spanning_links`; 1 - similarity is a metric too.
+    """
+    if len(sets) < 2:
+        return []
+    sizes = np.array([len(s) for s in sets])
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    # values of a single set are in no intersection
+    shared = np.bincount(ids, minlength=len(values))[ids] > 1
+    ids, owner = ids[shared], owner[shared]
+    bounds = np.searchsorted(owner, np.arange(len(sets) + 1))
+    marked = np.zeros(len(values), bool)
+
+    def likeness(x: int, rows: np.ndarray, of: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Of set ``x`` and each of ``rows``, whose values are ``of`` at places ``place`` of ``rows``."""
+        mine = ids[bounds[x] : bounds[x + 1]]
+        marked[mine] = True
+        common = np.bincount(place[marked[of]], minlength=len(rows))
+        marked[mine] = False
+        return common / (sizes[x] + sizes[rows] - common)
+
+    def values_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts = bounds[rows + 1] - bounds[rows]
+        place = np.repeat(np.arange(len(rows)), counts)
+        return ids[np.arange(len(place)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(bounds[rows], counts)], place
+
+    rest, links_, pivots, members, near = np.arange(len(sets)), [], [], [], []
+    of, place = ids, owner
+    while len(rest):
+        alike = likeness(rest[0], rest, of, place)
+        alike[0] = 1.0
+        in_ = alike >= least
+        pivots.append(int(rest[0]))
+        members.append(rest[in_])
+        links_ += [(pivots[-1], int(x)) for x in rest[in_][1:]]
+        near.append(rest[~in_ & (alike >= 1 - 3 * (1 - least) - 1e-9)])
+        held = ~in_[place]
+        of, place = of[held], (np.cumsum(~in_) - 1)[place[held]]
+        rest = rest[~in_]
+    number = {x: k for k, x in enumerate(pivots)}
+    root = list(range(len(pivots)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for i in range(len(pivots)):
+        for x in near[i]:
+            j = number.get(int(x))
+            if j is None or find(i) == find(j) or len(members[i]) == len(members[j]) == 1:
+                continue
+            few, many = sorted((members[i], members[j]), key=len)
+            of, place = values_of(many)
+            for y in few:
+                hit = np.flatnonzero(likeness(y, many, of, place) >= least)
+                if len(hit):
+                    links_.append((int(y), int(many[hit[0]])))
+                    root[find(i)] = find(j)
+                    break
+    return links_
+
+
+def alike(docs: DataFrame, shingle_words: int = 5, least: float = 0.8, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``component_id``: groups of texts whose different shingles have a Jaccard similarity of ``least``."""
+    checkpoint_dir(docs.sparkSession)
+    rows = shingle_keys(docs, shingle_words).checkpoint()
+    one = F.struct("doc_id", "text_hash")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(one).alias("one"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys")).checkpoint()
+    return _named(rows.select("doc_id", "text_hash", "node"), nodes.select("node", "first_id"), similar_links(docs, nodes, shingle_words, least, cell_bytes)).select("doc_id", "text_hash", "component_id")
+
+
+def keep_first(docs: DataFrame, shingle_words: int = 5, least: float = 0.8) -> DataFrame:
     """``docs`` without the documents of a group other than the one of the smallest ``doc_id``.
 
-    With 4 prints of the texts' different words, texts whose 5-word shingles have a Jaccard similarity of 0.8 differ in
-    some 18 of 256 bits, so the default leaves room for chance.  Rows with a null ``doc_id`` stay.
+    Texts are linked if their different shingles have a Jaccard similarity of ``least`` or more.  Rows with a null
+    ``doc_id`` stay.
     """
-    found = grouped(word_set_prints(docs, prints), most_bits)
+    found = alike(docs, shingle_words, least)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
     return docs.join(gone, (docs["doc_id"] == F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_hash")), "left_anti")

@@ -139,6 +139,73 @@ def test_keep_first(spark):
     assert not {201, 202} & ids and 200 in ids
 
 
+def five_word_shingles(text):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def similarity(a, b):
+    a, b = five_word_shingles(a), five_word_shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def edited(rng, words, changes):
+    words = list(words)
+    for at in rng.sample(range(len(words)), changes):
+        words[at] = f"new{rng.randrange(10**9)}"
+    return words
+
+
+def test_keep_first_keeps_what_is_below_the_similarity(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(30):
+        words = [f"w{rng.randrange(3000)}" for _ in range(200)]
+        changed = words[::-1] if k % 3 == 0 else edited(rng, words, 9 if k % 3 == 1 else 6)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changed))]
+    assert all(similarity(rows[k][1], rows[k + 1][1]) < 0.8 for k in range(0, 60, 2))
+    assert {r["doc_id"] for r in neardup.keep_first(documents(spark, rows)).collect()} == set(range(60))
+
+
+def test_keep_first_odd_rows_and_cells(spark):
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+    rows = [(k, " ".join(edited(rng, base, k % 3))) for k in range(40)] + [(None, " ".join(edited(rng, base, 1))), (50, "a b"), (51, "b a")]
+    df = documents(spark, rows)
+    got = [sorted(map(repr, neardup.alike(df, cell_bytes=n).collect())) for n in (1 << 24, 4096)]
+    assert got[0] == got[1]
+    assert sorted(map(repr, (r["doc_id"] for r in neardup.keep_first(df).collect()))) == ["0", "50", "51", "None"]
+
+
+def test_similar_pairs_span_the_groups():
+    rng = np.random.default_rng(8)
+    sets, at = [], np.arange(60, dtype=np.uint64)
+    for k in range(120):
+        if k % 40 == 0:
+            at = rng.integers(0, 1 << 62, 60, dtype=np.uint64)
+        at = at.copy()
+        changed = rng.choice(60, rng.integers(1, 13), replace=False)
+        at[changed] = rng.integers(0, 1 << 62, len(changed), dtype=np.uint64)
+        sets.append(np.unique(at))
+    label, want = list(range(len(sets))), list(range(len(sets)))
+
+    def join(names, i, j):
+        return [names[i] if v == names[j] else v for v in names]
+
+    alike = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8
+    for i in range(len(sets)):
+        for j in range(i):
+            if alike(i, j):
+                want = join(want, j, i)
+    pairs = neardup.similar_pairs(sets, 0.8)
+    assert len(pairs) < len(sets) and all(alike(i, j) for i, j in pairs)
+    for i, j in pairs:
+        label = join(label, i, j)
+    groups_of = lambda names: sorted(tuple(k for k, v in enumerate(names) if v == n) for n in set(names))
+    assert groups_of(label) == groups_of(want)
+    assert 3 < len(set(want)) < 100
+
+
 def test_edited_likeness(spark):
     rows = [(i, t) for i, t in corpus() if i != 5] + [(5, "x y z")] * 2
     got = {(r["doc_id"], r["n_chars"], r["edited_sha256"]): r for r in fingerprint.edited_likeness(documents(spark, rows)).collect()}
