@@ -167,6 +167,20 @@ def test_keep_first_keeps_what_is_below_the_similarity(spark):
     assert {r["doc_id"] for r in neardup.keep_first(documents(spark, rows)).collect()} == set(range(60))
 
 
+def test_keep_first_finds_planted_copies(spark):
+    rng = random.Random(6)
+    rows, want = [], set()
+    for k in range(400):
+        # few different words, many repeats: the sets of words of a text and its copy are less alike than the shingles
+        vocabulary = 3000 if k % 2 else 40
+        words = [f"w{rng.randrange(vocabulary)}" for _ in range(rng.randrange(150, 600))]
+        a, b = " ".join(words), " ".join(edited(rng, words, int(len(words) * rng.uniform(0.008, 0.026))))
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        want |= {2 * k} if similarity(a, b) >= 0.8 else {2 * k, 2 * k + 1}
+    assert 200 < 800 - len(want) < 400
+    assert {r["doc_id"] for r in neardup.keep_first(documents(spark, rows)).collect()} == want
+
+
 def test_keep_first_odd_rows_and_cells(spark):
     rng = random.Random(7)
     base = [f"w{rng.randrange(500)}" for _ in range(150)]
