@@ -220,6 +220,13 @@ def test_similar_pairs_span_the_groups():
     assert 3 < len(set(want)) < 100
 
 
+def test_keep_first_short_texts(spark):
+    words = "one two three four five six seven eight nine".split()
+    rows = [(1, " ".join(words)), (2, " ".join(words[:8])), (3, " ".join(words[:7])), (4, "one two three four"), (5, "one two three")]
+    # 8 of 9 words have 4 of 5 shingles in common, 7 of 8 words 3 of 4
+    assert {r["doc_id"] for r in neardup.keep_first(documents(spark, rows)).collect()} == {1, 3, 4, 5}
+
+
 def test_edited_likeness(spark):
     rows = [(i, t) for i, t in corpus() if i != 5] + [(5, "x y z")] * 2
     got = {(r["doc_id"], r["n_chars"], r["edited_sha256"]): r for r in fingerprint.edited_likeness(documents(spark, rows)).collect()}
