@@ -81,8 +81,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     path = tokenfiles.scratch_path(spark, "op7")
     tokenfiles.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
-    at = tokenfiles.starts(spark, path).drop("doc_id")
-    return tokenfiles.checksums(spark, path).join(at, ["file", "at"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return tokenfiles.with_starts(spark, path, tokenfiles.checksums(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

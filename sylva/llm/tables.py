@@ -19,5 +19,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def id_residue(doc_id: Column, modulus: int) -> Column:
-    """crc32 of the id's decimal text, modulo ``modulus``; null for a null id."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % modulus
+    """crc32 of the id's decimal text, modulo ``modulus``; -1 for a null id, which is in no part of a split."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1))
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """``name`` with as many underscores behind it as it takes to be none of ``columns``, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -13,21 +13,20 @@ gives no rows.
 from __future__ import annotations
 
 import functools
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sylva.llm.bpe import text_blocks
 
 #: Different words whose ids a task remembers; the oldest go beyond that.
-WORDS_KEPT = 400_000
-_BLOCK_CHARS = 1 << 20
+WORDS_KEPT = 200_000
+_BLOCK_CHARS = 1 << 22
 
 
 @functools.lru_cache(maxsize=2)
@@ -43,11 +42,12 @@ def _tokenizer(path: str):
 
 
 class WordEncoder:
-    """Encodes whole texts, each different word but once as long as it is remembered.
+    """Encodes many texts at once, each different word of them a single time.
 
-    A pre-token starts wherever a run of white space starts, so a text can be cut before every blank that
-    follows another character than white space, and the ids of the words are those of the text.  New words
-    are encoded many at a time in one string and told apart by the bytes of their tokens.
+    No pre-token runs on from a character other than white space to white space, nor from an ASCII letter or digit to a
+    comma or full stop, so texts can be cut at those places and the ids of the words are those of the text.  Arrow
+    finds the different words and puts their ids in the words' places.  Ids of words seen before are remembered; new
+    words are encoded many at a time in one string and told apart by the bytes of their tokens.
     """
 
     def __init__(self, path: str):
@@ -56,59 +56,79 @@ class WordEncoder:
         self.n_bytes = np.zeros(max(tokens.values()) + 1, dtype=np.int64)
         for token, i in tokens.items():
             self.n_bytes[i] = len(token)  # a byte-level token is spelt with one character for each byte
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self._cut(t) for t in texts]
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def encode(self, texts: pa.StringArray, end_id: int | None = None) -> pa.ListArray:
+        """The ids of each text as int32, ``end_id`` last if there is one."""
+        ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        first = word_starts(data, ends)
+        words = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.append(first, len(data)).astype(np.int32)), pa.py_buffer(data)])
+        coded = words.dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        self._learn(different)
+        own = [self.known[w] for w in different]
+        if end_id is not None:
+            own.append(np.int32(end_id).tobytes())
+        offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in own])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(own), np.int32)))
+        codes, bounds = coded.indices.to_numpy(), np.searchsorted(first, ends)
+        if end_id is not None:
+            codes = np.insert(codes, bounds[1:], len(own) - 1)
+            bounds = bounds + np.arange(len(bounds))
+        placed = lists.take(pa.array(codes))
+        at = np.frombuffer(placed.buffers()[1], np.int32, len(placed) + 1, 4 * placed.offset)
+        return pa.ListArray.from_arrays(pa.array(at[bounds] - at[0]), placed.flatten())
+
+    def _learn(self, words: list[bytes]) -> None:
         if len(self.known) > WORDS_KEPT:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new = set().union(*cut).difference(known)
+        new = [w for w in words if w not in known]
         if older:
-            again = new.intersection(older)
-            known.update((w, older[w]) for w in again)
-            new -= again
-        joined = [w for w in new if w[0] in " \n" and not w[-1].isspace()]
+            known.update((w, older[w]) for w in new if w in older)
+            new = [w for w in new if w not in known]
+        texts = {w: w.decode() for w in new}
+        # words that start with white space and don't end with it keep their ids when they are joined
+        joined = [w for w, t in texts.items() if t[0] in " \n" and not t[-1].isspace()]
         for at in range(0, len(joined), 500):
-            self._learn(joined[at : at + 500])
+            self._learn_joined(joined[at : at + 500])
         alone = [w for w in new if w not in known]
-        for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+        for w, e in zip(alone, self.tokenizer.encode_batch_fast([texts[w] for w in alone], add_special_tokens=False)):
             known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        ids = (map(known.__getitem__, words) if words else (self._whole(t),) for t, words in zip(texts, cut))
-        return [np.frombuffer(b"".join(x), dtype="<u4") for x in ids]
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Words that start with white space and don't end with white space keep their ids when they are joined."""
-        ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.cumsum(self.n_bytes[ids])
-        cuts = np.searchsorted(ends, np.cumsum([len(w.encode()) for w in words])) + 1
+    def _learn_joined(self, words: list[bytes]) -> None:
+        ids = np.asarray(self.tokenizer.encode_batch_fast([b"".join(words).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(w) for w in words])) + 1
         raw, at = ids.tobytes(), 0
         for w, end in zip(words, (cuts * 4).tolist()):
             self.known[w] = raw[at:end]
             at = end
 
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        """Strings whose ids, one after the other, are those of the text; none if it can't be cut so."""
-        if _ODD.search(text):
-            return []
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _OTHER_BLANKS.search(text):
-            return re.findall(r"\s*\S+|\s+", text)
-        marked = text.replace(" ", "\x00 ").replace("\n", "\x00\n")
-        if not _SIGNS_MEET.search(text):
-            marked = marked.replace(",", "\x00,").replace(".", "\x00.")
-        return list(filter(None, marked.split("\x00")))
+
+_BLANK, _ALNUM, _STOP = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_STOP[[44, 46]] = True
 
 
-#: The mark itself, and characters that are white space to Python's patterns alone.
-_ODD = re.compile(r"[\x00\x1c-\x1f]")
-_OTHER_BLANKS = re.compile(r"[^\S \n]")
-#: A comma or full stop behind a letter or digit always starts a pre-token, behind another sign it needn't.
-_SIGNS_MEET = re.compile(r"[\W_][,.]")
+def word_starts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where UTF-8 texts that end at ``ends[1:]`` can be cut so that the ids of the parts are those of the texts."""
+    blank, n = _BLANK[data], len(data)
+    cut = np.zeros(n + 1, bool)
+    cut[1:n] = (blank[1:] & ~blank[:-1]) | (_STOP[data[1:]] & _ALNUM[data[:-1]])
+    # behind a letter of several bytes, if it isn't white space
+    at = np.flatnonzero(cut[:n])
+    at = at[data[at - 1] >= 128]
+    if len(at):
+        one, two, three = data[at - 1], data[at - 2], data[np.maximum(at - 3, 0)]
+        general = (three == 0xE2) & (((two == 0x80) & ((one <= 0x8A) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF))) | ((two == 0x81) & (one == 0x9F)))
+        wide = ((three == 0xE1) & (two == 0x9A) | (three == 0xE3) & (two == 0x80)) & (one == 0x80)
+        cut[at[general | wide | ((two == 0xC2) & ((one == 0x85) | (one == 0xA0)))]] = False
+    cut[ends[ends < n]] = True
+    return np.flatnonzero(cut[:n])
 
 
 @functools.lru_cache(maxsize=1)
@@ -124,11 +144,8 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         encoder = _word_encoder(tokenizer_path)
         for batch in batches:
             for part in text_blocks(batch, "text", _BLOCK_CHARS):
-                ids = encoder.encode(part.column("text").to_pylist())
-                sizes = np.array([len(x) + 1 for x in ids], dtype=np.int64)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                flat = np.concatenate([y for x in ids for y in (x, (end_id,))]).astype(np.int32) if ids else np.empty(0, np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "n_tokens", "ids"])
+                ids = encoder.encode(part.column("text"), end_id)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids.value_lengths().cast(pa.int64()), ids], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
@@ -136,14 +153,15 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, files: int | None = None, row_group_bytes: int = 16 << 20, page_bytes: int = 64 << 10, page_rows: int = 2_000, ids_encoding: str = "dictionary") -> None:
     """Writes the ids of every text in ascending ``doc_id`` order; the names of the files sort like their ranges.
 
-    Texts are dealt by ranges of ``doc_id`` before they are encoded: they are smaller than their ids.
+    Texts are dealt by ranges of ``doc_id``, their hash and their place in the input before they are encoded: they are
+    smaller than their ids, and an id that very many rows share is spread over ranges too.
     ``ids_encoding`` is ``dictionary`` or ``delta``; ``files`` defaults to Spark's number of shuffle partitions.
     """
     if ids_encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding of ids: {ids_encoding}")
-    texts = docs.select("doc_id", "text")
-    ordered = texts.repartitionByRange(files, "doc_id") if files else texts.repartitionByRange("doc_id")
-    ordered = ordered.sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    order = [F.asc_nulls_first("doc_id"), F.col("hash"), F.col("row")]
+    ordered = (texts.repartitionByRange(files, *order) if files else texts.repartitionByRange(*order)).sortWithinPartitions(*order)
     writer = encode(ordered, tokenizer_path, end_id).write.mode("errorifexists")
     options = {
         "compression": "zstd",
@@ -163,19 +181,35 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("doc_id long, n_tokens long, ids array<int>").parquet(path)
 
 
-def starts(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id``, ``at`` (its place in its file), ``file``, ``start``: ids of all documents before it.
+def _placed(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """The columns, and ``file`` and ``at``, a row's place in it."""
+    rows = spark.read.schema(columns).parquet(path)
+    return rows.select(*rows.columns, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+
+
+def file_order(file: Column) -> list[Column]:
+    """The order in which files were written: by the numbers in their names, which needn't have equally many digits."""
+    number = lambda pattern: F.coalesce(F.regexp_extract(file, pattern, 1).try_cast("long"), F.lit(0).cast("long"))
+    return [number(r"^part-(\d+)"), number(r"-c(\d+)\b"), file]
 
-    Reads ``doc_id`` and ``n_tokens`` only.  Sums run within each file; files are then offset by the total of
-    the files before them, of which there is one row each.
+
+def with_starts(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """``rows`` (``file``, ``at``, ``n_tokens``, ...) with ``start``: ids of all documents before it.
+
+    Sums run within each file, which holds a range of documents; files are then offset by the total of the files before them,
+    of which there is one row each, from a read of ``n_tokens`` alone.
     """
-    rows = spark.read.schema("doc_id long, n_tokens long").parquet(path).select("doc_id", "n_tokens", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    totals = _placed(spark, path, "n_tokens long").groupBy("file").agg(F.sum("n_tokens").alias("total"))
+    before = Window.orderBy(*file_order(F.col("file"))).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     running = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    return running.join(offsets, "file").select("doc_id", "file", "at", (F.col("inside") + F.col("offset")).alias("start"))
+    return running.join(offsets, "file").select(*rows.columns, (F.col("inside") + F.col("offset")).alias("start"))
+
+
+def starts(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``file``, ``at``, ``start``; reads ``doc_id`` and ``n_tokens`` only."""
+    return with_starts(spark, path, _placed(spark, path, "doc_id long, n_tokens long"))
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
@@ -184,12 +218,12 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("ids")
-            flat, ends = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
-            sizes = np.diff(ends).astype(np.int64)
+            flat, ends = memoryview(ids.values.to_numpy().astype("<u4")).cast("B"), 4 * ids.offsets.to_numpy()
+            crc = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            sizes = (np.diff(ends) // 4).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("file"), batch.column("at"), pa.array(sizes), pa.array(crc, type=pa.int64())], names=["doc_id", "file", "at", "n_tokens", "ids_crc32"])
 
-    rows = read(spark, path).select("doc_id", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"), "ids")
+    rows = _placed(spark, path, "doc_id long, ids array<int>")
     return rows.mapInArrow(run, "doc_id long, file string, at long, n_tokens long, ids_crc32 long")
 
 
@@ -199,9 +233,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; one of this machine where it is unset, as in tests."""
+    """The session's ``spark.checkpoint.dir``; a folder of this machine where it is unset and the master is local, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         import tempfile
 
         shared = f"file://{tempfile.gettempdir()}/sylva-checkpoints"
