@@ -1,12 +1,11 @@
 """Byte-level BPE: overlapping chunk encoding and raw-byte decoding.
 
-A text longer than ``chunk_chars`` is cut into chunks that overlap by ``overlap_chars``.  Chunks are dealt over
-the cluster and pre-tokenised on their own.  A chunk starts at an arbitrary place, so its first boundaries may
-be wrong, as may the last ones of the chunk before; but matches of the pattern depend on what follows them only,
-so from the first boundary that both chunks agree on they agree for good.  That seam cuts the text into pieces
-of whole pre-tokens, which are encoded separately.  A text whose chunks share no boundary in some overlap (a run
-of letters longer than the overlap) is encoded whole.  A text of one chunk has no seam and is encoded as it is
-read, without a shuffle.
+Every text is cut into chunks of ``chunk_chars`` that overlap by ``overlap_chars``.  Chunks are dealt over the cluster and
+pre-tokenised on their own.  A chunk starts at an arbitrary place, so its first boundaries may be wrong, as may the
+last ones of the chunk before; but matches of the pattern depend on what follows them only, so from the first
+boundary that both chunks agree on they agree for good.  That seam cuts the text into pieces of whole pre-tokens,
+which are encoded separately.  A text whose chunks share no boundary in some overlap (a run of letters longer than
+the overlap) is encoded whole.  A text of one chunk has no seam: its only piece is encoded where it is read.
 
 Defined results: a null text is an empty one and has no ids; repeated rows each give their own result; a null
 ``doc_id`` is a value like any other; further columns of the input are ignored; an empty table gives an empty one.
@@ -21,11 +20,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Characters of a chunk, and by how many it overlaps the next one.
+CHUNK_CHARS, OVERLAP_CHARS = 1 << 13, 1 << 9
 #: No alternative of the pattern looks further ahead than this many characters past its start.
 LOOKAHEAD = 4
 #: Texts encoded at once inside a task, in characters: bounds the ids held in Python.
@@ -76,51 +76,65 @@ def boundaries(text: str, pattern: str) -> list[int]:
     return [m.end() for m in regex.compile(pattern).finditer(text) if not text[m.end() - 1].isspace()]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, chunk_chars: int = 1 << 16, overlap_chars: int = 1 << 10) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
     """``doc_id``, ``row`` long, ``piece`` int, ``n_pieces`` int, ``copies`` long, ``ids`` array<int>.
 
     A text's ids are those of its pieces in order.  ``row`` tells apart different texts under one ``doc_id``;
-    equal rows longer than a chunk are encoded once, with their number in ``copies``.
+    equal rows of several chunks are encoded once, with their number in ``copies``.
     """
-    short, long = encode_parts(docs, vocabulary, chunk_chars, overlap_chars)
-    return short.unionByName(long)
+    alone, several = pieces(docs, vocabulary, chunk_chars, overlap_chars)
+    return _encode_pieces(alone.unionByName(several), vocabulary)
 
 
-def encode_parts(docs: DataFrame, vocabulary: Vocabulary, chunk_chars: int = 1 << 16, overlap_chars: int = 1 << 10) -> tuple[DataFrame, DataFrame]:
-    """:func:`encode` of the texts of one chunk, and of the longer ones, which are dealt out in chunks."""
+def encoded_digests(docs: DataFrame, vocabulary: Vocabulary, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
+    """:func:`digests` of all texts.
+
+    A text of one piece is encoded, decoded and hashed in one go; pieces of several are encoded wherever they are
+    and only their ids meet in one task.
+    """
+    alone, several = pieces(docs, vocabulary, chunk_chars, overlap_chars)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return alone.mapInArrow(lambda batches: _digested(_encoded(batches, vocabulary), vocabulary), schema).unionByName(digests(together(_encode_pieces(several, vocabulary)), vocabulary))
+
+
+def pieces(docs: DataFrame, vocabulary: Vocabulary, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> tuple[DataFrame, DataFrame]:
+    """The pieces (``text``) of all texts: those of one chunk, and those of several cut at their chunks' seams."""
     if overlap_chars <= LOOKAHEAD or chunk_chars <= overlap_chars:
         raise ValueError("a chunk must be longer than the overlap, and that longer than the look-ahead")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    short = rows.where(F.length("text") <= chunk_chars).select("doc_id", F.lit(0).cast("long").alias("row"), F.lit(0).alias("piece"), F.lit(1).alias("n_pieces"), F.lit(1).cast("long").alias("copies"), "text")
-    long = rows.where(F.length("text") > chunk_chars).groupBy("doc_id", "text").agg(F.count("*").alias("copies")).withColumn("row", F.xxhash64("doc_id", "text"))
-    return _encode_pieces(short, vocabulary), _encode_pieces(_pieces(long, vocabulary.pattern, chunk_chars, overlap_chars), vocabulary)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n_pieces", F.greatest(F.ceil(F.length("text") / chunk_chars), F.lit(1)).cast("int"))
+    alone = rows.where("n_pieces = 1").select("doc_id", F.lit(0).cast("long").alias("row"), F.lit(0).alias("piece"), "n_pieces", F.lit(1).cast("long").alias("copies"), "text")
+    return alone, _stitched(rows.where("n_pieces > 1"), vocabulary.pattern, chunk_chars, overlap_chars)
 
 
-def _pieces(long: DataFrame, pattern: str, chunk_chars: int, overlap_chars: int) -> DataFrame:
+def _stitched(long: DataFrame, pattern: str, chunk_chars: int, overlap_chars: int) -> DataFrame:
     """Cuts each row's text at the seams of its chunks."""
+    # equal rows meet by their hashes; the text itself travels but once, in chunks
+    keyed = long.withColumn("row", F.xxhash64("doc_id", "text"))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string())
         for batch in batches:
-            for doc_id, row, copies, text in zip(batch.doc_id, batch["row"], batch.copies, batch.text):
-                n = -(-len(text) // chunk_chars)
-                for k in range(n):
-                    start = k * chunk_chars
-                    yield pd.DataFrame({"doc_id": pd.Series([doc_id], dtype="Int64"), "row": row, "copies": copies, "piece": k, "n_pieces": n, "start": start, "chunk": [text[start : start + chunk_chars + overlap_chars]]})
+            for doc_id, row, n, text in zip(*(column.to_pylist() for column in batch.columns)):
+                for at in range(0, n, 64):
+                    places = [k * chunk_chars for k in range(at, min(n, at + 64))]
+                    parts = zip(*((doc_id, row, at + k, n, start, text[start : start + chunk_chars + overlap_chars]) for k, start in enumerate(places)))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(parts, kinds)], names=["doc_id", "row", "piece", "n_pieces", "start", "chunk"])
 
-    chunks = long.select("doc_id", "row", "copies", "text").mapInPandas(cut, "doc_id long, row long, copies long, piece int, n_pieces int, start long, chunk string")
-    chunks = chunks.repartition("row", "piece")
+    chunks = keyed.select("doc_id", "row", "n_pieces", "text").mapInArrow(cut_up, "doc_id long, row long, piece int, n_pieces int, start long, chunk string")
+    chunks = chunks.groupBy("row", "piece").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("doc_id", "n_pieces", "start", "chunk")))
 
-    def pre_tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pre_tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, k, n, start, chunk in zip(batch["row"], batch.piece, batch.n_pieces, batch.start, batch.chunk):
-                ends = boundaries(chunk, pattern)
-                if k:
-                    yield pd.DataFrame({"row": row, "piece": k, "side": "head", "at": [[int(start) + e for e in ends if e < overlap_chars]]})
-                if k < n - 1:
-                    last = len(chunk) - LOOKAHEAD
-                    yield pd.DataFrame({"row": row, "piece": k + 1, "side": "tail", "at": [[int(start) + e for e in ends if chunk_chars <= e <= last]]})
-
-    sides = chunks.select("row", "piece", "n_pieces", "start", "chunk").mapInPandas(pre_tokenise, "row long, piece int, side string, at array<long>")
+            heads, tails = [], []
+            for k, n, start, chunk in zip(*(batch.column(c).to_pylist() for c in ("piece", "n_pieces", "start", "chunk"))):
+                ends, last = boundaries(chunk, pattern), len(chunk) - LOOKAHEAD
+                heads.append([start + e for e in ends if e < overlap_chars] if k else [])
+                tails.append([start + e for e in ends if chunk_chars <= e <= last] if k < n - 1 else [])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("piece"), batch.column("n_pieces"), *(pa.array(x, pa.list_(pa.int64())) for x in (heads, tails))], names=["row", "piece", "n_pieces", "head", "tail"])
+
+    found = chunks.select("row", "piece", "n_pieces", "start", "chunk").mapInArrow(pre_tokenise, "row long, piece int, n_pieces int, head array<long>, tail array<long>")
+    sides = found.select("row", F.explode(F.array(F.struct("piece", F.lit("head").alias("side"), F.col("head").alias("at")), F.struct((F.col("piece") + 1).alias("piece"), F.lit("tail").alias("side"), F.col("tail").alias("at")))).alias("s"), "n_pieces")
+    sides = sides.where((F.col("s.piece") > 0) & (F.col("s.piece") < F.col("n_pieces"))).select("row", "s.*")
     side = lambda name: F.max(F.when(F.col("side") == name, F.col("at")))
     seams = sides.groupBy("row", "piece").agg(F.array_min(F.array_intersect(side("head"), side("tail"))).alias("seam"))
     lost = seams.where(F.col("seam").isNull()).select("row").distinct()
@@ -130,23 +144,25 @@ def _pieces(long: DataFrame, pattern: str, chunk_chars: int, overlap_chars: int)
     cut_at = chunks.join(lost, "row", "left_anti").join(seams, ["row", "piece"], "left").join(until, ["row", "piece"], "left")
     first = F.coalesce(F.col("seam") - F.col("start"), F.lit(0)).cast("int")
     size = F.coalesce(F.col("until") - F.col("start"), F.length("chunk")).cast("int") - first
-    pieces = cut_at.select("doc_id", "row", "piece", "n_pieces", "copies", F.col("chunk").substr(first + 1, size).alias("text"))
-    whole = long.join(lost, "row").select("doc_id", "row", F.lit(0).alias("piece"), F.lit(1).alias("n_pieces"), "copies", "text")
-    return pieces.unionByName(whole)
+    cut = cut_at.select("doc_id", "row", "piece", "n_pieces", "copies", F.col("chunk").substr(first + 1, size).alias("text"))
+    whole = keyed.join(lost, "row").select("doc_id", "row", F.lit(0).alias("piece"), F.lit(1).alias("n_pieces"), F.lit(1).cast("long").alias("copies"), "text")
+    return cut.unionByName(whole)
 
 
-def _encode_pieces(pieces: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    schema = "doc_id long, row long, piece int, n_pieces int, copies long, ids array<int>"
+_PIECE = ("doc_id", "row", "piece", "n_pieces", "copies")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _load(*vocabulary._key)[0]
-        for batch in batches:
-            for part in text_blocks(batch, "text", _BLOCK_CHARS):
-                ids = [encoding.encode_ordinary(t) for t in part.column("text").to_pylist()]
-                columns = [part.column(c) for c in ("doc_id", "row", "piece", "n_pieces", "copies")]
-                yield pa.RecordBatch.from_arrays([*columns, int_lists(ids)], names=["doc_id", "row", "piece", "n_pieces", "copies", "ids"])
 
-    return pieces.mapInArrow(run, schema)
+def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    encoding = _load(*vocabulary._key)[0]
+    for batch in batches:
+        for part in text_blocks(batch, "text", _BLOCK_CHARS):
+            ids = [encoding.encode_ordinary(t) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in _PIECE), int_lists(ids)], names=[*_PIECE, "ids"])
+
+
+def _encode_pieces(cut: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    schema = "doc_id long, row long, piece int, n_pieces int, copies long, ids array<int>"
+    return cut.mapInArrow(lambda batches: _encoded(batches, vocabulary), schema)
 
 
 def text_blocks(batch: pa.RecordBatch, column: str, most_chars: int) -> Iterator[pa.RecordBatch]:
@@ -189,33 +205,32 @@ def _each(lists: pa.ListArray) -> Iterator[list[int]]:
         yield flat[a:b].tolist()
 
 
-def digests(decoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``: one row for each text.
+def digests(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``: one row for each text, its ids decoded again.
 
     The pieces of a text must follow one another within a partition (:func:`together`); they are hashed as they
     stream by, a piece at a time.
     """
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = _load(*vocabulary._key)[2]
-        n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
-        for batch in batches:
-            out: list[tuple] = []
-            head = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "piece", "n_pieces", "copies")))
-            for (doc_id, piece, n_pieces, copies), ids, raw in zip(head, _each(batch.column("ids")), batch.column("bytes")):
-                of_ids.update(("," * bool(n and ids) + ",".join(map(names.__getitem__, ids))).encode())
-                of_bytes.update(raw.as_buffer())
-                n += len(ids)
-                if piece == n_pieces - 1:
-                    out += [(doc_id, n, of_ids.hexdigest(), of_bytes.hexdigest())] * copies
-                    n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return decoded.mapInArrow(run, schema)
+    return encoded.select(*_PIECE, "ids").mapInArrow(lambda batches: _digested(batches, vocabulary), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def _digested(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    _, table, names = _load(*vocabulary._key)
+    n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
+    for batch in batches:
+        out: list[tuple] = []
+        head = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "piece", "n_pieces", "copies")))
+        for (doc_id, piece, n_pieces, copies), ids in zip(head, _each(batch.column("ids"))):
+            of_ids.update(("," * bool(n and ids) + ",".join(map(names.__getitem__, ids))).encode())
+            of_bytes.update(b"".join(map(table.__getitem__, ids)))
+            n += len(ids)
+            if piece == n_pieces - 1:
+                out += [(doc_id, n, of_ids.hexdigest(), of_bytes.hexdigest())] * copies
+                n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def together(pieces: DataFrame) -> DataFrame:
-    """Deals whole texts to the partitions, each with its pieces in order."""
+    """Deals whole texts to the partitions, each with its pieces in order, one of equal rows after the other."""
     return pieces.repartition("row").sortWithinPartitions("row", "piece")

@@ -25,11 +25,9 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids and decoded bytes of every document; long ones by overlapping chunks."""
+    """Ids and decoded bytes of every document, by overlapping chunks."""
     small_batches(spark)
-    vocabulary = multilingual_vocabulary()
-    short, long = bpe.encode_parts(table(spark, sf_dir, "documents"), vocabulary)
-    return bpe.digests(bpe.decode(short, vocabulary), vocabulary).unionByName(bpe.digests(bpe.decode(bpe.together(long), vocabulary), vocabulary))
+    return bpe.encoded_digests(table(spark, sf_dir, "documents"), multilingual_vocabulary())
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,11 +77,11 @@ def test_escape_round_trip(spark):
 # byte-level BPE --------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("chunk, overlap", [(1 << 16, 1 << 10), (64, 16)])
+@pytest.mark.parametrize("chunk, overlap", [(bpe.CHUNK_CHARS, bpe.OVERLAP_CHARS), (64, 16), (200, 60)])
 def test_bpe_matches_library(spark, chunk, overlap):
     texts = list(enumerate(odd_texts())) + [(None, "none"), (3, "x" * 5_000), (3, "again")]
-    short, long = bpe.encode_parts(documents(spark, texts), VOCABULARY, chunk, overlap)
-    got = bpe.digests(bpe.decode(short, VOCABULARY), VOCABULARY).unionByName(bpe.digests(bpe.decode(bpe.together(long), VOCABULARY), VOCABULARY)).collect()
+    clashing = documents(spark, texts).toDF("doc_id", "text", "row", "piece", "copies")
+    got = bpe.encoded_digests(clashing, VOCABULARY, chunk, overlap).collect()
     want = []
     for i, t in texts:
         ids = bpe.encode_text(t or "", VOCABULARY)
@@ -89,7 +89,17 @@ def test_bpe_matches_library(spark, chunk, overlap):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+def test_bpe_decodes_its_pieces(spark):
+    texts = list(enumerate(odd_texts()))
+    got = bpe.decode(bpe.encode(documents(spark, texts), VOCABULARY, 100, 40), VOCABULARY).collect()
+    for i, t in texts:
+        rows = sorted((r["piece"], bytes(r["bytes"])) for r in got if r["doc_id"] == i)
+        assert b"".join(x for _, x in rows) == (t or "").encode(), i
+    assert max(r["n_pieces"] for r in got) > 100
+
+
 def test_bpe_empty_and_options(spark):
+    assert bpe.encoded_digests(documents(spark, []), VOCABULARY).count() == 0
     assert bpe.encode(documents(spark, []), VOCABULARY).count() == 0
     with pytest.raises(ValueError):
         bpe.encode(documents(spark, []), VOCABULARY, 10, 10)
