@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sylva.llm.tables import fresh
+
 WINDOW_WORDS = 10
 #: Most bytes of windows in one automaton (some 50 bytes of memory for each).
 BLOCK_BYTES = 2 << 20
@@ -159,5 +161,5 @@ def verdicts(scanned: DataFrame, finding: str = "finding") -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no window of the benchmark, with their columns."""
-    into = next(c for c in ("finding" + "_" * k for k in range(len(docs.columns) + 1)) if c not in docs.columns)
+    into = fresh("finding", docs.columns)
     return scan(docs, benchmark, into, **options).where(F.size(F.col(into)["runs"]) == 0).select(*docs.columns)

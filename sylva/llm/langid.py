@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva.llm.linear import Dense, fit, sample_by_class, sigmoid
+from sylva.llm.tables import fresh
 
 #: Texts of each language that the models are fitted on, and the hashed features.
 SAMPLE, DIMENSIONS = 400, 1 << 12
@@ -194,6 +195,6 @@ def predict(docs: DataFrame, model: Model, into: str = "language") -> DataFrame:
 
 def keep_known(docs: DataFrame, model: Model, least_score: float = 0.25) -> DataFrame:
     """``docs`` without the rows whose language is unknown or scored below ``least_score``."""
-    into = next(c for c in ("language" + "_" * k for k in range(len(docs.columns) + 1)) if c not in docs.columns)
+    into = fresh("language", docs.columns)
     found = predict(docs, model, into)
     return found.where((F.col(into)["lang"] != UNKNOWN) & (F.col(into)["score"] >= least_score)).select(*docs.columns)

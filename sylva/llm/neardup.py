@@ -1,19 +1,23 @@
 """SimHash near-duplicates by Golay fuzzy hashing.
 
-A text has one or several 64-bit fingerprints.  Each is cut into two halves; of two fingerprints that differ in
-at most 3 bits one half differs in at most one bit (pigeonhole).  A half is keyed by the Golay codewords near its
-low 23 bits together with its exact upper 9 bits, and by its exact low 23 bits: the one error is in either part, so
-the halves share a key.  Distinct fingerprints meet by key, are compared, and linked; the links' connected components
-are the groups.  Within a key only a spanning forest of the links is given, found by comparing with pivots, so a
-group of copies gives links in proportion to its size; keys of very many fingerprints are dealt out in cells, every
-pair of which meets in one.
+A text's 64-bit fingerprint is cut into two halves; of two fingerprints that differ in at most 3 bits one half differs
+in at most one bit (pigeonhole).  A half is keyed by the Golay codewords near its low 23 bits together with its
+exact upper 9 bits, and by its exact low 23 bits: the one error is in either part, so the halves share a key.  The other
+half has 3 errors at most, so one of its 4 bytes has none: each key is joined by each of these bytes.  Distinct
+fingerprints meet by key, are compared, and linked; the links' connected components are the groups.  Within a key
+only a spanning forest of the links is given, found by comparing with pivots, so a group of copies gives links in
+proportion to its size; keys of very many fingerprints are dealt out in cells, every pair of which meets in one.
 
 A SimHash can't tell a similarity of 0.8 from one of 0.7, so the pipeline's stage (:func:`keep_first`) finds its
 candidates by MinHash keys of the texts' 5-word shingles and checks each link on the whole shingle sets.
 
+A node's name begins with the smallest ``doc_id`` of its texts, so that the smallest name of a component, its root,
+tells the group's id without another join.
+
 Defined results: a null or blank text has fingerprint zero and is linked like any other; a null ``doc_id`` is never
 a group's id unless all its documents have none; rows of one ``doc_id`` are kept apart by their text, and rows
-that repeat each give their own result; further columns are ignored; an empty table gives an empty one.
+that repeat each give their own result, though :func:`keep_first` leaves one of them; further columns are ignored,
+or kept by :func:`keep_first` whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylva.llm import golay, simhash
 from sylva.llm.components import components
+from sylva.llm.tables import fresh, spread_join
 from sylva.llm.tokenfiles import checkpoint_dir
 
 #: The most differing bits for which two halves are sure to share a key.
@@ -42,12 +47,26 @@ CELL_BYTES = 1 << 24
 _ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+_SIGN = -(1 << 63)
+
+
+def named(first_id: Column, content: Column) -> Column:
+    """A binary name that sorts by ``first_id``, null last, then by ``content``."""
+    number = F.unhex(F.lpad(F.hex(F.coalesce(first_id, F.lit(0).cast("long")).bitwiseXOR(F.lit(_SIGN))), 16, "0"))
+    return F.concat(F.when(first_id.isNull(), F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00"))), number, content)
+
+
+def name_id(name: Column) -> Column:
+    """The ``first_id`` of a name."""
+    number = F.conv(F.hex(F.substring(name, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(_SIGN))
+    return F.when(F.substring(name, 1, 1) == F.unhex(F.lit("00")), number)
+
+
 def shingle_prints(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """``doc_id``, ``node`` binary: the fingerprint of the text's word shingles, each as often as it occurs."""
+    """``doc_id``, ``fingerprint`` long: the fingerprint of the text's word shingles, each as often as it occurs."""
     words = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.coalesce(F.length("text"), F.lit(0)).alias("_chars"), simhash.blank_words(simhash.ascii_lower(F.col("text"))).alias("_words"))
     prints = simhash.simhash(words, ["doc_id", "_text", "_chars"], "_words", shingle_words)
-    each = prints.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return each.select("doc_id", "fingerprint", F.unhex(simhash.as_hex(F.col("fingerprint"))).alias("node"))
+    return prints.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc_id", "fingerprint")
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -58,23 +77,25 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def print_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The row of each key and the key, of uint64 fingerprints (rows, prints)."""
+    """The row of each key and the key, of uint64 fingerprints."""
     rows, keys = [], []
-    for k in range(fingerprints.shape[1]):
-        for half in range(2):
-            bits = ((fingerprints[:, k] >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            low, high = bits & ((1 << golay.LENGTH) - 1), bits >> golay.LENGTH
-            table = (2 * k + half) << 40
-            row, near = golay.keys(low)
-            rows += [row, np.arange(len(bits))]
-            keys += [table | 1 << 32 | high[row] << golay.MESSAGE | near, table | low]
+    for half in range(2):
+        bits = ((fingerprints >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        other = ((fingerprints >> np.uint64(32 - 32 * half)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        low, high = bits & ((1 << golay.LENGTH) - 1), bits >> golay.LENGTH
+        row, near = golay.keys(low)
+        own = np.concatenate([row, np.arange(len(bits))])
+        fuzzy = np.concatenate([1 << 24 | high[row] << golay.MESSAGE | near, low])
+        for byte in range(4):
+            rows.append(own)
+            keys.append((4 * half + byte) << 40 | (other[own] >> 8 * byte & 0xFF) << 32 | fuzzy)
     return np.concatenate(rows), np.concatenate(keys)
 
 
 def _prints_of(nodes: pa.Array) -> np.ndarray:
-    """uint64 (rows, prints) of a column of fingerprints, big-endian."""
+    """uint64 fingerprints of a column of names, which end with them."""
     joined = b"".join(nodes.to_pylist())
-    return np.frombuffer(joined, dtype=">u8").astype(np.uint64).reshape(len(nodes), -1)
+    return np.frombuffer(joined, dtype=np.uint8).reshape(len(nodes), -1)[:, -8:].copy().view(">u8")[:, 0].astype(np.uint64)
 
 
 def keyed(nodes: DataFrame) -> DataFrame:
@@ -85,7 +106,8 @@ def keyed(nodes: DataFrame) -> DataFrame:
             if batch.num_rows:
                 column = batch.column("node")
                 rows, keys = print_keys(_prints_of(column))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), column.take(pa.array(rows))], names=["key", "node"])
+                for at in range(0, len(keys), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)]), column.take(pa.array(rows[at : at + (1 << 16)]))], names=["key", "node"])
 
     return nodes.select("node").mapInArrow(run, "key long, node binary")
 
@@ -127,7 +149,7 @@ def _linked(rows: pa.Table, at: np.ndarray, most_bits: int) -> Iterator[pa.Recor
 
 
 def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+    return np.bitwise_count(x ^ y).astype(np.int64)
 
 
 def run_links(prints: np.ndarray, at: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,23 +207,22 @@ def spanning_links(prints: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.n
 
 
 def grouped(prints: DataFrame, most_bits: int = RADIUS, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """``prints`` (``doc_id``, ``node``, ...) with ``component_id``, the smallest ``doc_id`` of its group.
+    """``prints`` (``doc_id``, ``fingerprint``) with ``component_id``, the smallest ``doc_id`` of its group.
 
-    Fingerprints of 64 bits are linked exactly up to 3 bits.
+    Fingerprints are linked exactly up to 3 bits.
     """
     checkpoint_dir(prints.sparkSession)
     prints = prints.checkpoint()
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    return _named(prints, nodes, links(nodes, most_bits, cell_rows))
+    nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    nodes = nodes.select("fingerprint", "copies", named(F.col("first_id"), F.unhex(simhash.as_hex(F.col("fingerprint")))).alias("node")).checkpoint()
+    return _with_group(prints, nodes, "fingerprint", links(nodes, most_bits, cell_rows))
 
 
-def _named(rows: DataFrame, nodes: DataFrame, found_links: DataFrame) -> DataFrame:
-    """``rows`` with ``component_id``, the smallest ``first_id`` of the nodes linked to a row's ``node``."""
-    found = components(found_links)
-    rooted = nodes.join(found, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(smallest, "root").select("node", "component_id")
-    return rows.join(named, "node")
+def _with_group(rows: DataFrame, nodes: DataFrame, key: str, found_links: DataFrame) -> DataFrame:
+    """``rows`` with ``component_id``, by the node (``key``, ``copies``, ``node``) of their key."""
+    found = nodes.join(components(found_links), "node", "left").select(key, "copies", name_id(F.coalesce("root", "node")).alias("component_id")).checkpoint()
+    total = found.agg(F.sum("copies")).first()[0] or 0
+    return spread_join(rows, found, [key], "copies", total).drop("copies")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, most_bits: int = RADIUS) -> DataFrame:
@@ -248,7 +269,7 @@ def _hash_family(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_keys(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """``doc_id``, ``text_hash`` long, ``node`` binary (a hash of the text's shingle set), ``shingles`` long (their number), ``keys``."""
+    """``doc_id``, ``text_hash`` long, ``set`` binary (a hash of the text's shingle set), ``shingles`` long (their number), ``keys``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -261,10 +282,10 @@ def shingle_keys(docs: DataFrame, shingle_words: int) -> DataFrame:
                 sizes.append(len(own))
                 keys.append(band_keys(own) if len(own) else np.empty(0, np.int64))
             columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "shingles", "keys"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "set", "shingles", "keys"])
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, node binary, shingles long, keys array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, set binary, shingles long, keys array<long>")
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, shingle_words: int, least: float, cell_bytes: int = CELL_BYTES) -> DataFrame:
@@ -284,8 +305,9 @@ def similar_links(docs: DataFrame, nodes: DataFrame, shingle_words: int, least:
             found = [text_shingles(text, shingle_words).tobytes() for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "set"])
 
-    texts = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("one"), "text")
-    sent = texts.join(wanted, texts["one"].eqNullSafe(wanted["one"])).select("node", "text").mapInArrow(sets, "node binary, set binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    wanted = wanted.select("node", F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash"))
+    sent = texts.join(wanted, texts["doc_id"].eqNullSafe(F.col("one_id")) & (F.col("text_hash") == F.col("one_hash"))).select("node", "text").mapInArrow(sets, "node binary, set binary")
     own = F.pmod(F.xxhash64("node"), F.col("cells"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
     dealt = members.withColumn("own", own).withColumn("other", other).select("key", "node", (F.least("own", "other") * F.col("cells") + F.greatest("own", "other")).alias("cell"))
@@ -378,21 +400,39 @@ def similar_pairs(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]
     return links_
 
 
-def alike(docs: DataFrame, shingle_words: int = 5, least: float = 0.8, cell_bytes: int = CELL_BYTES) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``component_id``: groups of texts whose different shingles have a Jaccard similarity of ``least``."""
+def _linked_sets(docs: DataFrame, shingle_words: int, least: float, cell_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows' sets (:func:`shingle_keys`), the different sets (``node``, ``one``: the first row that has it), and their links."""
     checkpoint_dir(docs.sparkSession)
     rows = shingle_keys(docs, shingle_words).checkpoint()
-    one = F.struct("doc_id", "text_hash")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(one).alias("one"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys")).checkpoint()
-    return _named(rows.select("doc_id", "text_hash", "node"), nodes.select("node", "first_id"), similar_links(docs, nodes, shingle_words, least, cell_bytes)).select("doc_id", "text_hash", "component_id")
+    one = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
+    nodes = rows.groupBy("set").agg(F.min(one).alias("one"), F.count("*").alias("copies"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys"))
+    nodes = nodes.withColumn("node", named(F.col("one.doc_id"), F.col("set"))).checkpoint()
+    return rows.select("doc_id", "text_hash", "set"), nodes, similar_links(docs, nodes, shingle_words, least, cell_bytes)
+
+
+def alike(docs: DataFrame, shingle_words: int = 5, least: float = 0.8, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``component_id``: groups of texts whose different shingles have a Jaccard similarity of ``least``."""
+    rows, nodes, found = _linked_sets(docs, shingle_words, least, cell_bytes)
+    return _with_group(rows, nodes.select("set", "copies", "node"), "set", found).select("doc_id", "text_hash", "component_id")
 
 
-def keep_first(docs: DataFrame, shingle_words: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` without the documents of a group other than the one of the smallest ``doc_id``.
+def keep_first(docs: DataFrame, shingle_words: int = 5, least: float = 0.8, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """One row of ``docs`` for each group: of those with the smallest ``doc_id`` (null last) the one of the smallest text hash.
 
-    Texts are linked if their different shingles have a Jaccard similarity of ``least`` or more.  Rows with a null
-    ``doc_id`` stay.
+    Texts are linked if their different shingles have a Jaccard similarity of ``least`` or more.
     """
-    found = alike(docs, shingle_words, least)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
-    return docs.join(gone, (docs["doc_id"] == F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_hash")), "left_anti")
+    rows, nodes, found = _linked_sets(docs, shingle_words, least, cell_bytes)
+    later = components(found).where("node != root").select("node")
+    several = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies")).where("copies > 1").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "copies")
+    firsts = nodes.join(later, "node", "left_anti").select("one.doc_id", "one.text_hash")
+    firsts = firsts.join(several, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").select("doc_id", "text_hash", F.coalesce("copies", F.lit(1)).alias("copies")).checkpoint()
+
+    key, hash_, copies = (fresh(c, docs.columns) for c in ("key", "hash", "copies"))
+    first_key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias(key), F.concat(F.col("doc_id").isNull().cast("string"), F.col("text_hash").cast("string")).alias(hash_)]
+    keyed_docs = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), hash_: F.concat(F.col("doc_id").isNull().cast("string"), F.xxhash64("text").cast("string"))})
+    single = keyed_docs.join(firsts.where("copies = 1").select(*first_key), [key, hash_], "left_semi").select(*docs.columns)
+    repeated = firsts.where("copies > 1").select(*first_key, F.col("copies").alias(copies)).checkpoint()
+    if repeated.isEmpty():
+        return single
+    met = spread_join(keyed_docs, repeated, [key, hash_], copies, repeated.agg(F.sum(copies)).first()[0])
+    return single.unionByName(met.dropDuplicates([key, hash_]).select(*docs.columns))

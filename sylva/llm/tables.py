@@ -29,3 +29,18 @@ def fresh(name: str, columns: list[str]) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], copies: str, total: int, parts: int = 1_000) -> DataFrame:
+    """Inner join with ``one``, which has a row for each key and in ``copies`` how many of ``total`` rows have it.
+
+    Keys of more than one in ``parts`` rows, of which there are fewer than ``parts``, are dealt over several tasks: a
+    broadcast list of them tells rows their number of shares, and their rows of ``one`` are repeated for each share.
+    """
+    salt, shares = fresh("salt", [*rows.columns, *one.columns]), fresh("shares", [*rows.columns, *one.columns])
+    most = max(1, total // parts)
+    hot = one.where(F.col(copies) > most).select(*keys, F.ceil(F.col(copies) / most).cast("int").alias(shares))
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce(F.col(shares), F.lit(1))).cast("int")
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn(salt, place).drop(shares)
+    each = F.explode(F.sequence(F.lit(0), F.when(F.col(copies) > most, F.ceil(F.col(copies) / most).cast("int") - 1).otherwise(0)))
+    return dealt.join(one.withColumn(salt, each), [*keys, salt]).drop(salt)

@@ -94,7 +94,7 @@ def test_print_keys_meet_within_three_bits():
             y[k] ^= np.uint64(1 << int(b))
     keyed = []
     for v in (x, y):
-        rows, keys = neardup.print_keys(v[:, None])
+        rows, keys = neardup.print_keys(v)
         keyed.append([set(keys[rows == k].tolist()) for k in range(len(v))])
     assert all(a & b for a, b in zip(*keyed))
 
@@ -104,7 +104,7 @@ def test_spanning_links_join_what_is_near():
     centres = rng.integers(0, 1 << 63, 5, dtype=np.uint64)
     x = np.array([centres[rng.integers(5)] ^ np.uint64(sum(1 << int(b) for b in rng.choice(14, rng.integers(0, 6), replace=False))) for _ in range(400)], dtype=np.uint64)
     x = np.unique(x)
-    a, b = neardup.spanning_links(x[:, None], 3)
+    a, b = neardup.spanning_links(x, 3)
     assert len(a) < len(x) and (np.bitwise_count(x[a] ^ x[b]) <= 3).all()
     want = groups([int(v) for v in x], list(range(len(x))), 3)
     label = list(range(len(x)))
@@ -188,7 +188,28 @@ def test_keep_first_odd_rows_and_cells(spark):
     df = documents(spark, rows)
     got = [sorted(map(repr, neardup.alike(df, cell_bytes=n).collect())) for n in (1 << 24, 4096)]
     assert got[0] == got[1]
-    assert sorted(map(repr, (r["doc_id"] for r in neardup.keep_first(df).collect()))) == ["0", "50", "51", "None"]
+    assert sorted(map(repr, (r["doc_id"] for r in neardup.keep_first(df).collect()))) == ["0", "50", "51"]
+
+
+def test_keep_first_repeats_and_clashes(spark):
+    text, near = "a b c d e f g h", "a b c d e f g h i"
+    rows = [(1, text), (1, text), (2, text), (1, near), (None, text), (7, "alone alone"), (7, "alone alone"), (None, "nobody"), (None, "nobody"), (8, None), (8, ""), (8, None)] + [(9, "hot")] * 300
+    df = spark.createDataFrame([(i, t, "g", 1, "k") for i, t in rows], "doc_id long, text string, GONE_ID string, hash int, key string")
+    kept = neardup.keep_first(df)
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    assert len(got) == 5 and {(7, "alone alone"), (None, "nobody"), (9, "hot")} < set(got)
+    assert sum(i == 1 for i, _ in got) == 1 and sum(i == 8 for i, _ in got) == 1
+    assert neardup.keep_first(df.limit(0)).collect() == []
+    named = neardup.alike(df).where("text_hash is not null").groupBy("component_id").count().collect()
+    assert {(r["component_id"], r["count"]) for r in named} == {(1, 5), (7, 2), (None, 2), (8, 3), (9, 300)}
+
+
+def test_names_sort_by_id(spark):
+    ids = [None, 0, -1, 5, -(1 << 63), (1 << 63) - 1, 300]
+    df = spark.createDataFrame([(i,) for i in ids], "i long").withColumn("n", neardup.named(F.col("i"), F.lit("x").cast("binary"))).withColumn("back", neardup.name_id(F.col("n")))
+    assert [r["i"] for r in df.orderBy("n").collect()] == [-(1 << 63), -1, 0, 5, 300, (1 << 63) - 1, None]
+    assert all(r["i"] == r["back"] for r in df.collect())
 
 
 def test_similar_pairs_span_the_groups():

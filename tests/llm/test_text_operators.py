@@ -5,6 +5,9 @@ import random
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +130,44 @@ def test_token_files(spark, tmp_path, encoding):
     assert "n_tokens" in tokenfiles.starts(spark, path)._jdf.queryExecution().toString() and "ids" not in tokenfiles.starts(spark, path).columns
 
 
+@pytest.mark.parametrize("encoding, name", [("dictionary", "DICTIONARY"), ("delta", "DELTA_BINARY_PACKED")])
+def test_token_files_layout(spark, tmp_path, encoding, name):
+    """Footers hold the encodings, row groups and page indexes that were asked for."""
+    rng = random.Random(1)
+    texts = [(i, " ".join(f"{rng.choice(['river', 'stone,', 'über'])}{rng.randrange(10**6)}" for _ in range(300))) for i in range(600)]
+    path = tmp_path / "ids"
+    tokenfiles.write(documents(spark, texts), str(path), P.path("byte_bpe_50k.json"), 0, files=1, row_group_bytes=1 << 16, page_rows=20, ids_encoding=encoding)
+    (file,) = path.glob("*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    assert meta.num_row_groups >= 2
+    for k in range(meta.num_row_groups):
+        columns = {meta.row_group(k).column(c).path_in_schema: meta.row_group(k).column(c) for c in range(meta.num_columns)}
+        ids = columns["ids.list.element"]
+        assert any(name in e for e in ids.encodings) and ids.compression == "ZSTD"
+        assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+    some = tokenfiles.read(spark, str(path)).where("doc_id in (3, 404)")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(doc_id" in plan
+    assert sorted(len(r["ids"]) for r in some.collect()) == sorted(len(tokenfiles._tokenizer(P.path("byte_bpe_50k.json")).encode(texts[k][1], add_special_tokens=False).ids) + 1 for k in (3, 404))
+    assert "ids:" not in tokenfiles.starts(spark, str(path))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_follow_one_another_by_number(spark):
+    names = [f"part-{k:05d}-aa-c000.zstd.parquet" for k in (0, 7, 99_999, 100_000, 100_001, 1_000_000)] + ["part-1000000-aa-c001.zstd.parquet"]
+    df = spark.createDataFrame([(n,) for n in names[::-1]], "file string")
+    assert [r["file"] for r in df.orderBy(*tokenfiles.file_order(F.col("file"))).collect()] == names
+
+
+def test_words_of_texts_keep_their_ids():
+    rng = random.Random(9)
+    parts = ["a", "é", "ß", " ", "  ", "\n", "\t", "1", "'s", "re", ".", ",", "!", "中", "<|endoftext|>", "\x1c", "\u00a0", "\u2003", "\u3000", "\x85", "\u1680", "\u202f", "\u205f", "\x00", "x,", "2."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(50))) for _ in range(3_000)] + ["", ""]
+    library, encoder = tokenfiles._tokenizer(P.path("byte_bpe_50k.json")), tokenfiles.WordEncoder(P.path("byte_bpe_50k.json"))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoder.encode(pa.array(texts)).to_pylist() == want
+    assert encoder.encode(pa.array(texts).slice(10, 20), 7).to_pylist() == [[*w, 7] for w in want[10:30]]
+
+
 def test_token_files_empty(spark, tmp_path):
     path = str(tmp_path / "none")
     tokenfiles.write(documents(spark, []), path, P.path("byte_bpe_50k.json"), 0)
@@ -210,5 +251,30 @@ def test_substring_dedup(spark, size, block):
     assert {r["text"] for r in left.where("doc_id in (50, 51)").collect()} == {None, ""}
 
 
+def test_substring_words_that_share_weak_hashes(spark):
+    """Complementary Thue-Morse words collide under polynomial hashes modulo a power of two."""
+    bits = [bin(k).count("1") & 1 for k in range(1024)]
+    one, two = ("".join("ab"[b ^ k] for b in bits) for k in (0, 1))
+    rest = " ".join(f"w{k}" for k in range(49))
+    df = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{one} {rest}")], "doc_id long, text string")
+    removed = {r["doc_id"]: r["n_removed"] for r in substring.verdicts(substring.cut_repeats(df)).collect()}
+    assert removed == {1: 0, 2: 0, 3: 50}
+
+
+def test_polynomial_is_the_sum_modulo_the_prime():
+    rng, p = random.Random(2), substring._PRIME
+    v, base = [rng.randrange(p) for _ in range(200)] + [p - 1] * 60, rng.randrange(p)
+    for n in (1, 2, 3, 25, 50):
+        want = [sum(x * pow(base, n - 1 - k, p) for k, x in enumerate(v[at : at + n])) % p for at in range(len(v) - n + 1)]
+        assert substring.polynomial(np.array(v, np.uint64), n, base).tolist() == want
+
+
+def test_substring_clashing_columns(spark):
+    rows = [(k % 2, "v " * 60, "x", 1, 2, 3, 4) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, block string, anchor int, h1 int, low int, block_ int")
+    got = substring.remove_repeats(df, block_bytes=300)
+    assert got.columns == df.columns and got.count() == 20 and {r["doc_id"] for r in got.collect()} == {0}
+
+
 def test_substring_empty(spark):
     assert substring.cut_repeats(documents(spark, [])).count() == 0
