@@ -2,8 +2,9 @@
 
 Texts are normalised byte by byte, so offsets survive: A-Z is lower-cased, every other ASCII character than a
 letter or digit becomes a blank, all else stands.  The words of an item are cut into windows; all windows
-make one automaton, which is sent to the tasks, and each text is scanned once.  The benchmark is read in blocks of at
-most ``block_bytes`` of windows, one automaton and pass for each, so what is broadcast has a bound.
+make one automaton, which is sent to the tasks, and each text is scanned once.  Of a benchmark of more than
+``block_bytes`` of windows a task holds one automaton at a time: it keeps a bounded number of texts and scans them for
+one block of windows after the other, in the same pass over the documents.
 
 Defined results: a null text has no words; items without words are never found, and the
 windows of an item with a null id hit without an item; an item id that occurs twice is one item; repeated rows each give their own
@@ -22,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva.llm.tables import fresh
+from sylva.llm.tokenfiles import checkpoint_dir
 
 WINDOW_WORDS = 10
-#: Most bytes of windows in one automaton (some 50 bytes of memory for each).
-BLOCK_BYTES = 2 << 20
+#: Most bytes of windows in one automaton (some 50 bytes of memory for each), and of texts that wait for the next one.
+BLOCK_BYTES, TEXT_BYTES = 4 << 20, 16 << 20
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -90,7 +92,7 @@ def original_spans(text: str, runs: np.ndarray) -> list[tuple[int, int]]:
     return [(int(chars[starts[a]]), int(chars[ends[b - 1]])) for a, b in runs]
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _automaton(owners: bytes) -> Automaton:
     return Automaton(pickle.loads(owners))
 
@@ -114,38 +116,54 @@ _FINDING = pa.struct([("n_words", pa.int64()), ("runs", pa.list_(pa.list_(pa.int
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, into: str = "finding", window_words: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with a column ``into`` of :data:`FINDING`, in one pass for each block of the benchmark's windows.
-
-    Passes follow one another over the same rows, each adding to what was found; no row is shuffled.
-    """
+    """``docs`` with a column ``into`` of :data:`FINDING`; no row is shuffled."""
     if into in docs.columns:
         raise ValueError(f"there is a column {into} already")
     spark = docs.sparkSession
-    owners = item_windows(benchmark, window_words)
+    checkpoint_dir(spark)
+    owners = item_windows(benchmark, window_words).checkpoint()
     size = owners.select(F.sum(F.octet_length("window") + 2).alias("n")).first()["n"] or 0
     n_blocks = max(1, -(-int(size) // block_bytes))
-    result = docs.withColumn(into, F.lit(None).cast(FINDING))
+    sent = []
     for k in range(n_blocks):
         block = owners.where(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == k).collect()
-        sent = spark.sparkContext.broadcast(pickle.dumps(sorted((bytes(r["window"]), list(r["items"])) for r in block)))
-        result = result.mapInArrow(_scanner(sent, into), result.schema)
-    return result
+        sent.append(spark.sparkContext.broadcast(pickle.dumps(sorted((bytes(r["window"]), list(r["items"])) for r in block))))
+    result = docs.withColumn(into, F.lit(None).cast(FINDING))
+    return result.mapInArrow(_scanner(sent, into), result.schema)
 
 
-def _scanner(sent, into: str):
+def _scanner(sent: list, into: str):
+    def found(texts: list[str | None]) -> list[dict]:
+        runs, items, n_words = [[] for _ in texts], [set() for _ in texts], [0] * len(texts)
+        for block in sent:
+            automaton = _automaton(block.value)
+            for k, text in enumerate(texts):
+                words = normalise(text)
+                n_words[k] = len(words)
+                own, ids = automaton.scan(words)
+                if len(own):
+                    runs[k].append(own)
+                    items[k] |= ids
+        merged = [merge_runs(np.concatenate(r)) if r else np.empty((0, 2), np.int64) for r in runs]
+        return [{"n_words": n, "runs": r.tolist(), "spans": original_spans(t, r) if len(r) else [], "items": sorted(i)} for n, r, t, i in zip(n_words, merged, texts, items)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(sent.value)
+        held, size = [], 0
         for batch in batches:
-            out = []
-            for text, before in zip(batch.column("text").to_pylist(), batch.column(into).to_pylist()):
-                words = normalise(text)
-                runs, found = automaton.scan(words)
-                if before and before["runs"]:
-                    runs = merge_runs(np.concatenate([np.array(before["runs"], dtype=np.int64), runs]))
-                    found |= set(before["items"])
-                out.append({"n_words": len(words), "runs": runs.tolist(), "spans": original_spans(text, runs) if len(runs) else [], "items": sorted(found)})
-            columns = [pa.array(out, type=_FINDING) if c == into else batch.column(c) for c in batch.schema.names]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            held.append(batch)
+            size += batch.column("text").nbytes
+            # with one block nothing is gained by waiting
+            if size >= TEXT_BYTES or len(sent) == 1:
+                yield from scanned(held)
+                held, size = [], 0
+        yield from scanned(held)
+
+    def scanned(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, at = found([t for batch in held for t in batch.column("text").to_pylist()]), 0
+        for batch in held:
+            own = pa.array(out[at : at + batch.num_rows], type=_FINDING)
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([own if c == into else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
 
     return run
 

@@ -5,6 +5,10 @@ told apart by logistic models, one against the rest; within a family every two l
 support vector machine, whose calibrated margins are averaged.  All models are linear, so a text is scored by
 adding up the weights of its sequences, block by block, whatever its length.
 
+These models tell learned languages apart; whether a text is in any of them, ``typical`` says: the mean log-likelihood
+of its sequences in the predicted language mustn't lie further below that of the training texts than chance explains
+for so many sequences.
+
 Defined results: a null text, or one without a letter, is ``und`` with score 0; learned languages are those of the
 training rows, and a single one is predicted with score 1; without a training row every text is ``und``; repeated
 rows each give their own result; further columns are ignored; an empty table gives an empty one.
@@ -15,6 +19,7 @@ from __future__ import annotations
 import functools
 import itertools
 import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +36,8 @@ SAMPLE, DIMENSIONS = 400, 1 << 12
 UNKNOWN = "und"
 #: Letters of a training text that are shown to the models a second time as a short text.
 SNIPPET = 80
+#: How many times the usual spread a typical text's likelihood may lie below the usual one; the given texts stay within 11.4.
+SLACK = 12.0
 _BLOCK = 1 << 19
 #: Families of language codes; a code that isn't listed is a family of its own.
 FAMILIES = {
@@ -89,17 +96,24 @@ class Model:
     weights: np.ndarray
     biases: np.ndarray
     pairs: list[tuple[int, int]]
+    #: Of each language the log-likelihoods of the sequences, their mean in its texts, and its spread by length.
+    likelihood: np.ndarray
+    usual: np.ndarray
+    spread: np.ndarray
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """The language, its score, and whether the text is typical of it."""
         if not self.langs:
-            return UNKNOWN, 0.0
-        total, n = np.zeros(self.weights.shape[1]), 0
+            return UNKNOWN, 0.0, False
+        total, likely, n = np.zeros(self.weights.shape[1]), np.zeros(len(self.langs)), 0
         for h in sequences(text or ""):
             # weights of few columns: counting first makes one small product of it
-            total += np.bincount(h, minlength=DIMENSIONS) @ self.weights
+            counts = np.bincount(h, minlength=DIMENSIONS)
+            total += counts @ self.weights
+            likely += counts @ self.likelihood
             n += len(h)
         if not n:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, False
         margins = total / n + self.biases
         names = sorted(set(self.families))
         p = sigmoid(margins[: len(names)]) if len(names) > 1 else np.ones(1)
@@ -114,12 +128,14 @@ class Model:
                 votes[j] += 1 - win
         best = max(own, key=lambda k: (votes[k], -k))
         within = votes[best] / (len(own) - 1) if len(own) > 1 else 1.0
-        return self.langs[best], float(min(1.0, max(0.0, p_family * within)))
+        typical = likely[best] / n >= self.usual[best] - SLACK * (self.spread[best, 0] + self.spread[best, 1] / np.sqrt(n))
+        return self.langs[best], float(min(1.0, max(0.0, p_family * within))), bool(typical)
 
 
-def fit_model(x: np.ndarray, lang: list[str]) -> Model:
-    """Fits rows of :func:`shares` and their languages; scales ``x`` in place."""
+def fit_model(x: np.ndarray, lang: list[str], sizes: np.ndarray | None = None) -> Model:
+    """Fits rows of :func:`shares`, their languages and numbers of sequences; scales ``x`` in place."""
     langs = sorted(set(lang))
+    likelihood, usual, deviations = _typicality(x, np.array([langs.index(k) for k in lang], dtype=int), np.ones(len(x)) if sizes is None else sizes, len(langs))
     families = [family_of(k) for k in langs]
     names = sorted(set(families))
     spread = np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)) + 1e-6 if len(x) else np.ones(x.shape[1])
@@ -141,7 +157,23 @@ def fit_model(x: np.ndarray, lang: list[str]) -> Model:
     pairs = [(i, j) for i, j in itertools.combinations(range(len(langs)), 2) if families[i] == families[j]]
     for i, j in pairs:
         add(y == i, y == j, "hinge")
-    return Model(langs, families, np.array(columns).T.reshape(x.shape[1], -1), np.array(biases), pairs)
+    return Model(langs, families, np.array(columns).T.reshape(x.shape[1], -1), np.array(biases), pairs, likelihood, usual, deviations)
+
+
+def _typicality(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, n_langs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-likelihoods by language, and the mean and the spread (fixed, and by the root of the length) of its texts'."""
+    likelihood, usual, spread = np.zeros((x.shape[1], n_langs)), np.zeros(n_langs), np.zeros((n_langs, 2))
+    for k in range(n_langs):
+        own = x[y == k]
+        p = own.mean(axis=0, dtype=float) + 0.05 / x.shape[1]
+        likelihood[:, k] = np.log(p / p.sum())
+        got = own @ likelihood[:, k]
+        usual[k] = np.average(got, weights=sizes[y == k])
+        off, size = np.abs(got - usual[k]), sizes[y == k]
+        long = size >= np.median(size)
+        # halves of the distances that one in twenty exceeds: a few odd texts don't widen them
+        spread[k] = [np.quantile(v, 0.95) / 2 if len(v) else 0.0 for v in (off[long], off[~long] * np.sqrt(size[~long]))]
+    return likelihood, usual, spread
 
 
 def train(docs: DataFrame, train_rows, most: int = SAMPLE) -> Model:
@@ -151,23 +183,25 @@ def train(docs: DataFrame, train_rows, most: int = SAMPLE) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, found = [], []
+            langs, sizes, found = [], [], []
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 middle = len(text or "") // 2
                 for t in (text, (text or "")[middle : middle + SNIPPET]):
                     x = shares(t)
                     if x is not None:
                         langs.append(lang)
-                        found.append(x.astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], names=["lang", "shares"])
+                        # most shares are nought
+                        found.append(zlib.compress(x.astype("<f4").tobytes(), 1))
+                        sizes.append(sum(len(h) for h in sequences(t)))
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sizes, pa.int64()), pa.array(found, pa.binary())], names=["lang", "size", "shares"])
 
-    got = sorted((r["lang"], bytes(r["shares"])) for r in chosen.select("lang", "text").mapInArrow(run, "lang string, shares binary").toLocalIterator())
+    got = sorted((r["lang"], r["size"], bytes(r["shares"])) for r in chosen.select("lang", "text").mapInArrow(run, "lang string, size long, shares binary").collect())
     x = np.empty((len(got), DIMENSIONS), dtype=np.float32)
-    for k, (_, row) in enumerate(got):
-        x[k] = np.frombuffer(row, dtype="<f4")
-    langs = [k for k, _ in got]
+    for k, (_, _, row) in enumerate(got):
+        x[k] = np.frombuffer(zlib.decompress(row), dtype="<f4")
+    langs, sizes = [g[0] for g in got], np.array([g[1] for g in got], dtype=float)
     del got
-    return fit_model(x, langs)
+    return fit_model(x, langs, sizes)
 
 
 @functools.lru_cache(maxsize=2)
@@ -176,25 +210,24 @@ def _loaded(model: bytes) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, into: str = "language") -> DataFrame:
-    """``docs`` with a column ``into``: struct of ``lang`` and ``score``."""
+    """``docs`` with a column ``into``: struct of ``lang``, ``score`` and ``typical``."""
     if into in docs.columns:
         raise ValueError(f"there is a column {into} already")
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
-    result = docs.withColumn(into, F.lit(None).cast("struct<lang: string, score: double>"))
+    kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("typical", pa.bool_())])
+    result = docs.withColumn(into, F.lit(None).cast("struct<lang: string, score: double, typical: boolean>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _loaded(sent.value)
         for batch in batches:
-            found = [dict(zip(("lang", "score"), own.predict(t))) for t in batch.column("text").to_pylist()]
+            found = [dict(zip(("lang", "score", "typical"), own.predict(t))) for t in batch.column("text").to_pylist()]
             columns = [pa.array(found, kind) if c == into else batch.column(c) for c in batch.schema.names]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return result.mapInArrow(run, result.schema)
 
 
-def keep_known(docs: DataFrame, model: Model, least_score: float = 0.25) -> DataFrame:
-    """``docs`` without the rows whose language is unknown or scored below ``least_score``."""
+def keep_known(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` without the rows that have no letter or aren't typical of the language that is the likeliest."""
     into = fresh("language", docs.columns)
-    found = predict(docs, model, into)
-    return found.where((F.col(into)["lang"] != UNKNOWN) & (F.col(into)["score"] >= least_score)).select(*docs.columns)
+    return predict(docs, model, into).where(F.col(into)["typical"]).select(*docs.columns)

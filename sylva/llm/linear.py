@@ -82,26 +82,35 @@ def share(doc_id: Column, salt: str) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.lit(salt)), F.lit(_SHARES)) / F.lit(float(_SHARES))
 
 
-def sample_by_class(rows: DataFrame, label: str, most: int, salt: str) -> tuple[DataFrame, dict]:
+#: The most classes that are learned: the most frequent ones.
+MOST_CLASSES = 200
+
+
+def sample_by_class(rows: DataFrame, label: str, most: int, salt: str, most_classes: int = MOST_CLASSES) -> tuple[DataFrame, dict]:
     """About ``most`` rows of each class (all if there are fewer), chosen by their ids' hash, and the classes' counts.
 
-    Classes are few; of each only the count comes to the driver.
+    An id that many rows of the sample share gives the row of the smallest hash.  Of each class only the count comes to
+    the driver; of more than ``most_classes`` (say, in a column that holds something else) the most frequent are learned.
     """
-    counts = {r[label]: r["count"] for r in rows.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
+    found = rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(most_classes).collect()
+    counts = {r[label]: r["count"] for r in found}
     if not counts:
         return rows.limit(0), counts
-    keep = F.lit(False)
-    for value, n in counts.items():
-        keep = keep | ((F.col(label) == F.lit(value)) & (share(F.col("doc_id"), salt) < F.lit(min(1.0, most / n))))
-    return rows.where(keep), counts
+    shares = F.create_map(*(F.lit(x) for value, n in counts.items() for x in (value, min(1.0, most / n))))
+    chosen = rows.where(share(F.col("doc_id"), salt) < F.element_at(shares, F.col(label)))
+    others = [c for c in rows.columns if c != "doc_id"]
+    row = F.struct(F.xxhash64(*others).alias("hash"), F.struct(*others).alias("row"))
+    return chosen.groupBy("doc_id").agg(F.min(row).alias("least")).select("doc_id", "least.row.*"), counts
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int, salt: str) -> tuple[DataFrame, dict]:
     """``doc_id``, ``text``, ``y`` of about ``most`` labelled documents of each class, and the classes' counts.
 
-    A document labelled more than once has the largest of its labels.  The sample of labels is bounded by ``most``
-    and is broadcast.
+    A document labelled more than once has the largest of its labels, and one of several rows the text of the smallest hash.
+    The sample of labels is bounded by ``most`` and is broadcast.
     """
     one = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & train).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     chosen, counts = sample_by_class(one, "y", most, salt)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id"), counts
+    met = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "y")).alias("least")
+    return met.groupBy("doc_id").agg(least).select("doc_id", "least.text", "least.y"), counts

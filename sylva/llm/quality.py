@@ -15,7 +15,6 @@ from __future__ import annotations
 import functools
 import itertools
 import pickle
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -49,16 +48,14 @@ def features(text: str | None) -> list[float]:
     group = {k: sum(int(seen[ord(c)]) for c in v) / n for k, v in _GROUPS.items()}
     same = sum(a == b for a, b in zip(words, words[1:]))
     lengths = list(map(len, words))
+    signed = sum(k for c, k in Counter(w[-1] for w in words).items() if not c.isalnum() and c not in "_.,;:?")
     return [
         float(np.log1p(len(words))), sum(lengths) / m, int(seen[65:91].sum()) / n, group["digits"], group["sentence_signs"], group["shouts"], group["bars"], group["other_signs"], group["quotes"], int(seen[128:].sum()) / n,
-        len(counts) / m, same / m, max(counts.values(), default=0) / m, sum(x <= 3 for x in lengths) / m, sum(map(str.istitle, words)) / m, len(_SIGNED.findall(text)) / m,
+        len(counts) / m, same / m, max(counts.values(), default=0) / m, sum(x <= 3 for x in lengths) / m, sum(map(str.istitle, words)) / m, signed / m,
         float(np.log1p(len(lines))), len(words) / max(1, len(lines)), 1 - len(set(lines)) / max(1, len(lines)), int((seen > 0).sum()) / np.sqrt(n),
     ]
 
 
-_SIGNED = re.compile(r"[^\w\s.,;:?]+(?=\s|\Z)")
-
-
 @dataclass
 class Model:
     cuts: list[np.ndarray]

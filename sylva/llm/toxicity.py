@@ -24,10 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva.llm.linear import Sparse, fit, labelled, sigmoid
+from sylva.llm.tokenfiles import checkpoint_dir
 
 #: Labelled texts of each class that the model is fitted on, features it keeps, and how strongly swaps are penalised.
 SAMPLE, FEATURES, SWAP_WEIGHT = 2_500, 4_000, 10.0
 PREFIXES = (4, 5, 6, 7)
+#: A feature is learned if this many texts have it and the classes' shares of it differ by this many standard errors.
+LEAST_TEXTS, LEAST_Z = 4, 2.5
 #: Terms that name groups of people, by kind; a swap stays within its kind.
 IDENTITY_TERMS = {
     "gender": ("woman", "man", "women", "men", "girl", "boy", "female", "male", "transgender", "nonbinary", "femme", "homme", "frau", "mann", "mujer", "hombre"),
@@ -71,20 +74,51 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, train_rows, most: int = SAMPLE) -> Model:
-    """Fits on about ``most`` labelled documents of each class among ``train_rows`` of ``labels``."""
+    """Fits on about ``most`` labelled documents of each class among ``train_rows`` of ``labels``.
+
+    Spark counts the features and chooses those that are learned; of a text only these come to the driver, however
+    long it is.
+    """
+    checkpoint_dir(docs.sparkSession)
     rows, counts = labelled(docs, labels, label, train_rows, most, "toxicity")
+    rows = rows.select("y", "text").checkpoint()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
-                words = sorted(text_words(text))
-                found = np.array([f for w in words for f in word_features(w)], dtype=np.uint64)
-                swapped = [s for s in _swaps(words)]
-                columns = [pa.array([y], pa.int32()), pa.array([len(words)], pa.int64()), pa.array([found.tobytes()], pa.binary()), pa.array([[f"{a} {b}" for a, b in swapped]], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["y", "n_words", "features", "swaps"])
+                found = np.unique(_hashes(text_words(text))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), y, np.int32))], names=["feature", "y"])
+
+    sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    n1, n0 = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
+    found = rows.mapInArrow(seen, "feature long, y int").groupBy("feature").agg(F.count("*").alias("has"), F.sum("y").alias("has1"))
+    p = F.col("has") / (n1 + n0)
+    z = F.abs((F.col("has1") / n1 - (F.col("has") - F.col("has1")) / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12))
+    chosen = found.withColumn("z", z).where(f"has >= {LEAST_TEXTS} and z > {LEAST_Z}").orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
+    features = np.sort(np.array([r["feature"] for r in chosen], dtype=np.int64).view(np.uint64))
+
+    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [sample_row(y, text, features) for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist())]
+            columns = zip(*out) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())))], names=["y", "n_words", "columns", "times", "swaps"])
+
+    got = rows.mapInArrow(shown, "y int, n_words long, columns array<int>, times array<int>, swaps array<string>").collect()
+    return fit_model(sorted((r["y"], r["n_words"], tuple(r["columns"]), tuple(r["times"]), tuple(r["swaps"])) for r in got), features, counts)
+
+
+def _hashes(words) -> np.ndarray:
+    return np.array([f for w in words for f in word_features(w)], dtype=np.uint64)
+
 
-    got = rows.select("y", "text").mapInArrow(run, "y int, n_words long, features binary, swaps array<string>").collect()
-    return fit_model(sorted((r["y"], r["n_words"], bytes(r["features"]), tuple(r["swaps"])) for r in got), counts)
+def sample_row(y: int, text: str | None, features: np.ndarray) -> tuple:
+    """A text as the model is shown it: label, words, learned features, words that have each, and possible swaps."""
+    words = sorted(text_words(text))
+    of = _hashes(words)
+    at = np.searchsorted(features, of)
+    here = at[(at < len(features)) & (features[np.minimum(at, len(features) - 1)] == of)] if len(features) else at[:0]
+    columns, times = np.unique(here, return_counts=True)
+    return y, len(words), tuple(columns.tolist()), tuple(times.tolist()), tuple(f"{a} {b}" for a, b in _swaps(words))
 
 
 def _swaps(words: list[str]) -> list[tuple[str, str]]:
@@ -92,33 +126,20 @@ def _swaps(words: list[str]) -> list[tuple[str, str]]:
     return [(a, b) for terms in IDENTITY_TERMS.values() for a in terms if a in present for b in terms if b not in present]
 
 
-def fit_model(sample: list[tuple[int, int, bytes, tuple[str, ...]]], counts: dict[int, int]) -> Model:
+def fit_model(sample: list[tuple], features: np.ndarray, counts: dict[int, int]) -> Model:
+    """Fits rows of :func:`sample_row`; ``counts`` are the classes' true counts, which the sample is weighted to."""
     total = sum(counts.values())
     y = np.array([1 if s[0] else -1 for s in sample])
     if not len(y) or abs(y.sum()) == len(y):
         share = counts.get(1, 0) / total if total else 0.0
         return Model({}, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    each = [np.unique(np.frombuffer(s[2], dtype=np.uint64), return_counts=True) for s in sample]
-    rows = np.repeat(np.arange(len(sample)), [len(h) for h, _ in each])
-    hashes, times = np.concatenate([h for h, _ in each]), np.concatenate([c for _, c in each])
-    feature, column = np.unique(hashes, return_inverse=True)
-    # weights bring the sample back to the classes' true shares
-    n1, n0 = max(1, (y > 0).sum()), max(1, (y < 0).sum())
-    has1 = np.bincount(column, weights=(y > 0)[rows], minlength=len(feature))
-    has = np.bincount(column, minlength=len(feature))
-    p = has / len(y)
-    z = (has1 / n1 - (has - has1) / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-    z[has < 4] = 0
-    kept = np.sort(np.argsort(-np.abs(z), kind="stable")[:FEATURES])
-    kept = kept[np.abs(z[kept]) > 2.5]
-    place = np.full(len(feature), -1)
-    place[kept] = np.arange(len(kept))
-    use = place[column] >= 0
-    d = len(kept) + 1
+    n1, n0, d = (y > 0).sum(), (y < 0).sum(), len(features) + 1
+    rows = np.repeat(np.arange(len(sample)), [len(s[2]) for s in sample])
+    columns, times = (np.array([v for s in sample for v in s[k]], dtype=np.int64) for k in (2, 3))
     log_words = np.log1p([s[1] for s in sample])
-    x = Sparse(np.concatenate([rows[use], np.arange(len(y))]), np.concatenate([place[column[use]], np.full(len(y), d - 1)]), np.concatenate([np.minimum(times[use], 4).astype(float), log_words / 5]), (len(y), d))
-    index = {int(h): k for k, h in enumerate(feature[kept])}
-    pairs = [tuple(s.split(" ", 1)) for _, _, _, swaps in sample for s in swaps]
+    x = Sparse(np.concatenate([rows, np.arange(len(y))]), np.concatenate([columns, np.full(len(y), d - 1)]), np.concatenate([times.astype(float), log_words / 5]), (len(y), d))
+    index = {int(h): k for k, h in enumerate(features)}
+    pairs = [tuple(s.split(" ", 1)) for *_, swaps in sample for s in swaps]
     pairs += [(a, b) for terms in IDENTITY_TERMS.values() for a in terms for b in terms if a < b]
     equal = _differences(pairs, index, d)
     weights = np.where(y > 0, counts[1] / n1, counts[0] / n0)

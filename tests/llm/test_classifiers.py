@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sylva.llm import langid, quality, toxicity
+from sylva.llm import langid, linear, quality, toxicity
 from sylva.llm.queries import QUERIES
 from sylva.llm.tables import id_residue
 
@@ -28,7 +28,68 @@ def test_language_held_out(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name, label, recall, false", [("op5_quality", "quality", 0.97, 0.15), ("op9_toxicity", "toxic", 0.6, 0.05)])
+def test_unlearned_languages_go(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = langid.train(docs, id_residue(F.col("doc_id"), 3) != 1)
+    rng = np.random.default_rng(1)
+    noise = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), 300)) for _ in range(20)]
+    foreign = ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan, heille on annettu järki ja omatunto.", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw, są oni obdarzeni rozumem."]
+    short = [" ".join(r["text"].split()[:12]) for r in docs.where("length(text) > 2000 and doc_id % 3 = 0").limit(40).collect()]
+    typical = [[model.predict(t)[2] for t in texts] for texts in (noise, foreign, short)]
+    assert not any(typical[0]) and not any(typical[1]) and sum(typical[2]) >= 39
+    assert langid.keep_known(docs, model).count() >= 0.995 * docs.where("regexp_like(text, '[a-zA-Z]')").count()
+
+
+def test_scores_match_plain_loops(spark):
+    """Scores of the operators against sums over words, and table entries looked up one by one."""
+    texts = [(k, t) for k, t in enumerate(["Good calm lines, and more.", "BUY!! now ### idiot", "", "ein Idiot idiotisch IDIOT", "a\tb\nc"] * 8)]
+    docs = spark.createDataFrame([*texts, (None, "idiot")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int("idiot" not in t.lower()), int("idiot" in t.lower())) for k, t in texts], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels, "toxic", F.lit(True))
+    for r in toxicity.score(docs, model).join(docs, "doc_id").collect():
+        words = {"".join(w) for w in __import__("re").findall(r"[^\W\d_]+", r["text"].lower())}
+        total = model.bias + model.per_word * np.log(1 + len(words)) + sum(model.weights.get(f, 0) for w in words for f in toxicity.word_features(w))
+        assert abs(r["score"] - 1 / (1 + np.exp(-total))) < 1e-9
+    additive = quality.train(docs, labels, "quality", F.lit(True))
+    for r in quality.score(docs, additive).join(docs, "doc_id").collect():
+        x, total = quality.features(r["text"]), additive.base
+        for k, (cuts, table) in enumerate(zip(additive.cuts, additive.tables)):
+            total += table[sum(c <= x[k] for c in cuts)]
+        for i, j, table in additive.pairs:
+            total += table[sum(c <= x[i] for c in additive.pair_cuts[i]), sum(c <= x[j] for c in additive.pair_cuts[j])]
+        assert abs(r["score"] - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_features_take_linear_time():
+    import time
+
+    began = time.process_time()
+    quality.features("#" * 400_000 + "a" + "#" * 400_000)
+    assert time.process_time() - began < 5
+    assert quality.features("a## b! c. d$ #e")[quality.FEATURES.index("signed_words")] == 3 / 5
+
+
+def test_sample_is_bounded(spark):
+    """Rows that share an id don't add to the sample, and rare values of a dirty column aren't learned."""
+    rows = [(7, f"t{k}", "en") for k in range(500)] + [(k, "x", f"junk{k}") for k in range(50)] + [(100 + k, "y", "de") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    chosen, counts = linear.sample_by_class(df, "lang", 10**6, "s", most_classes=2)
+    assert counts == {"en": 500, "de": 30}
+    assert chosen.where("lang = 'en'").count() == 1 and chosen.where("lang = 'de'").count() == 30
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["op3_language", "op5_quality", "op9_toxicity"])
+def test_null_ids_are_not_held_out(spark, name, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{DATA}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    found = QUERIES[name](spark, str(tmp_path)).collect()
+    assert len(found) == 61 and {r["held_out"] for r in found if r["doc_id"] is None} == {False}
+
+
+@needs_data
+@pytest.mark.parametrize("name, label, recall, false", [("op5_quality", "quality", 0.97, 0.15), ("op9_toxicity", "toxic", 0.85, 0.05)])
 def test_scores_held_out(spark, name, label, recall, false):
     found = QUERIES[name](spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").where("held_out").select(label, "predicted", "score").collect()
     y, p = np.array([r[0] for r in found]), np.array([r[1] for r in found])
@@ -38,7 +99,7 @@ def test_scores_held_out(spark, name, label, recall, false):
 
 def languages(spark):
     words = {"en": "the cat sat with thought", "de": "der hund und schiff ich", "fr": "le chat est où déjà", "es": "el niño está año ñu"}
-    rows = [(k, " ".join([w, w.split()[k % 5], w.split()[k % 3]]), lang) for k, (lang, w) in enumerate((x, y) for _ in range(12) for x, y in words.items())]
+    rows = [(k, " ".join([w, w.split()[k % 5], w.split()[k % 3]]) * 5, lang) for k, (lang, w) in enumerate((x, y) for _ in range(12) for x, y in words.items())]
     return spark.createDataFrame([(i, t, lang, "x") for i, t, lang in rows] + [(None, "the cat", "en", "x"), (900, None, "en", "x"), (901, "123 !?", None, "x"), (902, "the cat sat", None, "x"), (902, "the cat sat", None, "x"), (903, "der hund " * 60_000, None, "x"), (904, "", "de", "x")], "doc_id long, text string, lang string, language string")
 
 
@@ -53,9 +114,9 @@ def test_language_odd_rows(spark):
     kept = langid.keep_known(df, model)
     assert kept.columns == df.columns and not {900, 901, 904} & {r["doc_id"] for r in kept.collect()}
     none = langid.train(df.limit(0), F.lit(True))
-    assert none.predict("the cat") == ("und", 0.0)
+    assert none.predict("the cat") == ("und", 0.0, False)
     single = langid.train(df.where("lang = 'en'"), F.lit(True))
-    assert single.predict("hund") == ("en", 1.0)
+    assert single.predict("hund")[:2] == ("en", 1.0)
     assert langid.predict(df.limit(0), model, "f").count() == 0
 
 
@@ -86,21 +147,25 @@ def test_scores_odd_rows(spark, operator, label):
     assert {r["score"] < 0.01 for r in operator.score(docs, operator.train(docs, labels.limit(0), label, F.lit(True))).collect()} == {True}
 
 
-def sample_of(texts):
-    out = []
+def fitted(texts, counts):
+    """The model of some labelled texts, with features chosen as the operator does."""
+    seen, n1, n0 = {}, sum(y for y, _ in texts), sum(1 - y for y, _ in texts)
     for y, t in texts:
-        words = sorted(toxicity.text_words(t))
-        out.append((y, len(words), np.array([f for w in words for f in toxicity.word_features(w)], dtype=np.uint64).tobytes(), tuple(f"{a} {b}" for a, b in toxicity._swaps(words))))
-    return sorted(out)
+        for f in set(toxicity._hashes(toxicity.text_words(t)).tolist()):
+            has = seen.setdefault(f, [0, 0])
+            has[y] += 1
+    z = {f: abs(b / n1 - a / n0) / np.sqrt((a + b) / len(texts) * (1 - (a + b) / len(texts)) * (1 / n1 + 1 / n0) + 1e-12) for f, (a, b) in seen.items()}
+    features = np.array(sorted(f for f, v in z.items() if v > toxicity.LEAST_Z and sum(seen[f]) >= toxicity.LEAST_TEXTS), dtype=np.uint64)
+    return toxicity.fit_model(sorted(toxicity.sample_row(y, t, features) for y, t in texts), features, counts)
 
 
 def test_identity_terms_do_not_move_the_score(monkeypatch):
     """Insults that mention a group more often than kind texts do must not make the mention itself toxic."""
     texts = [(1, f"you stupid gay {w} idiot") for w in "abcdefghij"] * 6 + [(0, f"a kind letter to {w}") for w in "klmnopqrst"] * 8 + [(0, "a straight answer")] * 20
     counts = {1: 60, 0: 100}
-    regular = toxicity.fit_model(sample_of(texts), counts)
+    regular = fitted(texts, counts)
     monkeypatch.setattr(toxicity, "SWAP_WEIGHT", 0.0)
-    free = toxicity.fit_model(sample_of(texts), counts)
+    free = fitted(texts, counts)
     odds = lambda m, t: np.log(m.score(t) / (1 - m.score(t)))
     shift = lambda m: abs(odds(m, "a gay letter to k") - odds(m, "a straight letter to k"))
     assert shift(regular) < 0.2 < 1 < shift(free)
