@@ -44,20 +44,42 @@ def block_masks(radius: int, blocks: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in signed]
 
 
+def _met(queries: DataFrame, prints: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """``query``, ``fingerprint``, ``distance`` and the other columns of ``prints``: each pair in radius once.
+
+    A pair meets in every table whose block it has in common, and counts in the first of them.
+    """
+    signed = block_masks(radius, blocks)
+    masks = F.array(*(F.lit(m).cast("long") for m in signed))
+
+    def tables(df: DataFrame, name: str) -> DataFrame:
+        others = [c for c in df.columns if c != "fingerprint"]
+        return df.select(F.col("fingerprint").alias(name), *others, F.posexplode(masks).alias("table", "mask")).select(name, *others, "table", F.col(name).bitwiseAND(F.col("mask")).alias("block"))
+
+    differing = F.col("query").bitwiseXOR(F.col("fingerprint"))
+    first = F.coalesce(*(F.when(differing.bitwiseAND(F.lit(m)) == 0, F.lit(k)) for k, m in enumerate(signed)))
+    distance = F.bit_count(differing)
+    asked = queries.select("fingerprint").where(F.col("fingerprint").isNotNull()).distinct()
+    pairs = tables(asked, "query").join(tables(prints, "fingerprint"), ["table", "block"])
+    return pairs.where((distance <= radius) & (F.col("table") == first)).drop("table", "block").withColumn("distance", distance)
+
+
 def find_within(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """``query``, ``fingerprint``, ``distance``: all different fingerprints of ``prints`` near one of ``queries``.
 
     Both have a long column ``fingerprint``; it is made distinct first, so copies don't multiply.
     """
-    masks = F.array(*(F.lit(m).cast("long") for m in block_masks(radius, blocks)))
+    held = prints.select("fingerprint").where(F.col("fingerprint").isNotNull()).distinct()
+    return _met(queries, held, radius, blocks)
 
-    def tables(df: DataFrame, name: str) -> DataFrame:
-        each = df.select("fingerprint").where(F.col("fingerprint").isNotNull()).distinct()
-        return each.select(F.col("fingerprint").alias(name), F.posexplode(masks).alias("table", "mask")).select(name, "table", F.col(name).bitwiseAND(F.col("mask")).alias("block"))
 
-    distance = simhash.bit_count_between(F.col("query"), F.col("fingerprint"))
-    pairs = tables(queries, "query").join(tables(prints, "fingerprint"), ["table", "block"]).where(distance <= radius)
-    return pairs.select("query", "fingerprint", distance.alias("distance")).distinct()
+def count_within(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """``query``, ``n``: how many of ``prints`` (``fingerprint``, ``copies``) are near each different one of ``queries``.
+
+    Pairs are added up where they meet; none leaves its task.
+    """
+    held = prints.where(F.col("fingerprint").isNotNull()).groupBy("fingerprint").agg(F.sum("copies").alias("copies"))
+    return _met(queries, held, radius, blocks).groupBy("query").agg(F.sum("copies").alias("n"))
 
 
 def succession(keys: DataFrame, order: list[str]) -> DataFrame:
@@ -118,8 +140,7 @@ def edited_likeness(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, queries
     found = plain.join(changed, ["key_", "hash_"]).join(order.select("key_", "hash_", "next_key_", "next_hash_"), ["key_", "hash_"]).join(after, ["next_key_", "next_hash_"])
 
     asked = plain.where(F.col("doc_id") % queries_every == 0)
-    held = plain.groupBy("fingerprint").agg(F.sum("copies").alias("documents"))
-    near = find_within(asked, plain).join(held, "fingerprint").groupBy("query").agg(F.sum("documents").alias("n_near"))
+    near = count_within(asked, plain.select("fingerprint", "copies")).withColumnRenamed("n", "n_near")
     found = found.join(near, found["fingerprint"] == near["query"], "left")
     found = found.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return found.select(

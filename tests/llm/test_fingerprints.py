@@ -282,4 +282,6 @@ def test_find_within(spark, radius, blocks):
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     table = lambda vs: spark.createDataFrame([(signed(v),) for v in vs], "fingerprint long")
     got = {(r["query"], r["fingerprint"], r["distance"]) for r in fingerprint.find_within(table(base), table(every + every), radius, blocks).collect()}
+    counted = {r["query"]: r["n"] for r in fingerprint.count_within(table(base), table(every + every).withColumn("copies", F.lit(1)), radius, blocks).collect()}
+    assert counted == {signed(a): 2 * sum((a ^ b).bit_count() <= radius for b in every) for a in base}
     assert got == {(signed(a), signed(b), (a ^ b).bit_count()) for a in base for b in every if (a ^ b).bit_count() <= radius}
