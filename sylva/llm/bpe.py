@@ -137,16 +137,18 @@ def _stitched(long: DataFrame, pattern: str, chunk_chars: int, overlap_chars: in
     sides = sides.where((F.col("s.piece") > 0) & (F.col("s.piece") < F.col("n_pieces"))).select("row", "s.*")
     side = lambda name: F.max(F.when(F.col("side") == name, F.col("at")))
     seams = sides.groupBy("row", "piece").agg(F.array_min(F.array_intersect(side("head"), side("tail"))).alias("seam"))
-    lost = seams.where(F.col("seam").isNull()).select("row").distinct()
-    seams = seams.join(lost, "row", "left_anti")
+    # where a chunk's piece begins and ends: small rows, which meet the chunks once
+    ends = F.explode(F.array(F.struct("piece", F.col("seam").alias("from"), F.lit(None).cast("long").alias("until")), F.struct((F.col("piece") - 1).alias("piece"), F.lit(None).cast("long").alias("from"), F.col("seam").alias("until"))))
+    cuts = seams.select("row", ends.alias("e")).groupBy("row", "e.piece").agg(F.max("e.from").alias("from"), F.max("e.until").alias("until"))
+    lost = seams.where(F.col("seam").isNull()).select("row", F.lit(True).alias("lost")).distinct()
+    met = chunks.join(cuts.join(lost, "row", "left"), ["row", "piece"])
 
-    until = seams.select("row", (F.col("piece") - 1).alias("piece"), F.col("seam").alias("until"))
-    cut_at = chunks.join(lost, "row", "left_anti").join(seams, ["row", "piece"], "left").join(until, ["row", "piece"], "left")
-    first = F.coalesce(F.col("seam") - F.col("start"), F.lit(0)).cast("int")
+    first = F.coalesce(F.col("from") - F.col("start"), F.lit(0)).cast("int")
     size = F.coalesce(F.col("until") - F.col("start"), F.length("chunk")).cast("int") - first
-    cut = cut_at.select("doc_id", "row", "piece", "n_pieces", "copies", F.col("chunk").substr(first + 1, size).alias("text"))
-    whole = keyed.join(lost, "row").select("doc_id", "row", F.lit(0).alias("piece"), F.lit(1).alias("n_pieces"), F.lit(1).cast("long").alias("copies"), "text")
-    return cut.unionByName(whole)
+    cut = met.where("lost is null").select("doc_id", "row", "piece", "n_pieces", "copies", F.col("chunk").substr(first + 1, size).alias("text"))
+    parts = F.sort_array(F.collect_list(F.struct("piece", F.left("chunk", F.lit(chunk_chars)).alias("part"))))
+    whole = met.where("lost").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("copies").alias("copies"), F.array_join(parts["part"], "").alias("text"))
+    return cut.unionByName(whole.select("doc_id", "row", F.lit(0).alias("piece"), F.lit(1).alias("n_pieces"), "copies", "text"))
 
 
 _PIECE = ("doc_id", "row", "piece", "n_pieces", "copies")
