@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sylva.llm.tables import scratch_path
+
 #: Characters of a chunk, and by how many it overlaps the next one.
 CHUNK_CHARS, OVERLAP_CHARS = 1 << 13, 1 << 9
 #: No alternative of the pattern looks further ahead than this many characters past its start.
@@ -77,10 +79,9 @@ def boundaries(text: str, pattern: str) -> list[int]:
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
-    """``doc_id``, ``row`` long, ``piece`` int, ``n_pieces`` int, ``copies`` long, ``ids`` array<int>.
+    """``doc_id``, ``row`` long, ``piece`` int, ``n_pieces`` int, ``ids`` array<int>.
 
-    A text's ids are those of its pieces in order.  ``row`` tells apart different texts under one ``doc_id``;
-    equal rows of several chunks are encoded once, with their number in ``copies``.
+    A text's ids are those of its pieces in order; ``row`` tells apart rows of several pieces.
     """
     alone, several = pieces(docs, vocabulary, chunk_chars, overlap_chars)
     return _encode_pieces(alone.unionByName(several), vocabulary)
@@ -102,14 +103,12 @@ def pieces(docs: DataFrame, vocabulary: Vocabulary, chunk_chars: int = CHUNK_CHA
     if overlap_chars <= LOOKAHEAD or chunk_chars <= overlap_chars:
         raise ValueError("a chunk must be longer than the overlap, and that longer than the look-ahead")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n_pieces", F.greatest(F.ceil(F.length("text") / chunk_chars), F.lit(1)).cast("int"))
-    alone = rows.where("n_pieces = 1").select("doc_id", F.lit(0).cast("long").alias("row"), F.lit(0).alias("piece"), "n_pieces", F.lit(1).cast("long").alias("copies"), "text")
+    alone = rows.where("n_pieces = 1").select("doc_id", F.lit(0).cast("long").alias("row"), F.lit(0).alias("piece"), "n_pieces", "text")
     return alone, _stitched(rows.where("n_pieces > 1"), vocabulary.pattern, chunk_chars, overlap_chars)
 
 
 def _stitched(long: DataFrame, pattern: str, chunk_chars: int, overlap_chars: int) -> DataFrame:
-    """Cuts each row's text at the seams of its chunks."""
-    # equal rows meet by their hashes; the text itself travels but once, in chunks
-    keyed = long.withColumn("row", F.xxhash64("doc_id", "text"))
+    """Cuts each row's text at the seams of its chunks, which are written to the folder that the cluster shares."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string())
@@ -120,8 +119,11 @@ def _stitched(long: DataFrame, pattern: str, chunk_chars: int, overlap_chars: in
                     parts = zip(*((doc_id, row, at + k, n, start, text[start : start + chunk_chars + overlap_chars]) for k, start in enumerate(places)))
                     yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(parts, kinds)], names=["doc_id", "row", "piece", "n_pieces", "start", "chunk"])
 
-    chunks = keyed.select("doc_id", "row", "n_pieces", "text").mapInArrow(cut_up, "doc_id long, row long, piece int, n_pieces int, start long, chunk string")
-    chunks = chunks.groupBy("row", "piece").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("doc_id", "n_pieces", "start", "chunk")))
+    spark, schema = long.sparkSession, "doc_id long, row long, piece int, n_pieces int, start long, chunk string"
+    path = scratch_path(spark, "chunks")
+    keyed = long.select("doc_id", F.monotonically_increasing_id().alias("row"), "n_pieces", "text")
+    keyed.mapInArrow(cut_up, schema).write.option("compression", "zstd").parquet(path)
+    chunks = spark.read.schema(schema).parquet(path)
 
     def pre_tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,13 +147,13 @@ def _stitched(long: DataFrame, pattern: str, chunk_chars: int, overlap_chars: in
 
     first = F.coalesce(F.col("from") - F.col("start"), F.lit(0)).cast("int")
     size = F.coalesce(F.col("until") - F.col("start"), F.length("chunk")).cast("int") - first
-    cut = met.where("lost is null").select("doc_id", "row", "piece", "n_pieces", "copies", F.col("chunk").substr(first + 1, size).alias("text"))
+    cut = met.where("lost is null").select("doc_id", "row", "piece", "n_pieces", F.col("chunk").substr(first + 1, size).alias("text"))
     parts = F.sort_array(F.collect_list(F.struct("piece", F.left("chunk", F.lit(chunk_chars)).alias("part"))))
-    whole = met.where("lost").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("copies").alias("copies"), F.array_join(parts["part"], "").alias("text"))
-    return cut.unionByName(whole.select("doc_id", "row", F.lit(0).alias("piece"), F.lit(1).alias("n_pieces"), "copies", "text"))
+    whole = met.where("lost").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_join(parts["part"], "").alias("text"))
+    return cut.unionByName(whole.select("doc_id", "row", F.lit(0).alias("piece"), F.lit(1).alias("n_pieces"), "text"))
 
 
-_PIECE = ("doc_id", "row", "piece", "n_pieces", "copies")
+_PIECE = ("doc_id", "row", "piece", "n_pieces")
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
@@ -163,7 +165,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Itera
 
 
 def _encode_pieces(cut: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    schema = "doc_id long, row long, piece int, n_pieces int, copies long, ids array<int>"
+    schema = "doc_id long, row long, piece int, n_pieces int, ids array<int>"
     return cut.mapInArrow(lambda batches: _encoded(batches, vocabulary), schema)
 
 
@@ -190,7 +192,7 @@ def int_lists(lists: list) -> pa.ListArray:
 
 def decode(pieces: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Adds ``bytes`` binary: the raw bytes of a piece's ids."""
-    schema = "doc_id long, row long, piece int, n_pieces int, copies long, ids array<int>, bytes binary"
+    schema = "doc_id long, row long, piece int, n_pieces int, ids array<int>, bytes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +200,7 @@ def decode(pieces: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             decoded = [decode_ids(x, vocabulary) for x in _each(ids)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, type=pa.binary())], names=[*batch.schema.names, "bytes"])
 
-    return pieces.select("doc_id", "row", "piece", "n_pieces", "copies", "ids").mapInArrow(run, schema)
+    return pieces.select("doc_id", "row", "piece", "n_pieces", "ids").mapInArrow(run, schema)
 
 
 def _each(lists: pa.ListArray) -> Iterator[list[int]]:
@@ -221,18 +223,18 @@ def _digested(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iter
     n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
     for batch in batches:
         out: list[tuple] = []
-        head = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "piece", "n_pieces", "copies")))
-        for (doc_id, piece, n_pieces, copies), ids in zip(head, _each(batch.column("ids"))):
+        head = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "piece", "n_pieces")))
+        for (doc_id, piece, n_pieces), ids in zip(head, _each(batch.column("ids"))):
             of_ids.update(("," * bool(n and ids) + ",".join(map(names.__getitem__, ids))).encode())
             of_bytes.update(b"".join(map(table.__getitem__, ids)))
             n += len(ids)
             if piece == n_pieces - 1:
-                out += [(doc_id, n, of_ids.hexdigest(), of_bytes.hexdigest())] * copies
+                out.append((doc_id, n, of_ids.hexdigest(), of_bytes.hexdigest()))
                 n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def together(pieces: DataFrame) -> DataFrame:
-    """Deals whole texts to the partitions, each with its pieces in order, one of equal rows after the other."""
+    """Deals whole texts to the partitions, each with its pieces in order."""
     return pieces.repartition("row").sortWithinPartitions("row", "piece")

@@ -28,8 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylva.llm.tables import spread_join
-from sylva.llm.tokenfiles import checkpoint_dir
+from sylva.llm.tables import checkpoint_dir, spread_join
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 BUDGET_TOKENS, HISTORY_TOKENS = 2_048, 256

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylva.llm.tokenfiles import checkpoint_dir
+from sylva.llm.tables import checkpoint_dir
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylva.llm.tables import fresh
-from sylva.llm.tokenfiles import checkpoint_dir
+from sylva.llm.tables import checkpoint_dir, fresh
 
 WINDOW_WORDS = 10
 #: Most bytes of windows in one automaton (some 50 bytes of memory for each), and of texts that wait for the next one.

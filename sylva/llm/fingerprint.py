@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.llm import simhash
-from sylva.llm.tokenfiles import checkpoint_dir
+from sylva.llm.tables import checkpoint_dir
 
 SHINGLE_WORDS = 2
 RADIUS, BLOCKS = 3, 5

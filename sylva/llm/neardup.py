@@ -32,8 +32,7 @@ from pyspark.sql import functions as F
 
 from sylva.llm import golay, simhash
 from sylva.llm.components import components
-from sylva.llm.tables import fresh, spread_join
-from sylva.llm.tokenfiles import checkpoint_dir
+from sylva.llm.tables import checkpoint_dir, fresh, spread_join
 
 #: The most differing bits for which two halves are sure to share a key.
 RADIUS = 3

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.llm import bpe, chat, decontam, fingerprint, langid, neardup, quality, simhash, substring, tokenfiles, toxicity
-from sylva.llm.tables import id_residue, small_batches, table
+from sylva.llm.tables import id_residue, scratch_path, small_batches, table
 
 
 def multilingual_vocabulary() -> bpe.Vocabulary:
@@ -77,7 +77,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     small_batches(spark)
-    path = tokenfiles.scratch_path(spark, "op7")
+    path = scratch_path(spark, "op7")
     tokenfiles.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return tokenfiles.with_starts(spark, path, tokenfiles.checksums(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 

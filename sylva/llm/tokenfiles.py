@@ -13,7 +13,6 @@ gives no rows.
 from __future__ import annotations
 
 import functools
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -225,22 +224,3 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
 
     rows = _placed(spark, path, "doc_id long, ids array<int>")
     return rows.mapInArrow(run, "doc_id long, file string, at long, n_tokens long, ids_crc32 long")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder for written tables in the folder that the cluster shares (``spark.checkpoint.dir``)."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of this machine where it is unset and the master is local, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-        import tempfile
-
-        shared = f"file://{tempfile.gettempdir()}/sylva-checkpoints"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared)
-    return shared

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva.llm.linear import Sparse, fit, labelled, sigmoid
-from sylva.llm.tokenfiles import checkpoint_dir
+from sylva.llm.tables import checkpoint_dir
 
 #: Labelled texts of each class that the model is fitted on, features it keeps, and how strongly swaps are penalised.
 SAMPLE, FEATURES, SWAP_WEIGHT = 2_500, 4_000, 10.0

@@ -83,7 +83,7 @@ def test_escape_round_trip(spark):
 @pytest.mark.parametrize("chunk, overlap", [(bpe.CHUNK_CHARS, bpe.OVERLAP_CHARS), (64, 16), (200, 60)])
 def test_bpe_matches_library(spark, chunk, overlap):
     texts = list(enumerate(odd_texts())) + [(None, "none"), (3, "x" * 5_000), (3, "again")]
-    clashing = documents(spark, texts).toDF("doc_id", "text", "row", "piece", "copies")
+    clashing = documents(spark, texts).toDF("doc_id", "text", "row", "piece", "chunk")
     got = bpe.encoded_digests(clashing, VOCABULARY, chunk, overlap).collect()
     want = []
     for i, t in texts:
