@@ -7,14 +7,10 @@ from pyspark.sql import functions as F
 
 ROOT = "."
 DIR_MARKER = "<dir>"
-#: Names that a scan leaves out unless told otherwise; each is a prefix.
+#: Names that a scan leaves out unless told otherwise; each is a prefix.
 DEFAULT_IGNORE = ("node_modules", ".git", "dist", "coverage")
 #: Names that a sync always leaves out.
-SYNC_IGNORE = (".sync-errors.log", ".fsagent-tmp-")
-
-
-def normalised(path: Column) -> Column:
-    return F.replace(path, F.lit("\\"), F.lit("/"))
+SYNC_IGNORE = (".sync-errors.log", ".sylva-tmp-")
 
 
 def basename(path: Column) -> Column:

@@ -6,21 +6,31 @@ within a range; what crosses ranges is one row for each key and range.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Uses ``spark.checkpoint.dir``; sets a folder of this machine where it is unset, as in tests."""
+    """Uses ``spark.checkpoint.dir``; a folder of this machine where it is unset and the master is local, as in tests."""
     if spark.sparkContext.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not shared:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
             import tempfile
 
             shared = f"file://{tempfile.gettempdir()}/sylva-checkpoints"
         spark.sparkContext.setCheckpointDir(shared)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that the cluster shares."""
+    checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def ranged(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """``rows`` with ``range_``, fixed by a checkpoint: bounds drawn anew could differ."""
     checkpoint_dir(rows.sparkSession)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sylva.functions import paths
 from sylva.operators.ordering import with_previous
 
-CLIENT, CONFLICT_MS = "NB-2510", 1_781_774_100_000
+CLIENT, CONFLICT_MS = "desk-7", 1_700_000_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

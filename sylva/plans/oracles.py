@@ -168,3 +168,9 @@ ORACLE_SQL: dict[str, str] = {
 _NAMES = "names AS (SELECT doc_id, doc_id * 1000 AS mtime, coalesce(source, '_') || '/' || CASE doc_id % 5 WHEN 0 THEN 'doc-' || doc_id WHEN 1 THEN 'doc-' || doc_id || '.txt' WHEN 2 THEN 'doc-' || doc_id || '.tar.gz' WHEN 3 THEN 'doc-' || doc_id || '.' ELSE '.doc-' || doc_id END AS path FROM documents)"
 ORACLE_SQL["path_parts"] = f"WITH {_NAMES} SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent, {_name('path')} AS name, {_stem('path')} AS stem, {_ext('path')} AS ext, CAST(len(string_split(path, '/')) AS INTEGER) AS depth FROM names"
 ORACLE_SQL["conflict_copy_names"] = f"WITH {_NAMES} SELECT path, {_copy('path', chr(39) + 'C1' + chr(39), _stamp('mtime * 7919'))} AS copy_path FROM names"
+ORACLE_SQL["stream_debounce"] = ORACLE_SQL["debounce_sessions"]
+ORACLE_SQL["stream_dedup"] = ORACLE_SQL["consecutive_dedup"]
+ORACLE_SQL["stream_classify"] = """
+WITH e AS (SELECT user_id || '/' || (event_id % 3) AS path, ts, event_id, event_type != 'purchase' AS present FROM events),
+k AS (SELECT *, coalesce(lag(present) OVER (PARTITION BY path ORDER BY ts, event_id), false) AS known FROM e)
+SELECT path, ts, CASE WHEN NOT present THEN 'deleted' WHEN known THEN 'modified' ELSE 'added' END AS change FROM k WHERE present OR known"""

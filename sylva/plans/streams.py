@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.operators.ordering import checkpoint_dir
+from sylva.operators.ordering import shared_folder
 from sylva.plans.catalogue import query
 from sylva.plans.fixtures import table
 from sylva.streaming import changes
@@ -20,11 +18,18 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("user_id").alias("client"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
 
 
+def _closing(spark: SparkSession, sf_dir: str, seconds: float) -> DataFrame:
+    """A stream of one row of no client, ``seconds`` after the last event: its watermark closes all open bursts."""
+    path = shared_folder(spark, "closing")
+    last = table(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("ts"))
+    row = last.select(F.lit(None).cast("long").alias("client"), F.timestamp_micros(F.unix_micros("ts") + int(seconds * 1e6)).alias("ts"), F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("string").alias("event_type"))
+    row.write.parquet(path)
+    return spark.readStream.schema(row.schema).parquet(path)
+
+
 def _run(stream: DataFrame) -> DataFrame:
     """Writes a stream's result to the shared folder until its source is read, and reads it."""
-    spark = stream.sparkSession
-    checkpoint_dir(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    spark, base = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
     schema = stream.schema
     stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).format("parquet").start(f"{base}/rows").awaitTermination()
     return spark.read.schema(schema).parquet(f"{base}/rows")
@@ -32,8 +37,9 @@ def _run(stream: DataFrame) -> DataFrame:
 
 @query
 def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bursts that the watermark has closed by the end of the table."""
-    return _run(changes.debounce(_events(spark, sf_dir)))
+    """All bursts of the table; a closing row moves the watermark past the last one's quiet gap."""
+    events = _events(spark, sf_dir).unionByName(_closing(spark, sf_dir, 2 * (6 + 1) * 3600))
+    return _run(changes.debounce(events)).where("last is not null")
 
 
 @query
@@ -44,6 +50,5 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each client and kind of event as a path that is present but for purchases."""
-    events = _events(spark, sf_dir)
-    found = events.select(F.concat_ws("/", F.col("client").cast("string"), F.pmod(F.col("event_id"), F.lit(3)).cast("string")).alias("path"), "ts", (F.col("event_type") != "purchase").alias("present"))
-    return _run(changes.classify(found))
+    path = F.concat_ws("/", F.col("client").cast("string"), F.pmod(F.col("event_id"), F.lit(3)).cast("string"))
+    return _run(changes.classify(_events(spark, sf_dir).select(path.alias("path"), "ts", "event_id", (F.col("event_type") != "purchase").alias("present"))))

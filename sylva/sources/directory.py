@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import shutil
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -155,8 +154,10 @@ def write_tree(tree: DataFrame, blobs: DataFrame, target: str) -> None:
 
 
 def _inside(target: str, path: str) -> str:
-    full = os.path.normpath(os.path.join(target, path))
-    if full != os.path.normpath(target) and not full.startswith(os.path.normpath(target) + os.sep):
+    full, root = os.path.normpath(os.path.join(target, path)), os.path.realpath(target)
+    # a link inside the target mustn't lead out of it either
+    above = os.path.realpath(os.path.dirname(full) if full != os.path.normpath(target) else full)
+    if not (full + os.sep).startswith(os.path.normpath(target) + os.sep) or not (above + os.sep).startswith(root + os.sep):
         raise RestoreError(f"{path} leaves the target")
     return full
 
@@ -168,14 +169,17 @@ def _make_dir(target: str, path: str) -> None:
         raise RestoreError(f"a file stands at or above {path}") from e
 
 
-def _write_file(target: str, row: Row) -> None:
+def _write_file(target: str, row: Row, create_dirs: bool = True) -> None:
     path = _inside(target, row["path"])
     if os.path.isdir(path):
         raise RestoreError(f"a directory stands at {row['path']}")
-    _make_dir(target, os.path.dirname(row["path"]) or ".")
-    temporary = os.path.join(os.path.dirname(path), f".fsagent-tmp-{os.getpid()}-{os.path.basename(path)}")
+    if create_dirs:
+        _make_dir(target, os.path.dirname(row["path"]) or ".")
+    elif not os.path.isdir(os.path.dirname(path)):
+        raise RestoreError(f"there is no directory for {row['path']}")
+    temporary = os.path.join(os.path.dirname(path), f".sylva-tmp-{os.getpid()}-{os.path.basename(path)}")
     Path(temporary).write_bytes(bytes(row["content"]))
-    if row["mtime"]:
+    if row["mtime"] is not None:
         os.utime(temporary, ns=(row["mtime"] * 1_000_000,) * 2)
     os.replace(temporary, path)
 
@@ -213,5 +217,24 @@ def copy_directory(spark: SparkSession, source: str, target: str) -> None:
     restore(spark, found, found.where("type = 'file'").select("blob_id", "content").dropDuplicates(["blob_id"]), target)
 
 
-def remove_target(target: str) -> None:
-    shutil.rmtree(target, ignore_errors=True)
+def blobs_to_files(blobs: DataFrame, target: str, create_dirs: bool = True, preserve_mtime: bool = True) -> None:
+    """Writes blobs (``path``, ``content``, ``mtime``) below ``target``, each file by a task and in one move.
+
+    Of several rows of one path the last in ``place`` is written, if there is such a column.  Without ``create_dirs`` a
+    missing directory is an error; without ``preserve_mtime`` files have the time of writing.
+    """
+    from sylva.operators import restore as plans
+
+    rows = plans.last_by_name(blobs, "path", "place") if "place" in blobs.columns else blobs
+    mtime = F.col("mtime") if preserve_mtime and "mtime" in rows.columns else F.lit(None).cast("long")
+    if create_dirs:
+        os.makedirs(target, exist_ok=True)
+    rows.select("path", mtime.alias("mtime"), "content").foreachPartition(lambda part: [_write_file(target, r, create_dirs) for r in part])
+
+
+def blob_to_file(blobs: DataFrame, blob_id: str, target: str, path: str, create_dirs: bool = True, mtime: int | None = None) -> None:
+    """Writes one stored blob to ``path`` below ``target``."""
+    row = blobs.where(F.col("blob_id") == blob_id).select(F.lit(path).alias("path"), F.lit(mtime).cast("long").alias("mtime"), "content").limit(1)
+    if row.isEmpty():
+        raise LookupError(f"no blob {blob_id}")
+    blobs_to_files(row, target, create_dirs)

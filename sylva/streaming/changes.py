@@ -33,8 +33,8 @@ def without_repeats(changes: DataFrame, client: str = "client", ts: str = "ts",
     return changes.groupBy(client).applyInPandasWithState(run, f"{client} long, {event} long, {value} string", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
-def classify(events: DataFrame) -> DataFrame:
-    """Events (``path``, ``ts``, ``present``) as changes: added, modified or deleted by whether the path was known.
+def classify(events: DataFrame, event: str = "event_id") -> DataFrame:
+    """Events (``path``, ``ts``, ``present``, and ``event``, which breaks ties) as changes: added, modified or deleted by whether the path was known.
 
     An event for a path that is neither known nor present is left out.
     """
@@ -42,14 +42,14 @@ def classify(events: DataFrame) -> DataFrame:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         known = state.get[0] if state.exists else False
         out = []
-        for ts, present in pd.concat(list(batches)).sort_values("ts", kind="stable")[["ts", "present"]].itertuples(index=False):
+        for ts, present in pd.concat(list(batches)).sort_values(["ts", event], kind="stable")[["ts", "present"]].itertuples(index=False):
             if present or known:
                 out.append((key[0], ts, ("modified" if known else "added") if present else "deleted"))
             known = bool(present)
         state.update((known,))
         yield pd.DataFrame(out, columns=["path", "ts", "change"])
 
-    return events.select("path", "ts", "present").groupBy("path").applyInPandasWithState(run, "path string, ts timestamp, change string", "known boolean", "append", GroupStateTimeout.NoTimeout)
+    return events.select("path", "ts", event, "present").groupBy("path").applyInPandasWithState(run, "path string, ts timestamp, change string", "known boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def first_seen(refs: DataFrame, late: str = "10 minutes") -> DataFrame:

@@ -36,30 +36,6 @@ def retry(act: Callable[[], T], attempts: int = 3, base_ms: int = 100, sleep: Ca
     raise ValueError("there must be an attempt")
 
 
-def within(spark: SparkSession, seconds: float, act: Callable[[], T], label: str) -> T:
-    """Runs ``act`` with its Spark jobs tagged, and interrupts them after ``seconds``."""
-    import threading
-
-    tag, over = f"sylva-{label}-{time.time_ns()}", threading.Event()
-
-    def stop() -> None:
-        over.set()
-        spark.interruptTag(tag)
-
-    timer = threading.Timer(seconds, stop)
-    timer.start()
-    spark.addTag(tag)
-    try:
-        return act()
-    except Exception as e:
-        if over.is_set():
-            raise TimeoutError(f"{label} took more than {seconds} s") from e
-        raise
-    finally:
-        spark.removeTag(tag)
-        timer.cancel()
-
-
 class Outbox(Protocol):
     def send(self, message: dict) -> None: ...
 
@@ -89,7 +65,7 @@ class Agent:
     tree: str
     client: str
     outbox: Outbox
-    ignore: tuple[str, ...] = paths.SYNC_IGNORE
+    ignore: tuple[str, ...] = ()
     conflicts: bool = True
     retries: int = 3
     base_ms: int = 5000
@@ -103,7 +79,7 @@ class Agent:
     missed: bool = False
 
     def extract(self) -> DataFrame:
-        return directory.scan(self.spark, self.root, self.ignore)
+        return directory.scan(self.spark, self.root, (*paths.SYNC_IGNORE, *self.ignore))
 
     def _key(self, entries: DataFrame) -> str:
         found = compare.content_key(entries.select("path", F.coalesce("blob_id", F.lit(paths.DIR_MARKER)).alias("blob_id"))).first()

@@ -132,3 +132,47 @@ def test_incoming_stream(spark, tmp_path):
     agent = Agent(spark, str(two), store, "docsTree", "B", messages, base_ms=0)
     agent.incoming(messages.stream(), str(tmp_path / "state"), available_now=True).awaitTermination()
     assert listing(two) == listing(one)
+
+
+def test_blob_writers_and_their_options(spark, tmp_path):
+    blobs = spark.createDataFrame([("a/x", 1, "k1", bytearray(b"old"), 5_000), ("a/x", 2, "k2", bytearray(b"new"), 9_000), ("y", 1, "k3", bytearray(b""), None)], "path string, place long, blob_id string, content binary, mtime long")
+    directory.blobs_to_files(blobs, str(tmp_path / "t"))
+    assert (tmp_path / "t/a/x").read_bytes() == b"new" and (tmp_path / "t/a/x").stat().st_mtime == 9
+    directory.blobs_to_files(blobs, str(tmp_path / "u"), preserve_mtime=False)
+    assert (tmp_path / "u/a/x").stat().st_mtime > 1_000_000 and (tmp_path / "u/y").read_bytes() == b""
+    (tmp_path / "v").mkdir()
+    with pytest.raises(Exception, match="no directory for"):
+        directory.blobs_to_files(blobs, str(tmp_path / "v"), create_dirs=False)
+    directory.blob_to_file(blobs, "k2", str(tmp_path / "v"), "flat.bin", create_dirs=False, mtime=7_000)
+    assert (tmp_path / "v/flat.bin").read_bytes() == b"new" and (tmp_path / "v/flat.bin").stat().st_mtime == 7
+    with pytest.raises(LookupError):
+        directory.blob_to_file(blobs, "none", str(tmp_path / "v"), "x")
+
+
+def test_a_link_in_the_target_leads_nowhere_else(spark, tmp_path):
+    (tmp_path / "target").mkdir()
+    (tmp_path / "elsewhere").mkdir()
+    (tmp_path / "target/link").symlink_to(tmp_path / "elsewhere")
+    rows = spark.createDataFrame([("link/x", bytearray(b"1"))], "path string, content binary")
+    with pytest.raises(Exception, match="leaves the target"):
+        directory.blobs_to_files(rows, str(tmp_path / "target"))
+    assert not list((tmp_path / "elsewhere").iterdir())
+
+
+def test_watch_finds_drift(spark, tmp_path):
+    from sylva.streaming.watch import Watch
+
+    root = tmp_path / "root"
+    (root / "d").mkdir(parents=True)
+    (root / "d/a").write_text("1")
+    (root / ".sync-errors.log").write_text("never told")
+    watch = Watch(spark, str(root), f"file://{tmp_path}/watch", ignore=("tmp",))
+    assert watch.step() == 1
+    (root / "d/a").write_text("2")
+    (root / "tmp-x").write_text("ignored")
+    (root / "b").write_text("3")
+    assert watch.step() == 2
+    (root / "b").unlink()
+    assert watch.step() == 3 == watch.step() - 1
+    told = spark.read.schema("step long, ts timestamp, path string, change string").parquet(f"{tmp_path}/watch/changes")
+    assert sorted((r["step"], r["path"], r["change"]) for r in told.collect()) == [(1, "d", "added"), (1, "d/a", "added"), (2, "b", "added"), (2, "d/a", "modified"), (3, "b", "deleted")]

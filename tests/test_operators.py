@@ -1,5 +1,8 @@
 """Operators against the tables of cases that their semantics are stated in."""
 
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,32 +19,23 @@ def content(spark, entries):
     return spark.createDataFrame(list(entries.items()), "path string, blob_id string")
 
 
-MERGES = [
-    # path, ancestor, ours, theirs, winner, merged, lost
-    ("unchanged", "u", "u", "u", "theirs", "u", None),
-    ("theirs deleted", "td", "td", None, "theirs", None, None),
-    ("only theirs changed", "t0", "t0", "t1", "theirs", "t1", None),
-    ("only ours changed", "o0", "o1", "o0", "theirs", "o1", None),
-    ("both changed", "c0", "cB", "cC", "theirs", "cC", "cB"),
-    ("both added same", None, "same", "same", "theirs", "same", None),
-    ("only ours added", None, "ao", None, "theirs", "ao", None),
-    ("only theirs added", None, None, "at", "theirs", "at", None),
-    ("both deleted", "x", None, None, "theirs", None, None),
-    ("winner ours", "a", "b", "c", "ours", "b", "c"),
-    ("loser edits, winner deletes", "a", "b", None, "theirs", None, "b"),
-    ("loser deletes, winner edits", "a", None, "c", "theirs", "c", None),
-    ("loser is directory", "a", "<dir>", "c", "theirs", "c", "<dir>"),
-]
+VALUES = [None, "one", "two", "three", paths.DIR_MARKER]
 
 
 @pytest.mark.parametrize("winner", ["ours", "theirs"])
 def test_three_way_merge(spark, winner):
-    cases = [c for c in MERGES if c[4] == winner]
-    sides = [content(spark, {c[0]: c[k] for c in cases if c[k] is not None}) if any(c[k] for c in cases) else spark.createDataFrame([], "path string, blob_id string") for k in (1, 2, 3)]
+    """Every pattern of what the ancestor and both sides hold at a path, against the rules."""
+    cases = {f"p{k}": v for k, v in enumerate(itertools.product(VALUES, repeat=3))}
+    sides = [content(spark, {p: v[k] for p, v in cases.items() if v[k] is not None}) for k in range(3)]
     plan = {r["path"]: r for r in merge.merge_plan(*sides, winner).collect()}
-    for name, a, b, c, _, merged, lost in cases:
-        assert (plan[name]["merged"], plan[name]["lost"]) == (merged, lost), name
-        assert plan[name]["conflict"] == (len({a, b, c}) == 3), name
+    for path, (base, ours, theirs) in cases.items():
+        if base is ours is theirs is None:
+            assert path not in plan
+            continue
+        first, second = (ours, theirs) if winner == "ours" else (theirs, ours)
+        conflict = len({base, ours, theirs}) == 3
+        merged = first if conflict or first != base else second
+        assert (plan[path]["merged"], plan[path]["lost"], plan[path]["conflict"]) == (merged, second if conflict else None, conflict), (path, base, ours, theirs)
 
 
 def test_merge_rejects_unknown_side(spark):
@@ -59,10 +53,11 @@ def test_merge_is_symmetric(spark):
 
 def test_conflict_names(spark):
     cases = [
-        ("document.txt", "NB-2510", 1781774100000, "document (conflicted copy NB-2510 2026-06-18 091500).txt"),
-        ("dir/README", "C1", 1781740800000, "dir/README (conflicted copy C1 2026-06-18 000000)"),
-        (".gitignore", "C1", 1781740800000, ".gitignore (conflicted copy C1 2026-06-18 000000)"),
-        ("a.tar.gz", "C1", 0, "a.tar (conflicted copy C1 1970-01-01 000000).gz"),
+        ("plan.md", "desk-7", 1_700_000_000_000, "plan (conflicted copy desk-7 2023-11-14 221320).md"),
+        ("a/b/Makefile", "x", 1_600_000_000_000, "a/b/Makefile (conflicted copy x 2020-09-13 122640)"),
+        ("etc/.profile", "x", 1_600_000_000_999, "etc/.profile (conflicted copy x 2020-09-13 122640)"),
+        ("v1.2/notes", "y z", 0, "v1.2/notes (conflicted copy y z 1970-01-01 000000)"),
+        ("logs.old.gz", "y", 0, "logs.old (conflicted copy y 1970-01-01 000000).gz"),
     ]
     df = spark.createDataFrame(cases, "path string, client string, ms long, want string")
     for r in df.withColumn("got", paths.conflict_name(F.col("path"), F.col("client"), F.col("ms"))).collect():
@@ -70,10 +65,11 @@ def test_conflict_names(spark):
 
 
 def test_conflict_copies_take_free_names(spark):
-    taken = "a (conflicted copy C1 1970-01-01 000000).txt"
-    plan = merge.merge_plan(content(spark, {"a.txt": "0"}), content(spark, {"a.txt": "1", taken: "t"}), content(spark, {"a.txt": "2", taken: "t"}))
-    got = merge.conflict_copies(plan, F.lit("C1"), F.lit(0)).collect()
-    assert [(r["copy_path"], r["blob_id"]) for r in got] == [("a (conflicted copy C1 1970-01-01 000000) (1).txt", "1")]
+    stamp = "(conflicted copy pc 1970-01-01 000000)"
+    taken = {f"m/n {stamp}.c": "t", f"m/n {stamp} (1).c": "u"}
+    plan = merge.merge_plan(content(spark, {"m/n.c": "base"}), content(spark, {"m/n.c": "mine", **taken}), content(spark, {"m/n.c": "yours", **taken}))
+    got = merge.conflict_copies(plan, F.lit("pc"), F.lit(0)).collect()
+    assert [(r["copy_path"], r["blob_id"]) for r in got] == [(f"m/n {stamp} (2).c", "mine")]
 
 
 def test_materialised_directories(spark):
@@ -82,32 +78,47 @@ def test_materialised_directories(spark):
     assert got == [("d", "directory"), ("d/f", "merged"), ("theirs", "directory")]
 
 
-GRAPHS = [
-    ("fork", {"B": ["A"], "D": ["B"], "E": ["B"], "A": []}, "D", "E", "B"),
-    ("linear", {"B": ["A"], "C": ["B"], "A": []}, "A", "C", "A"),
-    ("diamond", {"B": ["A"], "C": ["A"], "D": ["B", "C"], "E": ["A"], "A": []}, "D", "E", "A"),
-    ("diamond on b", {"PA": ["G"], "X2": ["G"], "B2": ["X2"], "C2": ["X2"], "D2": ["B2", "C2"], "G": []}, "PA", "D2", "G"),
-    ("dangling", {"P": ["GHOST"], "Q": ["GHOST2"]}, "P", "Q", None),
-]
+def random_graph(rng, n):
+    """Revisions 0 to n - 1 with up to three predecessors among the earlier ones, some of them without a row."""
+    return {f"v{k}": [rng.choice([f"v{j}" for j in range(k)] + ["lost"]) for _ in range(rng.choice([0, 1, 1, 2, 3]))] if k else [] for k in range(n)}
 
 
-@pytest.mark.parametrize("name, graph, a, b, want", GRAPHS, ids=[g[0] for g in GRAPHS])
-def test_common_ancestor(spark, name, graph, a, b, want):
-    found = spark.createDataFrame([("t", k, v) for k, v in graph.items()], "tree string, time_id string, previous array<string>")
-    pairs = spark.createDataFrame([("t", a, b)], "tree string, a string, b string")
-    assert history.common_ancestor(found, pairs).first()["ancestor"] == want
+def ways_up(graph, start):
+    """Every revision above ``start`` with the fewest hops and, of these ways, the first by the places of predecessors."""
+    found, level = {start: (0, ())}, [(start, ())]
+    while level:
+        steps = sorted((route + (place,), up) for at, route in level for place, up in enumerate(graph.get(at, [])) if up not in found)
+        level = []
+        for route, up in steps:
+            if up not in found:
+                found[up] = (len(route), route)
+                level.append((up, route))
+    return found
+
+
+def test_common_ancestor_of_random_graphs(spark):
+    rng = random.Random(12)
+    graphs = {f"t{k}": random_graph(rng, 14) for k in range(12)}
+    asked = [(t, f"v{rng.randrange(14)}", f"v{rng.randrange(14)}") for t in graphs for _ in range(4)]
+    found = spark.createDataFrame([(t, k, v) for t, g in graphs.items() for k, v in g.items()], "tree string, time_id string, previous array<string>")
+    pairs = spark.createDataFrame(sorted(set(asked)), "tree string, a string, b string")
+    for r in history.common_ancestor(found, pairs).collect():
+        of_a, of_b, graph = ways_up(graphs[r["tree"]], r["a"]), ways_up(graphs[r["tree"]], r["b"]), graphs[r["tree"]]
+        shared = sorted((of_b[v], v) for v in of_a if v in of_b and v in graph)
+        assert r["ancestor"] == (shared[0][1] if shared else None), r
 
 
 def test_relation_and_tips(spark):
-    graph = {"base": [], "A": ["base"], "C": ["base"], "D": ["A", "C"]}
+    rng = random.Random(3)
+    graph = random_graph(rng, 16)
     found = spark.createDataFrame([("t", k, v) for k, v in graph.items()], "tree string, time_id string, previous array<string>")
-    related = lambda head: {r["time_id"]: r["relation"] for r in history.relation(found, spark.createDataFrame([("t", head)], "tree string, head string")).collect()}
-    assert related("base")["A"] == "behind"
-    assert related("D")["base"] == "ahead"
-    assert related("A")["C"] == "diverged"
-    assert [r["time_id"] for r in history.tips(found).collect()] == ["D"]
-    assert history.forks(found).isEmpty()
-    assert {r["tree"] for r in history.forks(found.where("time_id != 'D'")).collect()} == {"t"}
+    for head in ("v3", "v9"):
+        got = {r["time_id"]: r["relation"] for r in history.relation(found, spark.createDataFrame([("t", head)], "tree string, head string")).collect()}
+        want = {v: "behind" if head in ways_up(graph, v) and v != head else "ahead" if v in ways_up(graph, head) else "diverged" for v in graph}
+        assert got == want
+    tips = {v for v in graph if not any(v in ups for ups in graph.values())}
+    assert {r["time_id"] for r in history.tips(found).collect()} == tips and len(tips) > 1
+    assert [(r["tree"], r["n_tips"]) for r in history.forks(found).collect()] == [("t", len(tips))]
 
 
 def test_merkle_is_deterministic_and_follows_changes(spark):
