@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -95,7 +96,9 @@ def encoded_digests(docs: DataFrame, vocabulary: Vocabulary, chunk_chars: int =
     """
     alone, several = pieces(docs, vocabulary, chunk_chars, overlap_chars)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return alone.mapInArrow(lambda batches: _digested(_encoded(batches, vocabulary), vocabulary), schema).unionByName(digests(together(_encode_pieces(several, vocabulary)), vocabulary))
+    packed = several.mapInArrow(lambda batches: _packed(_encoded(batches, vocabulary), vocabulary), "doc_id long, row long, piece int, n_pieces int, ids binary")
+    met = together(packed).mapInArrow(lambda batches: _digested(_unpacked(batches, vocabulary), vocabulary), schema)
+    return alone.mapInArrow(lambda batches: _digested(_encoded(batches, vocabulary), vocabulary), schema).unionByName(met)
 
 
 def pieces(docs: DataFrame, vocabulary: Vocabulary, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> tuple[DataFrame, DataFrame]:
@@ -164,6 +167,27 @@ def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Itera
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in _PIECE), int_lists(ids)], names=[*_PIECE, "ids"])
 
 
+def _width(vocabulary: Vocabulary) -> str:
+    return "<u2" if len(_load(*vocabulary._key)[1]) <= 1 << 16 else "<u4"
+
+
+def _packed(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """Pieces with their ids in few bytes, for the way to the task where a text's pieces meet."""
+    for batch in batches:
+        ids = batch.column("ids")
+        flat, ends = ids.values.to_numpy().astype(_width(vocabulary)), ids.offsets.to_numpy()
+        small = [zlib.compress(flat[a:b].tobytes(), 1) for a, b in zip(ends[:-1], ends[1:])]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _PIECE), pa.array(small, pa.binary())], names=[*_PIECE, "ids"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            ids = [np.frombuffer(zlib.decompress(x), _width(vocabulary)) for x in part.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in _PIECE), int_lists(ids)], names=[*_PIECE, "ids"])
+
+
 def _encode_pieces(cut: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     schema = "doc_id long, row long, piece int, n_pieces int, ids array<int>"
     return cut.mapInArrow(lambda batches: _encoded(batches, vocabulary), schema)
