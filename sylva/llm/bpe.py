@@ -142,6 +142,9 @@ def _stitched(long: DataFrame, pattern: str, chunk_chars: int, overlap_chars: in
     sides = sides.where((F.col("s.piece") > 0) & (F.col("s.piece") < F.col("n_pieces"))).select("row", "s.*")
     side = lambda name: F.max(F.when(F.col("side") == name, F.col("at")))
     seams = sides.groupBy("row", "piece").agg(F.array_min(F.array_intersect(side("head"), side("tail"))).alias("seam"))
+    # written first: what follows reads it twice, and Spark knows its size when it plans the join with the chunks
+    seams.write.parquet(f"{path}-seams")
+    seams = spark.read.schema("row long, piece int, seam long").parquet(f"{path}-seams")
     # where a chunk's piece begins and ends: small rows, which meet the chunks once
     ends = F.explode(F.array(F.struct("piece", F.col("seam").alias("from"), F.lit(None).cast("long").alias("until")), F.struct((F.col("piece") - 1).alias("piece"), F.lit(None).cast("long").alias("from"), F.col("seam").alias("until"))))
     cuts = seams.select("row", ends.alias("e")).groupBy("row", "e.piece").agg(F.max("e.from").alias("from"), F.max("e.until").alias("until"))
