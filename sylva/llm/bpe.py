@@ -114,45 +114,48 @@ def _stitched(long: DataFrame, pattern: str, chunk_chars: int, overlap_chars: in
     """Cuts each row's text at the seams of its chunks, which are written to the folder that the cluster shares."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
         for batch in batches:
             for doc_id, row, n, text in zip(*(column.to_pylist() for column in batch.columns)):
                 for at in range(0, n, 64):
                     places = [k * chunk_chars for k in range(at, min(n, at + 64))]
-                    parts = zip(*((doc_id, row, at + k, n, start, text[start : start + chunk_chars + overlap_chars]) for k, start in enumerate(places)))
-                    yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(parts, kinds)], names=["doc_id", "row", "piece", "n_pieces", "start", "chunk"])
+                    parts = zip(*((doc_id, row, at + k, n, text[start : start + chunk_chars + overlap_chars]) for k, start in enumerate(places)))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(parts, kinds)], names=["doc_id", "row", "piece", "n_pieces", "chunk"])
 
-    spark, schema = long.sparkSession, "doc_id long, row long, piece int, n_pieces int, start long, chunk string"
+    spark, schema = long.sparkSession, "doc_id long, row long, piece int, n_pieces int, chunk string"
     path = scratch_path(spark, "chunks")
     keyed = long.select("doc_id", F.monotonically_increasing_id().alias("row"), "n_pieces", "text")
     keyed.mapInArrow(cut_up, schema).write.option("compression", "zstd").parquet(path)
     chunks = spark.read.schema(schema).parquet(path)
 
+    kind, name = (pa.int16(), "smallint") if overlap_chars < 1 << 15 else (pa.int32(), "int")
+
     def pre_tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             heads, tails = [], []
-            for k, n, start, chunk in zip(*(batch.column(c).to_pylist() for c in ("piece", "n_pieces", "start", "chunk"))):
+            for k, n, chunk in zip(*(batch.column(c).to_pylist() for c in ("piece", "n_pieces", "chunk"))):
                 ends, last = boundaries(chunk, pattern), len(chunk) - LOOKAHEAD
-                heads.append([start + e for e in ends if e < overlap_chars] if k else [])
-                tails.append([start + e for e in ends if chunk_chars <= e <= last] if k < n - 1 else [])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("piece"), batch.column("n_pieces"), *(pa.array(x, pa.list_(pa.int64())) for x in (heads, tails))], names=["row", "piece", "n_pieces", "head", "tail"])
+                # both count from the start of the chunk that the seam is for
+                heads.append([e for e in ends if e < overlap_chars] if k else [])
+                tails.append([e - chunk_chars for e in ends if chunk_chars <= e <= last] if k < n - 1 else [])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("piece"), batch.column("n_pieces"), *(pa.array(x, pa.list_(kind)) for x in (heads, tails))], names=["row", "piece", "n_pieces", "head", "tail"])
 
-    found = chunks.select("row", "piece", "n_pieces", "start", "chunk").mapInArrow(pre_tokenise, "row long, piece int, n_pieces int, head array<long>, tail array<long>")
+    found = chunks.select("row", "piece", "n_pieces", "chunk").mapInArrow(pre_tokenise, f"row long, piece int, n_pieces int, head array<{name}>, tail array<{name}>")
     sides = found.select("row", F.explode(F.array(F.struct("piece", F.lit("head").alias("side"), F.col("head").alias("at")), F.struct((F.col("piece") + 1).alias("piece"), F.lit("tail").alias("side"), F.col("tail").alias("at")))).alias("s"), "n_pieces")
     sides = sides.where((F.col("s.piece") > 0) & (F.col("s.piece") < F.col("n_pieces"))).select("row", "s.*")
-    side = lambda name: F.max(F.when(F.col("side") == name, F.col("at")))
-    seams = sides.groupBy("row", "piece").agg(F.array_min(F.array_intersect(side("head"), side("tail"))).alias("seam"))
+    side = lambda which: F.max(F.when(F.col("side") == which, F.col("at")))
+    seams = sides.groupBy("row", "piece").agg(F.array_min(F.array_intersect(side("head"), side("tail"))).cast("int").alias("seam"))
     # written first: what follows reads it twice, and Spark knows its size when it plans the join with the chunks
     seams.write.parquet(f"{path}-seams")
-    seams = spark.read.schema("row long, piece int, seam long").parquet(f"{path}-seams")
+    seams = spark.read.schema("row long, piece int, seam int").parquet(f"{path}-seams")
     # where a chunk's piece begins and ends: small rows, which meet the chunks once
-    ends = F.explode(F.array(F.struct("piece", F.col("seam").alias("from"), F.lit(None).cast("long").alias("until")), F.struct((F.col("piece") - 1).alias("piece"), F.lit(None).cast("long").alias("from"), F.col("seam").alias("until"))))
+    ends = F.explode(F.array(F.struct("piece", F.col("seam").alias("from"), F.lit(None).cast("int").alias("until")), F.struct((F.col("piece") - 1).alias("piece"), F.lit(None).cast("int").alias("from"), F.col("seam").alias("until"))))
     cuts = seams.select("row", ends.alias("e")).groupBy("row", "e.piece").agg(F.max("e.from").alias("from"), F.max("e.until").alias("until"))
     lost = seams.where(F.col("seam").isNull()).select("row", F.lit(True).alias("lost")).distinct()
     met = chunks.join(cuts.join(lost, "row", "left"), ["row", "piece"])
 
-    first = F.coalesce(F.col("from") - F.col("start"), F.lit(0)).cast("int")
-    size = F.coalesce(F.col("until") - F.col("start"), F.length("chunk")).cast("int") - first
+    first = F.coalesce(F.col("from"), F.lit(0))
+    size = F.coalesce(F.col("until") + chunk_chars, F.length("chunk")) - first
     cut = met.where("lost is null").select("doc_id", "row", "piece", "n_pieces", F.col("chunk").substr(first + 1, size).alias("text"))
     parts = F.sort_array(F.collect_list(F.struct("piece", F.left("chunk", F.lit(chunk_chars)).alias("part"))))
     whole = met.where("lost").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_join(parts["part"], "").alias("text"))
@@ -175,19 +178,22 @@ def _width(vocabulary: Vocabulary) -> str:
 
 
 def _packed(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
-    """Pieces with their ids in few bytes, for the way to the task where a text's pieces meet."""
+    """Pieces with their ids in few bytes, for the way to the task where a text's pieces meet: all low bytes, then the higher ones."""
+    width = int(_width(vocabulary)[-1])
     for batch in batches:
         ids = batch.column("ids")
         flat, ends = ids.values.to_numpy().astype(_width(vocabulary)), ids.offsets.to_numpy()
-        small = [zlib.compress(flat[a:b].tobytes(), 1) for a, b in zip(ends[:-1], ends[1:])]
+        small = [zlib.compress(flat[a:b].view(np.uint8).reshape(-1, width).T.tobytes(), 1) for a, b in zip(ends[:-1], ends[1:])]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _PIECE), pa.array(small, pa.binary())], names=[*_PIECE, "ids"])
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    width = int(_width(vocabulary)[-1])
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
-            ids = [np.frombuffer(zlib.decompress(x), _width(vocabulary)) for x in part.column("ids").to_pylist()]
+            planes = [np.frombuffer(zlib.decompress(x), np.uint8).reshape(width, -1) for x in part.column("ids").to_pylist()]
+            ids = [np.ascontiguousarray(p.T).view(_width(vocabulary))[:, 0] for p in planes]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in _PIECE), int_lists(ids)], names=[*_PIECE, "ids"])
 
 
