@@ -145,14 +145,17 @@ def _stitched(long: DataFrame, pattern: str, chunk_chars: int, overlap_chars: in
     sides = sides.where((F.col("s.piece") > 0) & (F.col("s.piece") < F.col("n_pieces"))).select("row", "s.*")
     side = lambda which: F.max(F.when(F.col("side") == which, F.col("at")))
     seams = sides.groupBy("row", "piece").agg(F.array_min(F.array_intersect(side("head"), side("tail"))).cast("int").alias("seam"))
-    # written first: what follows reads it twice, and Spark knows its size when it plans the join with the chunks
+    # written first: what follows reads it twice
     seams.write.parquet(f"{path}-seams")
     seams = spark.read.schema("row long, piece int, seam int").parquet(f"{path}-seams")
     # where a chunk's piece begins and ends: small rows, which meet the chunks once
     ends = F.explode(F.array(F.struct("piece", F.col("seam").alias("from"), F.lit(None).cast("int").alias("until")), F.struct((F.col("piece") - 1).alias("piece"), F.lit(None).cast("int").alias("from"), F.col("seam").alias("until"))))
     cuts = seams.select("row", ends.alias("e")).groupBy("row", "e.piece").agg(F.max("e.from").alias("from"), F.max("e.until").alias("until"))
     lost = seams.where(F.col("seam").isNull()).select("row", F.lit(True).alias("lost")).distinct()
-    met = chunks.join(cuts.join(lost, "row", "left"), ["row", "piece"])
+    # of a written table Spark knows the size when it plans the join, so that chunks aren't shuffled to meet a small one
+    cuts = cuts.join(lost, "row", "left")
+    cuts.write.parquet(f"{path}-cuts")
+    met = chunks.join(spark.read.schema(cuts.schema).parquet(f"{path}-cuts"), ["row", "piece"])
 
     first = F.coalesce(F.col("from"), F.lit(0))
     size = F.coalesce(F.col("until") + chunk_chars, F.length("chunk")) - first
