@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sylva.operators.ordering import checkpoint_dir, positions
 
-#: Hops that are planned at once.
-_HOPS_AT_ONCE = 4
-
 
 def edges(history: DataFrame) -> DataFrame:
     """``tree``, ``time_id``, ``parent``, ``place`` of the parent among its revision's predecessors."""
@@ -46,39 +43,45 @@ def winner_of(tips_: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return tips_.groupBy(*keys).agg(F.max(place).alias("winner"), F.min(place).alias("loser"))
 
 
-def reach(history: DataFrame, starts: DataFrame, up: bool = True, most_hops: int = 100_000) -> DataFrame:
+def reach(history: DataFrame, starts: DataFrame, up: bool = True) -> DataFrame:
     """``tree``, ``start``, ``time_id``, ``hops``, ``route``: what each start reaches, itself included.
 
-    ``starts`` has ``tree`` and ``start``.  Breadth first, a few hops to a checkpoint; a revision reached on
-    several ways is kept once, on the shortest and of these on the first by the places of predecessors.  ``up``
-    follows predecessors, else successors.  Revisions without a row are reached but lead nowhere.
+    ``starts`` has ``tree`` and ``start``.  A revision reached on several ways is kept once, on the shortest and of these
+    on the first by the places of predecessors.  ``up`` follows predecessors, else successors.  Revisions without a row
+    are reached but lead nowhere; a null predecessor is none.
+
+    Jumps double: round k joins all that lies below 2^k hops with the jumps of just 2^k, so rounds grow with the
+    logarithm of the longest history.  Any part of a shortest way is a shortest way, so none is missed.  A route has an
+    entry only where it leaves the first predecessor (``at``: its hop, negated, and ``place``), and sorts as the list of
+    all places would: the earlier or greater departure is the later route.
     """
     checkpoint_dir(history.sparkSession)
-    links = edges(history)
+    links = edges(history).where("parent is not null")
     links = links.select("tree", F.col("time_id").alias("from_"), F.col("parent").alias("to_"), "place") if up else links.select("tree", F.col("parent").alias("from_"), F.col("time_id").alias("to_"), "place")
-    links = links.checkpoint()
-    route = F.array().cast("array<int>")
-    frontier = starts.select("tree", "start", F.col("start").alias("time_id"), F.lit(0).alias("hops"), route.alias("route")).distinct().checkpoint()
-    seen = frontier
-    hops = 0
-    while hops < most_hops:
-        news: list[DataFrame] = []
-        for _ in range(_HOPS_AT_ONCE):
-            hops += 1
-            step = frontier.join(links, (frontier["tree"] == links["tree"]) & (frontier["time_id"] == links["from_"])).select(frontier["tree"], "start", F.col("to_").alias("time_id"), F.lit(hops).alias("hops"), F.concat("route", F.array("place")).alias("route"))
-            frontier = step.groupBy("tree", "start", "time_id", "hops").agg(F.min("route").alias("route"))
-            known = seen
-            for n in news:
-                known = known.unionByName(n)
-            frontier = frontier.join(known.select("tree", "start", "time_id"), ["tree", "start", "time_id"], "left_anti")
-            news.append(frontier)
-        for n in news:
-            seen = seen.unionByName(n)
-        seen = seen.checkpoint()
-        frontier = seen.where(F.col("hops") == hops)
-        if frontier.isEmpty():
+    straight = F.array().cast("array<struct<at:int,place:int>>")
+    departure = F.array(F.struct(F.lit(0).alias("at"), F.col("place").cast("int").alias("place")))
+    links = links.select("tree", "from_", "to_", F.when(F.col("place") > 0, departure).otherwise(straight).alias("way"))
+    jumps = links.groupBy("tree", "from_", "to_").agg(F.min("way").alias("way")).checkpoint()
+    seen = starts.select("tree", "start", F.col("start").alias("time_id"), F.lit(0).alias("hops"), straight.alias("route")).distinct().checkpoint()
+    length = 1
+    while True:
+        onward = F.concat("route", _later("way", F.col("hops")))
+        step = seen.join(jumps.withColumnRenamed("from_", "time_id"), ["tree", "time_id"])
+        step = step.select("tree", "start", F.col("to_").alias("time_id"), F.struct((F.col("hops") + length).alias("hops"), onward.alias("route")).alias("best_"))
+        step = step.groupBy("tree", "start", "time_id").agg(F.min("best_").alias("best_"))
+        fresh = step.join(seen.select("tree", "start", "time_id"), ["tree", "start", "time_id"], "left_anti").select("tree", "start", "time_id", "best_.hops", "best_.route").checkpoint()
+        if fresh.isEmpty():
             return seen
-    raise RuntimeError(f"no end after {most_hops} hops")
+        seen = seen.unionByName(fresh)
+        on = jumps.select("tree", F.col("from_").alias("to_"), F.col("to_").alias("end_"), F.col("way").alias("on_"))
+        twice = jumps.join(on, ["tree", "to_"]).select("tree", "from_", F.col("end_").alias("to_"), F.concat("way", _later("on_", F.lit(length))).alias("way"))
+        jumps = twice.groupBy("tree", "from_", "to_").agg(F.min("way").alias("way")).checkpoint()
+        length *= 2
+
+
+def _later(way: str, hops: Column) -> Column:
+    """The departures of a way that begins after ``hops``."""
+    return F.transform(way, lambda d: F.struct((d["at"] - hops).cast("int").alias("at"), d["place"].alias("place")))
 
 
 def common_ancestor(history: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -96,6 +96,38 @@ def ways_up(graph, start):
     return found
 
 
+def dense(hops, route):
+    """The places of a way's predecessors, of which a route lists only those that aren't the first."""
+    places = [0] * hops
+    for d in route:
+        places[-d["at"]] = d["place"]
+    return tuple(places)
+
+
+def test_reach_of_random_graphs(spark):
+    rng = random.Random(8)
+    graphs = {f"t{k}": random_graph(rng, 20) for k in range(8)}
+    found = spark.createDataFrame([(t, k, v) for t, g in graphs.items() for k, v in g.items()], "tree string, time_id string, previous array<string>")
+    got = {t: {} for t in graphs}
+    for r in history.reach(found, found.where("time_id = 'v19'").select("tree", F.col("time_id").alias("start"))).collect():
+        assert r["time_id"] not in got[r["tree"]]
+        got[r["tree"]][r["time_id"]] = (r["hops"], dense(r["hops"], r["route"]))
+    assert got == {t: ways_up(g, "v19") for t, g in graphs.items()}
+
+
+def test_reach_of_a_long_chain_a_null_and_a_circle(spark):
+    n = 5000
+    chain = [("chain", f"v{k}", [f"v{k - 1}"] if k else None) for k in range(n)]
+    odd = [("odd", "a", [None, "b"]), ("odd", "b", ["c"]), ("odd", "c", ["a"])]
+    found = spark.createDataFrame(chain + odd, "tree string, time_id string, previous array<string>")
+    starts = spark.createDataFrame([("chain", f"v{n - 1}"), ("odd", "a"), ("none", "x")], "tree string, start string")
+    got = {(r["tree"], r["time_id"]): r["hops"] for r in history.reach(found, starts).collect()}
+    want = {("chain", f"v{k}"): n - 1 - k for k in range(n)} | {("odd", "a"): 0, ("odd", "b"): 1, ("odd", "c"): 2, ("none", "x"): 0}
+    assert got == want
+    below = history.reach(found, spark.createDataFrame([("chain", "v0")], "tree string, start string"), up=False)
+    assert below.count() == n
+
+
 def test_common_ancestor_of_random_graphs(spark):
     rng = random.Random(12)
     graphs = {f"t{k}": random_graph(rng, 14) for k in range(12)}
