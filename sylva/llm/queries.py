@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm import bpe, chat, decontam, fingerprint, langid, neardup, quality, simhash, substring, tokenfiles, toxicity
+from sylva.llm import bagrank, balltree, bpe, chat, decontam, fingerprint, hardneg, langid, neardup, quality, simhash, substring, tokenfiles, toxicity
 from sylva.llm.tables import id_residue, scratch_path, small_batches, table
 
 
@@ -94,7 +94,27 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_windows, op2_byte_bpe, op3_language, op4_fingerprints, op5_quality, op6_decontaminate, op7_token_files, op8_substring_dedup, op9_toxicity, op10_near_duplicates)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives of another label for the best positives of every vector whose id is divisible by 100."""
+    small_batches(spark)
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hardneg.mine(rows, F.col("vec_id") % 100 == 0, label)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents for each benchmark item."""
+    small_batches(spark)
+    return bagrank.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest other vectors of every vector whose id is divisible by 50."""
+    small_batches(spark)
+    return balltree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_windows, op2_byte_bpe, op3_language, op4_fingerprints, op5_quality, op6_decontaminate, op7_token_files, op8_substring_dedup, op9_toxicity, op10_near_duplicates, op11_hard_negatives, op12_ranked_search, op13_top_k)}
 
 _OP1 = r"""
 WITH c AS (
@@ -140,4 +160,35 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k
 FROM d LEFT JOIN kept USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_windows": _OP1, "op6_decontaminate": _OP6, "op8_substring_dedup": _OP8}
+_VECTORS = """v AS (SELECT row_number() OVER () AS r, vec_id, {label} AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+_OP11 = f"""
+WITH {_VECTORS.format(label="CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")},
+s AS (SELECT a.r AS ar, a.vec_id AS anchor_id, c.r AS cr, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.r <> c.r WHERE a.vec_id % 100 = 0 AND a.label IS NOT NULL AND c.label IS NOT NULL),
+p AS (SELECT * FROM (SELECT ar, anchor_id, cr, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id NULLS LAST) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.ar, p.cr ORDER BY s.score DESC, s.vec_id NULLS LAST) AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+  FROM p JOIN s ON p.ar = s.ar WHERE NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+_OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+i AS (SELECT row_number() OVER () AS ir, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+c AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, CAST(coalesce(sum(len(w)), 0) AS BIGINT) AS n_terms FROM d),
+it AS (SELECT DISTINCT ir, item_id, term FROM (SELECT ir, item_id, unnest(w) AS term FROM i)),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM it) GROUP BY r, term),
+wt AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM tf, c GROUP BY term, n_docs),
+m AS (SELECT r, doc_id, 100 - 50 + (50 * len(w) * n_docs) // n_terms AS m FROM d, c WHERE len(w) > 0),
+s AS (SELECT ir, item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM it JOIN tf USING (term) JOIN wt USING (term) JOIN m USING (r) GROUP BY ir, item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY ir ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 50
+"""
+
+_OP13 = f"""
+WITH {_VECTORS.format(label="0")},
+s AS (SELECT q.r AS qr, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s) WHERE rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_chat_windows": _OP1, "op6_decontaminate": _OP6, "op8_substring_dedup": _OP8, "op11_hard_negatives": _OP11, "op12_ranked_search": _OP12, "op13_top_k": _OP13}
