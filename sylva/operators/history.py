@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylva.operators.ordering import checkpoint_dir, positions
+from sylva.operators.ordering import positions
+from sylva.operators.reach import reach
 
 
 def edges(history: DataFrame) -> DataFrame:
@@ -43,70 +44,39 @@ def winner_of(tips_: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return tips_.groupBy(*keys).agg(F.max(place).alias("winner"), F.min(place).alias("loser"))
 
 
-def reach(history: DataFrame, starts: DataFrame, up: bool = True) -> DataFrame:
-    """``tree``, ``start``, ``time_id``, ``hops``, ``route``: what each start reaches, itself included.
-
-    ``starts`` has ``tree`` and ``start``.  A revision reached on several ways is kept once, on the shortest and of these
-    on the first by the places of predecessors.  ``up`` follows predecessors, else successors.  Revisions without a row
-    are reached but lead nowhere; a null predecessor is none.
-
-    Jumps double: round k joins all that lies below 2^k hops with the jumps of just 2^k, so rounds grow with the
-    logarithm of the longest history.  Any part of a shortest way is a shortest way, so none is missed.  A route has an
-    entry only where it leaves the first predecessor (``at``: its hop, negated, and ``place``), and sorts as the list of
-    all places would: the earlier or greater departure is the later route.
-    """
-    checkpoint_dir(history.sparkSession)
-    links = edges(history).where("parent is not null")
-    links = links.select("tree", F.col("time_id").alias("from_"), F.col("parent").alias("to_"), "place") if up else links.select("tree", F.col("parent").alias("from_"), F.col("time_id").alias("to_"), "place")
-    straight = F.array().cast("array<struct<at:int,place:int>>")
-    departure = F.array(F.struct(F.lit(0).alias("at"), F.col("place").cast("int").alias("place")))
-    links = links.select("tree", "from_", "to_", F.when(F.col("place") > 0, departure).otherwise(straight).alias("way"))
-    jumps = links.groupBy("tree", "from_", "to_").agg(F.min("way").alias("way")).checkpoint()
-    seen = starts.select("tree", "start", F.col("start").alias("time_id"), F.lit(0).alias("hops"), straight.alias("route")).distinct().checkpoint()
-    length = 1
-    while True:
-        onward = F.concat("route", _later("way", F.col("hops")))
-        step = seen.join(jumps.withColumnRenamed("from_", "time_id"), ["tree", "time_id"])
-        step = step.select("tree", "start", F.col("to_").alias("time_id"), F.struct((F.col("hops") + length).alias("hops"), onward.alias("route")).alias("best_"))
-        step = step.groupBy("tree", "start", "time_id").agg(F.min("best_").alias("best_"))
-        fresh = step.join(seen.select("tree", "start", "time_id"), ["tree", "start", "time_id"], "left_anti").select("tree", "start", "time_id", "best_.hops", "best_.route").checkpoint()
-        if fresh.isEmpty():
-            return seen
-        seen = seen.unionByName(fresh)
-        on = jumps.select("tree", F.col("from_").alias("to_"), F.col("to_").alias("end_"), F.col("way").alias("on_"))
-        twice = jumps.join(on, ["tree", "to_"]).select("tree", "from_", F.col("end_").alias("to_"), F.concat("way", _later("on_", F.lit(length))).alias("way"))
-        jumps = twice.groupBy("tree", "from_", "to_").agg(F.min("way").alias("way")).checkpoint()
-        length *= 2
-
-
-def _later(way: str, hops: Column) -> Column:
-    """The departures of a way that begins after ``hops``."""
-    return F.transform(way, lambda d: F.struct((d["at"] - hops).cast("int").alias("at"), d["place"].alias("place")))
-
-
-def common_ancestor(history: DataFrame, pairs: DataFrame) -> DataFrame:
+def common_ancestor(history: DataFrame, pairs: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
     """``tree``, ``a``, ``b``, ``ancestor``: the revision in the history of both with the fewest hops from ``b``.
 
-    Ties go to the first way by the places of predecessors; null if there is none.  ``pairs`` has ``tree``, ``a``, ``b``.
+    Ties go to the first way by the places of predecessors, which is sought only where there are any; null if there
+    is none.  ``pairs`` has ``tree``, ``a``, ``b``.
     """
-    above = reach(history, pairs.select("tree", F.col("a").alias("start")).unionByName(pairs.select("tree", F.col("b").alias("start"))))
+    above = reach(history, pairs.select("tree", F.col("a").alias("start")).unionByName(pairs.select("tree", F.col("b").alias("start"))), order=order).checkpoint()
     rows = history.select("tree", "time_id").distinct()
     of_a = pairs.join(above.select("tree", F.col("start").alias("a"), "time_id"), ["tree", "a"])
-    of_b = above.select("tree", F.col("start").alias("b"), "time_id", "hops", "route")
+    of_b = above.select("tree", F.col("start").alias("b"), "time_id", "hops")
     shared = of_a.join(of_b, ["tree", "b", "time_id"]).join(rows, ["tree", "time_id"], "left_semi")
-    nearest = shared.groupBy("tree", "a", "b").agg(F.min_by("time_id", F.struct("hops", "route")).alias("ancestor"))
-    return pairs.select("tree", "a", "b").join(nearest, ["tree", "a", "b"], "left")
-
-
-def relation(history: DataFrame, heads: DataFrame) -> DataFrame:
+    least = shared.groupBy("tree", "a", "b").agg(F.min("hops").alias("hops"))
+    nearest = shared.join(least, ["tree", "a", "b", "hops"]).checkpoint()
+    tied = nearest.groupBy("tree", "a", "b").agg(F.count("*").alias("n")).where("n > 1").select("tree", "a", "b").checkpoint()
+    if tied.isEmpty():
+        chosen = nearest.select("tree", "a", "b", F.col("time_id").alias("ancestor"))
+    else:
+        among = nearest.join(tied, ["tree", "a", "b"]).select("tree", F.col("b").alias("start"), "time_id").distinct()
+        ways = reach(history, among.select("tree", "start").distinct(), order=order, routes_to=among).join(among, ["tree", "start", "time_id"], "left_semi")
+        routed = nearest.join(ways.select("tree", F.col("start").alias("b"), "time_id", "route"), ["tree", "b", "time_id"], "left")
+        chosen = routed.groupBy("tree", "a", "b").agg(F.min_by("time_id", F.struct("route")).alias("ancestor"))
+    return pairs.select("tree", "a", "b").join(chosen, ["tree", "a", "b"], "left")
+
+
+def relation(history: DataFrame, heads: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
     """``tree``, ``head``, ``time_id``, ``relation`` of every revision to its tree's head (``tree``, ``head``).
 
     ``behind``: the head is among the revision's predecessors or their ancestors, so following it is safe; ``ahead``:
     the revision is in the head's own history; else ``diverged``.
     """
     starts = heads.select("tree", F.col("head").alias("start"))
-    above = reach(history, starts).select("tree", "time_id").withColumn("above", F.lit(True))
-    below = reach(history, starts, up=False).where(F.col("hops") > 0).select("tree", "time_id").withColumn("below", F.lit(True))
+    above = reach(history, starts, order=order).select("tree", "time_id").withColumn("above", F.lit(True))
+    below = reach(history, starts, up=False, order=order).where(F.col("hops") > 0).select("tree", "time_id").withColumn("below", F.lit(True))
     every = history.select("tree", "time_id").join(heads, "tree").join(above, ["tree", "time_id"], "left").join(below, ["tree", "time_id"], "left")
     kind = F.when(F.col("below"), "behind").when(F.col("above"), "ahead").otherwise("diverged")
     return every.select("tree", "head", "time_id", kind.alias("relation"))

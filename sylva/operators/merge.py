@@ -63,7 +63,7 @@ def conflict_copies(plan: DataFrame, client: Column, ms: Column) -> DataFrame:
     return result
 
 
-def materialised(plan: DataFrame, copies: DataFrame) -> DataFrame:
+def materialised(plan: DataFrame, copies: DataFrame, winner: str = "theirs") -> DataFrame:
     """The tree that resolving leaves behind: ``path``, ``blob_id``, ``origin`` (merged, copy, directory).
 
     Files are the merged ones and the copies.  Directory markers are neither written nor removed: directories are
@@ -72,6 +72,6 @@ def materialised(plan: DataFrame, copies: DataFrame) -> DataFrame:
     files = merged_map(plan).where(F.col("blob_id") != paths.DIR_MARKER).withColumn("origin", F.lit("merged"))
     files = files.unionByName(copies.select(F.col("copy_path").alias("path"), "blob_id", F.lit("copy").alias("origin")))
     implied = files.select(F.explode(paths.ancestors(F.col("path"))).alias("path"))
-    own = plan.where(F.col("c") == paths.DIR_MARKER).select("path")
+    own = plan.where(F.col("b" if winner == "ours" else "c") == paths.DIR_MARKER).select("path")
     dirs = implied.unionByName(own).where(F.col("path") != paths.ROOT).distinct()
     return files.unionByName(dirs.select("path", F.lit(paths.DIR_MARKER).alias("blob_id"), F.lit("directory").alias("origin")))

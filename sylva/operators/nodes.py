@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,38 +26,10 @@ def directories(files: DataFrame, explicit: DataFrame | None = None) -> DataFram
 
 
 def merkle_nodes(files: DataFrame, explicit_dirs: DataFrame | None = None) -> DataFrame:
-    """All nodes of the tree over ``files``, hashed level by level from the leaves to the root.
+    """All nodes of the tree over ``files``, hashed level by level from the leaves to the root (see :mod:`.merkle`)."""
+    from sylva.operators import merkle
 
-    A directory's hash covers its name, path and the set of its children's hashes.  Children are summed up before they
-    are shuffled, so a directory of any number of files costs one row for each task.
-    """
-    checkpoint_dir(files.sparkSession)
-    leaves = file_nodes(files)
-    dirs = directories(files, explicit_dirs).withColumn("depth", paths.depth(F.col("path"))).checkpoint()
-    deepest = dirs.agg(F.max("depth").alias("d")).first()["d"]
-    columns = leaves.columns
-    lanes = [f"lane{k}" for k in range(4)]
-
-    def sums_of(nodes: DataFrame) -> DataFrame:
-        return nodes.groupBy(paths.parent(F.col("path")).alias("path")).agg(F.count("*").alias("n_children"), *hashing.set_lanes(F.col("hash")))
-
-    # all files are summed up in one pass, to a row for each directory
-    of_files = sums_of(leaves).checkpoint()
-    below = leaves.limit(0)
-    done = [leaves]
-    for level in range(deepest, -1, -1):
-        own = dirs.where(F.col("depth") == level).select("path")
-        parts = of_files.join(own, "path", "left_semi").unionByName(sums_of(below))
-        sums = parts.groupBy("path").agg(F.sum("n_children").alias("n_children"), *(F.sum(x).cast("decimal(38,0)").alias(x) for x in lanes))
-        here = own.join(sums, "path", "left").select("path", F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"), *(F.coalesce(x, F.lit(0)).cast("decimal(38,0)").alias(x) for x in lanes))
-        name = F.when(F.col("path") == paths.ROOT, F.lit(paths.ROOT)).otherwise(paths.basename(F.col("path")))
-        digest = hashing.set_hash(F.lit("directory"), name, F.col("path"), F.col("n_children"))
-        below = here.select(
-            "path", name.alias("name"), F.lit("directory").alias("type"), (F.col("n_children") > 0).alias("is_parent"), "n_children",
-            F.lit(None).cast("long").alias("size"), F.lit(None).cast("string").alias("blob_id"), F.lit(None).cast("long").alias("mtime"), digest.alias("hash"),
-        ).checkpoint()
-        done.append(below)
-    return reduce(DataFrame.unionByName, done).select(*columns)
+    return merkle.roll_up(files, explicit_dirs).select(*merkle.NODE)
 
 
 def children(nodes: DataFrame) -> DataFrame:
@@ -68,7 +38,7 @@ def children(nodes: DataFrame) -> DataFrame:
     return positions(edges, ["parent_path"], ["name"]).select("parent_path", "pos", "path", "hash")
 
 
-def fetch_tree(nodes: DataFrame, edges: DataFrame, root_hash: str, most_rounds: int = 10_000) -> DataFrame:
+def fetch_tree(nodes: DataFrame, edges: DataFrame, root_hash: str) -> DataFrame:
     """All nodes under ``root_hash`` with their ``level``, following ``edges`` (``parent_hash``, ``hash``) breadth first.
 
     A child without a node is left out, a node reached twice is given once, at its first level.
@@ -79,8 +49,9 @@ def fetch_tree(nodes: DataFrame, edges: DataFrame, root_hash: str, most_rounds:
     frontier = nodes.where(F.col("hash") == root_hash).select("hash", F.lit(0).alias("level")).distinct().checkpoint()
     if frontier.isEmpty():
         raise LookupError(f"there is no node {root_hash}")
-    seen = frontier
-    for level in range(1, most_rounds):
+    seen, level = frontier, 0
+    while True:
+        level += 1
         step = frontier.select(F.col("hash").alias("parent_hash")).join(edges, "parent_hash").select("hash").distinct()
         frontier = step.join(seen.select("hash"), "hash", "left_anti").join(nodes.select("hash").distinct(), "hash", "left_semi").select("hash", F.lit(level).alias("level")).checkpoint()
         if frontier.isEmpty():

@@ -13,7 +13,7 @@ from sylva.operators import compare, history, merge
 
 @dataclass
 class Resolution:
-    """The losing and the winning revision, the plan of their merge, and the tree it leaves (``path``, ``blob_id``, ``origin``)."""
+    """The losing and the winning revision, the plan of their merge, and the tree it leaves (``path``, ``blob_id``, ``origin``, ``mtime``)."""
 
     loser: str
     winner: str
@@ -34,19 +34,30 @@ def resolve(store, tree: str) -> Resolution | None:
     pairs = store.spark.createDataFrame([(tree, pair["loser"], pair["winner"])], "tree string, a string, b string")
     shared = history.common_ancestor(revisions, pairs).first()["ancestor"]
     loser, winner = rows[pair["loser"]], rows[pair["winner"]]
-    maps = [compare.content_map(store.get(r["ref"])) for r in (loser, winner)]
+    trees = [store.get(r["ref"]) for r in (loser, winner)]
+    maps = [compare.content_map(t) for t in trees]
     if shared is None:
         base = maps[0].limit(0)
     else:
         base = compare.content_map(store.get(revisions.where(F.col("time_id") == shared).first()["ref"]))
     plan = merge.merge_plan(base, maps[0], maps[1])
     copies = merge.conflict_copies(plan, F.lit(loser["tip_client"]), F.lit(loser["tip_ts"]))
-    result = merge.materialised(plan, copies)
+    result = with_times(merge.materialised(plan, copies), copies, *trees)
     return Resolution(pair["loser"], pair["winner"], plan, result)
 
 
+def with_times(result: DataFrame, copies: DataFrame, loser: DataFrame, winner: DataFrame) -> DataFrame:
+    """``result`` with ``mtime``: that of the side whose content a file has, the winner's if both have it; a copy's is the loser's."""
+    of_winner, of_loser = (t.where("type = 'file'").select(F.col("path").alias("from_"), "blob_id", F.col("mtime").alias(n)) for t, n in ((winner, "winner_"), (loser, "loser_")))
+    named = copies.select(F.col("copy_path").alias("path"), F.col("path").alias("copied_"))
+    rows = result.join(named, "path", "left").withColumn("from_", F.coalesce("copied_", "path"))
+    rows = rows.join(of_winner, ["from_", "blob_id"], "left").join(of_loser, ["from_", "blob_id"], "left")
+    mtime = F.when(F.col("origin") == "copy", F.col("loser_")).otherwise(F.coalesce("winner_", "loser_"))
+    return rows.select("path", "blob_id", "origin", mtime.alias("mtime"))
+
+
 def store_resolution(store, tree: str, found: Resolution) -> str:
     """Stores the merged tree with both tips as predecessors; the new revision's id."""
-    files = found.result.where(F.col("blob_id") != paths.DIR_MARKER).join(store.blobs, "blob_id").select("path", F.lit("file").alias("type"), F.octet_length("content").cast("long").alias("size"), F.lit(None).cast("long").alias("mtime"), "blob_id", "content")
+    files = found.result.where(F.col("blob_id") != paths.DIR_MARKER).join(store.blobs, "blob_id").select("path", F.lit("file").alias("type"), F.octet_length("content").cast("long").alias("size"), "mtime", "blob_id", "content")
     dirs = found.result.where(F.col("blob_id") == paths.DIR_MARKER).select("path", F.lit("directory").alias("type"), *(F.lit(None).cast(t).alias(n) for n, t in (("size", "long"), ("mtime", "long"), ("blob_id", "string"), ("content", "binary"))))
     return store.put(files.unionByName(dirs), tree, [found.loser, found.winner])[1]

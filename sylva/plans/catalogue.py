@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.functions import paths
-from sylva.operators import compare, history, merge, nodes, restore, sync
+from sylva.operators import compare, history, merge, merkle, nodes, restore, sync
 from sylva.plans import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,31 @@ def merkle_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.merkle_nodes(fx.files(spark, sf_dir)).select("path", "type", "n_children", "hash")
 
 
+def _edited(before: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Changed entries of a tree of documents, and its files after that: new contents, deletions, a new source and one that goes."""
+    gone = (F.col("doc_id") % 10 == 1) | (F.col("source") == "src3")
+    kept = before.where(~gone).withColumn("mtime", F.when(F.col("doc_id") % 9 == 0, F.col("mtime") + 1).otherwise(F.col("mtime")))
+    added = before.where("doc_id % 13 = 0").withColumn("path", F.concat(F.lit("new-"), "path"))
+    changed = kept.where("doc_id % 9 = 0").withColumn("gone", F.lit(False)).unionByName(added.withColumn("gone", F.lit(False))).unionByName(before.where(gone).withColumn("gone", F.lit(True)))
+    return changed.withColumn("type", F.lit("file")), kept.unionByName(added)
+
+
+@query
+def merkle_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree after changes, of which only the changed files and the directories above them were hashed again."""
+    before = fx.files(spark, sf_dir)
+    state = merkle.roll_up(before).checkpoint()
+    return merkle.applied(state, merkle.update(state, _edited(before)[0])).select("path", "type", "n_children", "hash")
+
+
+@query
+def merkle_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What those changes alter: each path with its new hash, or without one if it is gone."""
+    before = fx.files(spark, sf_dir)
+    state = merkle.roll_up(before).checkpoint()
+    return merkle.update(state, _edited(before)[0]).select("path", F.when(~F.col("gone"), F.col("hash")).alias("hash"))
+
+
 @query
 def file_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.file_nodes(fx.files(spark, sf_dir))
@@ -197,14 +222,14 @@ def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ancestors of each fork's losing tip, with the fewest hops."""
     found = fx.history(spark, sf_dir).checkpoint()
     starts = history.lowest_tips(found, ["ts"]).select("tree", F.col("loser").alias("start"))
-    return history.reach(found, starts).select("tree", "start", "time_id", "hops")
+    return history.reach(found, starts, order=("ts",)).select("tree", "start", "time_id", "hops")
 
 
 @query
 def nearest_common_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fx.history(spark, sf_dir).checkpoint()
     pairs = history.lowest_tips(found, ["ts"]).select("tree", F.col("loser").alias("a"), F.col("winner").alias("b"))
-    return history.common_ancestor(found, pairs)
+    return history.common_ancestor(found, pairs, order=("ts",))
 
 
 def _heads(found: DataFrame) -> DataFrame:
@@ -216,14 +241,14 @@ def _heads(found: DataFrame) -> DataFrame:
 @query
 def ancestry_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fx.history(spark, sf_dir).checkpoint()
-    return history.relation(found, _heads(found))
+    return history.relation(found, _heads(found), order=("ts",))
 
 
 @query
 def sync_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a receiver at each fork's head does with every revision of the tree."""
     found = fx.history(spark, sf_dir).checkpoint()
-    refs = history.relation(found, _heads(found)).withColumn("equal", F.col("head") == F.col("time_id"))
+    refs = history.relation(found, _heads(found), order=("ts",)).withColumn("equal", F.col("head") == F.col("time_id"))
     return sync.decisions(refs).select("tree", "time_id", "action")
 
 

@@ -118,6 +118,11 @@ _RELATION = f"""WITH RECURSIVE {_HISTORY}, {_HEADS},{_reach("up", "head_starts")
 related AS (SELECT h.tree, heads.head, h.time_id, CASE WHEN d.time_id IS NOT NULL THEN 'behind' WHEN u.time_id IS NOT NULL THEN 'ahead' ELSE 'diverged' END AS relation
   FROM hist h JOIN heads ON heads.tree = h.tree LEFT JOIN up u ON u.tree = h.tree AND u.time_id = h.time_id LEFT JOIN (SELECT * FROM down WHERE hops > 0) d ON d.tree = h.tree AND d.time_id = h.time_id)"""
 
+#: Files after the changes of the incremental roll-up.
+_EDITED = """
+edited AS (SELECT * REPLACE (CASE WHEN doc_id % 9 = 0 THEN mtime + 1 ELSE mtime END AS mtime) FROM files WHERE doc_id % 10 != 1 AND source != 'src3'
+  UNION ALL SELECT * REPLACE ('new-' || path AS path) FROM files WHERE doc_id % 13 = 0)"""
+
 ORACLE_SQL: dict[str, str] = {
     "merkle_rollup": f"{_TREE} SELECT path, type, CAST(n_children AS BIGINT) AS n_children, hash FROM nodes",
     "file_nodes": f"WITH {_FILES} SELECT path, {_name('path')} AS name, 'file' AS type, false AS is_parent, CAST(0 AS BIGINT) AS n_children, size, blob_id, mtime, {_FILE_HASH} AS hash FROM files",
@@ -139,6 +144,8 @@ ORACLE_SQL: dict[str, str] = {
     "prune_files": f"WITH {_PRUNE} SELECT path FROM pruned",
     "prune_dirs": f"WITH {_PRUNE}, stay AS (SELECT path FROM present ANTI JOIN pruned USING (path)) SELECT path, CAST(len(string_split(path, '/')) AS INTEGER) AS depth FROM {_above('present')} ANTI JOIN {_above('stay')} held USING (path) ANTI JOIN wantdirs USING (path)",
     "flat_name_last_wins": f"WITH {_FILES} SELECT 'len-' || (size // 10) AS name, max(doc_id) AS doc_id, arg_max(blob_id, doc_id) AS blob_id FROM files GROUP BY 1",
+    "merkle_incremental": f"WITH {_FILES},{_EDITED},{_nodes('edited', '_b')} SELECT path, type, CAST(n_children AS BIGINT) AS n_children, hash FROM nodes_b",
+    "merkle_changes": f"WITH {_FILES},{_EDITED},{_nodes('files')},{_nodes('edited', '_b')} SELECT path, b.hash FROM nodes a FULL JOIN nodes_b b USING (path) WHERE a.hash IS DISTINCT FROM b.hash",
     "store_new_nodes": f"WITH {_FILES}, changed AS (SELECT * REPLACE (CASE WHEN doc_id % 9 = 0 THEN mtime + 1 ELSE mtime END AS mtime) FROM files),{_nodes('files')},{_nodes('changed', '_b')} SELECT path, hash FROM nodes_b ANTI JOIN nodes USING (hash)",
     "layered_read": f"WITH {_SIDES} SELECT path, blob_id, 'local' AS layer FROM ours UNION ALL SELECT path, blob_id, 'remote' FROM theirs ANTI JOIN ours USING (path)",
     "dag_tips": f"WITH {_HISTORY} SELECT tree, time_id FROM tips",
@@ -169,6 +176,9 @@ _NAMES = "names AS (SELECT doc_id, doc_id * 1000 AS mtime, coalesce(source, '_')
 ORACLE_SQL["path_parts"] = f"WITH {_NAMES} SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent, {_name('path')} AS name, {_stem('path')} AS stem, {_ext('path')} AS ext, CAST(len(string_split(path, '/')) AS INTEGER) AS depth FROM names"
 ORACLE_SQL["conflict_copy_names"] = f"WITH {_NAMES} SELECT path, {_copy('path', chr(39) + 'C1' + chr(39), _stamp('mtime * 7919'))} AS copy_path FROM names"
 ORACLE_SQL["stream_debounce"] = ORACLE_SQL["debounce_sessions"]
+ORACLE_SQL["stream_latest"] = f"SELECT client, last_ts AS ts, last AS event_id FROM ({ORACLE_SQL['debounce_sessions']})"
+ORACLE_SQL["stream_received"] = """WITH e AS (SELECT user_id AS client, event_type AS ref, CAST(ts AS TIMESTAMP) AS ts, event_id % 10 = 0 AS invalid FROM events),
+l AS (SELECT *, lag(invalid) OVER (PARTITION BY client, ref ORDER BY ts, NOT invalid) AS before FROM e) SELECT client, ref, ts FROM l WHERE NOT invalid AND (before IS NULL OR before)"""
 ORACLE_SQL["stream_dedup"] = ORACLE_SQL["consecutive_dedup"]
 ORACLE_SQL["stream_classify"] = """
 WITH e AS (SELECT user_id || '/' || (event_id % 3) AS path, ts, event_id, event_type != 'purchase' AS present FROM events),

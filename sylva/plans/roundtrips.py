@@ -14,8 +14,9 @@ from sylva.functions import paths
 from sylva.operators.ordering import shared_folder
 from sylva.plans.catalogue import query
 from sylva.plans.fixtures import table
-from sylva.sources import directory
-from sylva.sources.store import Store
+from sylva.sources import directory, directory_stream, tree_sink
+from sylva.sources.chunks import Sizes
+from sylva.sources.store import Store, read_through
 from sylva.streaming.watch import Watch
 
 
@@ -101,16 +102,21 @@ def store_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("version", "path", "blob_id", "bytes", F.lit(n).cast("long").alias("n_versions"))
 
 
+def _disturb(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Changes, adds and deletes files of a written directory."""
+    files = _entries(spark, sf_dir).where("type = 'file'")
+    directory.blobs_to_files(files.where("doc_id % 7 = 0").withColumn("content", F.concat("content", F.lit("!").cast("binary"))), root)
+    directory.blobs_to_files(files.where("doc_id % 11 = 0").withColumn("path", F.concat("path", F.lit("-new"))), root)
+    files.where("doc_id % 3 = 1 and doc_id % 7 != 0").select("path").foreachPartition(lambda rows: [os.remove(os.path.join(root, r["path"])) for r in rows if os.path.exists(os.path.join(root, r["path"]))])
+
+
 @query
 def watch_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A directory that is watched while files are added, changed and deleted: the changes of the second step."""
     root = _write(spark, sf_dir, "watched")
     watch = Watch(spark, root, shared_folder(spark, "watch"))
     watch.step()
-    files = _entries(spark, sf_dir).where("type = 'file'")
-    directory.blobs_to_files(files.where("doc_id % 7 = 0").withColumn("content", F.concat("content", F.lit("!").cast("binary"))), root)
-    directory.blobs_to_files(files.where("doc_id % 11 = 0").withColumn("path", F.concat("path", F.lit("-new"))), root)
-    files.where("doc_id % 3 = 1 and doc_id % 7 != 0").select("path").foreachPartition(lambda rows: [os.remove(os.path.join(root, r["path"])) for r in rows if os.path.exists(os.path.join(root, r["path"]))])
+    _disturb(spark, sf_dir, root)
     step = watch.step()
     stream, rows = watch.changes(), shared_folder(spark, "rows")
     schema = stream.schema
@@ -118,6 +124,103 @@ def watch_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(schema).parquet(rows).where(F.col("step") == step).select("path", "change")
 
 
+@query
+def stream_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The directory as a streaming source, read before and after it changes: what the stream says is there in the end.
+
+    The second batch fails once between its snapshot and its changes, and is repeated.
+    """
+    root, base = _write(spark, sf_dir, "streamed"), shared_folder(spark, "directory")
+    failed: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+        if number and not failed:
+            failed.append(number)
+            raise OSError("this batch fails once")
+
+    def run() -> None:
+        stream = directory_stream.changes(spark, root, f"{base}/snapshots")
+        stream.writeStream.option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+
+    run()
+    _disturb(spark, sf_dir, root)
+    try:
+        run()
+    except Exception as e:
+        if "this batch fails once" not in str(e):
+            raise
+    run()
+    told = spark.read.schema(f"{directory_stream.SCHEMA}, batch int").parquet(f"{base}/rows")
+    last = told.groupBy("path").agg(F.max_by("change", "batch").alias("change"), F.count("*").alias("n_changes"))
+    return last.where("change != 'deleted'").select("path", "n_changes")
+
+
+@query
+def chunked_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The directory stored in content-defined chunks, fetched by the root's hash, written to a second one, and scanned there."""
+    store, target = Store(spark, shared_folder(spark, "store")), _folder(spark, "copy")
+    ref, _ = store.put_directory(_write(spark, sf_dir, "source"), "workTree", sizes=Sizes(64, 256, 1024))
+    store.load(ref, target)
+    return directory.scan(spark, target).select(*_SEEN)
+
+
+@query
+def chunk_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each blob the bytes of its chunks, joined in their order and without gaps, as they are stored."""
+    store = Store(spark, shared_folder(spark, "store"))
+    store.put_directory(_write(spark, sf_dir, "source"), "workTree", sizes=Sizes(64, 256, 1024))
+    parts = store.blob_chunks.join(store.chunks, "chunk_id").groupBy("blob_id").agg(F.sort_array(F.collect_list(F.struct("pos", "start", "size", F.hex("content").alias("hex")))).alias("parts"))
+    whole = F.unhex(F.array_join(F.transform("parts", lambda p: p["hex"]), ""))
+    starts = F.aggregate("parts", F.struct(F.lit(0).cast("long").alias("at"), F.lit(True).alias("ok")), lambda a, p: F.struct((a["at"] + p["size"]).alias("at"), (a["ok"] & (a["at"] == p["start"])).alias("ok")))
+    return parts.select("blob_id", F.octet_length(whole).cast("long").alias("bytes"), F.sha2(whole, 256).alias("rebuilt"), starts["ok"].alias("whole"))
+
+
+@query
+def transactional_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A directory after a write that replaces it, one that adds to it, and one that fails: scanned."""
+    target, entries = _write(spark, sf_dir, "sink"), _entries(spark, sf_dir)
+    blobs = entries.where("type = 'file'").select("blob_id", "content").dropDuplicates(["blob_id"])
+    tree_sink.write(entries.where("doc_id is null or doc_id % 2 = 0"), blobs, target, overwrite=True)
+    tree_sink.write(entries.where("doc_id % 3 = 0").withColumn("path", F.concat(F.lit("more/"), "path")), blobs, target)
+    failing = entries.where("type = 'file'").withColumn("path", F.concat(F.lit("never/"), "path"))
+    lost = failing.where("doc_id % 5 = 0").select(F.concat("path", F.lit("-lost")).alias("path"), "type", F.lit("none").alias("blob_id"), "mtime")
+    try:
+        tree_sink.write(failing.select("path", "type", "blob_id", "mtime").unionByName(lost), blobs, target)
+    except Exception as e:
+        if "no blob for" not in str(e):
+            raise
+    return directory.scan(spark, target).select(*_SEEN)
+
+
+@query
+def write_through(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree that a peer holds, read through a local store and, from that alone, once more."""
+    peer, local = Store(spark, shared_folder(spark, "peer")), Store(spark, shared_folder(spark, "local"))
+    ref, _ = peer.put_directory(_write(spark, sf_dir, "source"), "workTree", sizes=Sizes(64, 256, 1024))
+    read_through(local, peer, ref)
+    unreachable = Store(spark, shared_folder(spark, "no-such-peer"))
+    tree = read_through(local, unreachable, ref).where(F.col("path") != paths.ROOT)
+    held = local.blob_chunks.join(local.chunks.select("chunk_id"), "chunk_id").groupBy("blob_id").agg(F.sum("size").alias("bytes"))
+    return tree.join(held, "blob_id", "left").select("path", "type", F.coalesce("bytes", "size").alias("size"), "mtime", "blob_id")
+
+
+@query
+def failures_as_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree loaded from a store that lacks some contents: the errors that are recorded beside what is written."""
+    entries = _entries(spark, sf_dir).withColumn("size", F.octet_length("content").cast("long")).drop("doc_id")
+    store = Store(spark, shared_folder(spark, "store"))
+    ref, _ = store.put(entries, "workTree")
+    partial = Store(spark, shared_folder(spark, "partial"))
+    for name in ("nodes", "edges"):
+        getattr(store, name).write.parquet(f"{partial.path}/{name}")
+    store.blobs.where(F.octet_length("content") % 6 != 0).write.parquet(f"{partial.path}/blobs")
+    target = _folder(spark, "partly")
+    partial.load_partly(ref, target)
+    done = directory.scan(spark, target).where("type = 'file'").select("path", F.lit("written").alias("outcome"))
+    return done.unionByName(partial.errors.select("path", F.col("error").alias("outcome")))
+
+
 assert paths.DIR_MARKER
 
 _BASE = """base AS (SELECT doc_id, coalesce(source, '_') AS source, coalesce(source, '_') || '/' || CASE WHEN doc_id % 4 = 0 THEN '' ELSE coalesce(lang, '_') || '/' END || 'doc-' || doc_id AS path,
@@ -132,5 +235,14 @@ ORACLE_SQL = {
     "restore_clean_target": f"WITH {_BASE}, kept AS (SELECT * FROM base WHERE doc_id % 3 != 0), {_DIRS.format(files='kept')} SELECT path, 'file' AS type, blob_id FROM kept UNION ALL SELECT d, 'directory', NULL FROM dirs",
     "blobs_to_flat_files": f"WITH {_BASE} SELECT 'len-' || (size // 10) AS path, arg_max(blob_id, doc_id) AS blob_id, max(doc_id + 1) * 1000 AS mtime FROM base GROUP BY 1",
     "store_reads": f"WITH {_BASE} SELECT CAST(v AS INTEGER) AS version, path, blob_id, size AS bytes, CAST(2 AS BIGINT) AS n_versions FROM base, (SELECT unnest([1, 2]) AS v) WHERE v = 1 OR mtime % 3000 != 0",
+    "chunked_roundtrip": _SCAN,
+    "write_through": _SCAN,
+    "failures_as_rows": f"WITH {_BASE} SELECT path, CASE WHEN size % 6 = 0 THEN 'no blob ' || blob_id ELSE 'written' END AS outcome FROM base",
+    "chunk_lists": f"WITH {_BASE} SELECT DISTINCT blob_id, size AS bytes, blob_id AS rebuilt, true AS whole FROM base",
+    "stream_directory": f"""WITH {_BASE}, {_DIRS.format(files='base')} SELECT d AS path, 1 AS n_changes FROM dirs UNION ALL SELECT path || '-new', 1 FROM base WHERE doc_id % 11 = 0
+  UNION ALL SELECT path, CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END FROM base WHERE doc_id % 3 != 1 OR doc_id % 7 = 0""",
+    "transactional_sink": f"""WITH {_BASE}, kept AS (SELECT source, path, blob_id, size, mtime FROM base WHERE doc_id % 2 = 0 UNION ALL SELECT 'more/' || source, 'more/' || path, blob_id, size, mtime FROM base WHERE doc_id % 3 = 0),
+  up AS (SELECT unnest(['more', 'more/' || source]) AS d FROM base WHERE doc_id % 3 = 0 UNION ALL SELECT unnest([source, source || '/empty']) FROM base UNION ALL SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) FROM kept)
+  SELECT path, 'file' AS type, size, mtime, blob_id FROM kept UNION ALL SELECT DISTINCT d, 'directory', NULL, NULL, NULL FROM up""",
     "watch_changes": f"WITH {_BASE} SELECT path, 'modified' AS change FROM base WHERE doc_id % 7 = 0 UNION ALL SELECT path || '-new', 'added' FROM base WHERE doc_id % 11 = 0 UNION ALL SELECT path, 'deleted' FROM base WHERE doc_id % 3 = 1 AND doc_id % 7 != 0",
 }

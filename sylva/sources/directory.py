@@ -1,7 +1,10 @@
-"""A directory as a Spark data source, and trees written back to one.
+"""Directories listed and read on the executors, and trees written back to one.
 
 The directory must be mounted at the same place on every executor.  ``binaryFile`` is no substitute: it leaves out
 empty and hidden files and never lists directories.
+
+A directory is listed level by level: the directories of a level are dealt out anew before they are listed, and all files
+once more before they are read, so neither a flat directory nor a deep subtree is the work of one task.
 """
 
 from __future__ import annotations
@@ -9,99 +12,111 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
-from dataclasses import dataclass
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sylva.functions import paths
+from sylva.operators.ordering import checkpoint_dir
 
 SCHEMA = "path string, type string, size long, mtime long, blob_id string, content binary"
-#: A Spark row holds a file's content as a whole.
+#: A row that has a file's content has it as a whole; larger files are read in chunks (:mod:`.chunks`).
 LARGEST_FILE = 512 << 20
+#: Directories that a task lists, and files that it reads.
+TASK_DIRS, TASK_FILES, MOST_TASKS = 64, 256, 10_000
 
 
 class ScanError(Exception):
     """The root is no directory, or a file can't be held in a row."""
 
 
-@dataclass
-class Subtree(InputPartition):
-    """A top-level entry of the root, or the files that stand in the root itself."""
-
-    entries: tuple[str, ...]
-    deep: bool
-
-
 def _ignored(name: str, ignore: tuple[str, ...]) -> bool:
     return any(name.startswith(p) for p in ignore)
 
 
-class DirectoryReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.root = options["path"]
-        self.ignore = tuple(x for x in options.get("ignore", ",".join(paths.DEFAULT_IGNORE)).split(",") if x)
-        self.max_depth = int(options["maxDepth"]) if options.get("maxDepth") not in (None, "") else None
-        self.content = str(options.get("content", "true")).lower() == "true"
-
-    def partitions(self) -> list[InputPartition]:
-        if not os.path.isdir(self.root):
-            raise ScanError(f"not a directory: {self.root}")
-        if self.max_depth == 0:
-            return [Subtree((), False)]
-        found = sorted(e.name for e in os.scandir(self.root) if not _ignored(e.name, self.ignore) and not e.is_symlink())
-        subtrees = [n for n in found if os.path.isdir(os.path.join(self.root, n))]
-        return [Subtree(tuple(n for n in found if n not in set(subtrees)), False), *(Subtree((n,), True) for n in subtrees)]
-
-    def read(self, partition: Subtree) -> Iterator[tuple]:
-        for name in partition.entries:
-            yield from self._walk(os.path.join(self.root, name), name, 1)
-
-    def _walk(self, path: str, relative: str, depth: int) -> Iterator[tuple]:
-        """An entry and, unless it is too deep, what is below it; ignored directories aren't even listed."""
-        stat = os.lstat(path)
-        if os.path.islink(path):
-            return
-        if os.path.isdir(path):
-            yield relative, "directory", None, None, None, None
-            if self.max_depth is None or depth < self.max_depth:
-                for entry in sorted(os.scandir(path), key=lambda e: e.name):
-                    if not _ignored(entry.name, self.ignore):
-                        yield from self._walk(entry.path, f"{relative}/{entry.name}", depth + 1)
-        elif os.path.isfile(path):
-            if stat.st_size > LARGEST_FILE:
-                raise ScanError(f"{relative} has {stat.st_size} bytes, more than {LARGEST_FILE}")
-            data = Path(path).read_bytes() if self.content else None
-            yield relative, "file", stat.st_size, stat.st_mtime_ns // 1_000_000, hashlib.sha256(data).hexdigest() if self.content else None, data
-
-
-class DirectorySource(DataSource):
-    """``spark.read.format("sylva_directory").option("path", ...)``; options ``ignore``, ``maxDepth``, ``content``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "sylva_directory"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> DirectoryReader:
-        return DirectoryReader(self.options)
+def dealt(rows: DataFrame, count: int, each: int) -> DataFrame:
+    """Rows of a ``path`` over as many tasks as they take, however few bytes they have."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(min(MOST_TASKS, max(least, -(-count // each))), "path")
+
+
+def _entries(root: str, ignore: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for directory in batch.column("path").to_pylist():
+                found = []
+                try:
+                    with os.scandir(os.path.join(root, directory)) as entries:
+                        for e in entries:
+                            if not _ignored(e.name, ignore) and not e.is_symlink():
+                                kind = "directory" if e.is_dir() else "file" if e.is_file() else None
+                                if kind:
+                                    found.append((f"{directory}/{e.name}" if directory else e.name, kind))
+                            if len(found) >= 10_000:
+                                yield _listed(found)
+                                found = []
+                except FileNotFoundError:  # gone since it was listed
+                    pass
+                yield _listed(found)
+
+    return run
+
+
+def _listed(found: list[tuple[str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["path", "type"])
+
+
+def listing(spark: SparkSession, root: str, ignore: tuple[str, ...] | None = paths.DEFAULT_IGNORE, max_depth: int | None = None) -> DataFrame:
+    """``path``, ``type`` of the files and directories below ``root``, without links; what is ignored isn't listed either."""
+    root = str(root)
+    if not os.path.isdir(root):
+        raise ScanError(f"not a directory: {root}")
+    checkpoint_dir(spark)
+    found = spark.createDataFrame([], "path string, type string")
+    frontier, count, level = spark.createDataFrame([("",)], "path string"), 1, 0
+    while count and (max_depth is None or level < max_depth):
+        level += 1
+        here = dealt(frontier, count, TASK_DIRS).mapInArrow(_entries(root, tuple(ignore or ())), "path string, type string").checkpoint()
+        found = found.unionByName(here)
+        frontier = here.where("type = 'directory'").select("path")
+        count = frontier.count()
+    return found
+
+
+def _reader(root: str, content: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                full = os.path.join(root, path)
+                try:
+                    stat = os.stat(full, follow_symlinks=False)
+                    if content and stat.st_size > LARGEST_FILE:
+                        raise ScanError(f"{path} has {stat.st_size} bytes, more than a row holds; read it in chunks")
+                    data = Path(full).read_bytes() if content else None
+                except FileNotFoundError:
+                    continue
+                row = (path, "file", stat.st_size, stat.st_mtime_ns // 1_000_000, hashlib.sha256(data).hexdigest() if data is not None else None, data)
+                kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["path", "type", "size", "mtime", "blob_id", "content"])
+
+    return run
 
 
 def scan(spark: SparkSession, root: str, ignore: tuple[str, ...] | None = paths.DEFAULT_IGNORE, max_depth: int | None = None, content: bool = True) -> DataFrame:
-    """Files and directories below ``root``; ``ignore`` None leaves nothing out."""
-    spark.dataSource.register(DirectorySource)
-    reader = spark.read.format("sylva_directory").option("path", str(root)).option("ignore", ",".join(ignore or ())).option("content", str(content).lower())
-    return (reader if max_depth is None else reader.option("maxDepth", str(max_depth))).load()
+    """Files and directories below ``root``, listed now and read when the result is; ``ignore`` None leaves nothing out."""
+    found = listing(spark, root, ignore, max_depth)
+    files = found.where("type = 'file'").select("path")
+    none = {"size": "long", "mtime": "long", "blob_id": "string", "content": "binary"}
+    dirs = found.where("type = 'directory'").select("path", "type", *(F.lit(None).cast(t).alias(n) for n, t in none.items()))
+    return dirs.unionByName(dealt(files, files.count(), TASK_FILES).mapInArrow(_reader(str(root), content), SCHEMA))
 
 
 def all_files(spark: SparkSession, root: str) -> DataFrame:
     """Paths of all files, ignored ones too; nothing for a directory that can't be read."""
     try:
-        return scan(spark, root, None, content=False).where("type = 'file'").select("path")
+        return listing(spark, root, None).where("type = 'file'").select("path")
     except (ScanError, OSError):
         return spark.createDataFrame([], "path string")
 
@@ -138,19 +153,53 @@ class RestoreError(Exception):
     """A tree can't be written: a blob is missing, or a file stands where a directory must be."""
 
 
-def write_tree(tree: DataFrame, blobs: DataFrame, target: str) -> None:
+def write_tree(tree: DataFrame, blobs: DataFrame, target: str, chunks: tuple[DataFrame, DataFrame] | None = None) -> None:
     """Writes directories and files of ``tree`` (``path``, ``type``, ``blob_id``, ``mtime``) below ``target``.
 
     Each file goes to a temporary name and is then moved, so a task that runs twice leaves the same file.  A file without
-    a blob id and entries of another type are left out.
+    a blob id and entries of another type are left out.  Blobs may also be in ``chunks``: their list and the chunks.
     """
-    lost = missing_blobs(tree, blobs).select("path").take(1)
+    missing = missing_blobs(tree, blobs).select("path", "blob_id", "mtime")
+    lost = (missing if chunks is None else missing.join(chunks[0].select("blob_id"), "blob_id", "left_anti")).select("path").take(1)
     if lost:
         raise RestoreError(f"no blob for {lost[0]['path']}")
     os.makedirs(target, exist_ok=True)
     tree.where("type = 'directory'").select("path").foreachPartition(lambda rows: [_make_dir(target, r["path"]) for r in rows])
     files = tree.where("type = 'file' AND blob_id IS NOT NULL").select("path", "blob_id", "mtime").join(blobs.select("blob_id", "content"), "blob_id")
     files.select("path", "mtime", "content").foreachPartition(lambda rows: [_write_file(target, r) for r in rows])
+    if chunks is not None:
+        from sylva.sources import chunks as chunked
+
+        chunked.write(missing, *chunks, target)
+
+
+def write_partly(tree: DataFrame, blobs: DataFrame, target: str, chunks: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Writes what can be written of a tree; ``path``, ``error`` of what can't, each entry by itself."""
+    os.makedirs(target, exist_ok=True)
+    lost = missing_blobs(tree, blobs).select("path", "blob_id", "mtime")
+    held = tree.where("type = 'file' AND blob_id IS NOT NULL").select("path", "blob_id", "mtime").join(blobs.select("blob_id", "content"), "blob_id")
+    rows = tree.where("type = 'directory'").select("path", "type", F.lit(None).cast("long").alias("mtime"), F.lit(None).cast("binary").alias("content"))
+    rows = rows.unionByName(held.select("path", F.lit("file").alias("type"), "mtime", "content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            failed = []
+            for path, kind, mtime, content in zip(*(batch.column(c) for c in ("path", "type", "mtime", "content"))):
+                row = Row(path=path.as_py(), mtime=mtime.as_py(), content=content.as_py())
+                try:
+                    _make_dir(target, row["path"]) if kind.as_py() == "directory" else _write_file(target, row)
+                except (RestoreError, OSError) as e:
+                    failed.append((row["path"], str(e)))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in failed], pa.string()) for k in (0, 1)], names=["path", "error"])
+
+    failures = rows.mapInArrow(run, "path string, error string").checkpoint()
+    if chunks is not None:
+        from sylva.sources import chunks as chunked
+
+        whole = chunks[0].join(chunks[1].select("chunk_id", F.lit(1).alias("held")), "chunk_id", "left").groupBy("blob_id").agg((F.count("*") == F.count("held")).alias("whole")).where("whole")
+        chunked.write(lost.join(whole, "blob_id", "left_semi"), *chunks, target)
+        lost = lost.join(whole, "blob_id", "left_anti")
+    return failures.unionByName(lost.select("path", F.concat(F.lit("no blob "), "blob_id").alias("error")))
 
 
 def _inside(target: str, path: str) -> str:
@@ -184,7 +233,7 @@ def _write_file(target: str, row: Row, create_dirs: bool = True) -> None:
     os.replace(temporary, path)
 
 
-def restore(spark: SparkSession, tree: DataFrame, blobs: DataFrame, target: str, clean: bool = False, keep_ignored: tuple[str, ...] = ()) -> None:
+def restore(spark: SparkSession, tree: DataFrame, blobs: DataFrame, target: str, clean: bool = False, keep_ignored: tuple[str, ...] = (), chunks: tuple[DataFrame, DataFrame] | None = None) -> None:
     """Writes a tree and, with ``clean``, removes what isn't part of it.
 
     Only files that were there before are removed, so one that appears meanwhile stays, and directories only once
@@ -193,7 +242,7 @@ def restore(spark: SparkSession, tree: DataFrame, blobs: DataFrame, target: str,
     from sylva.operators import restore as plans
 
     before = all_files(spark, target).checkpoint() if clean and os.path.isdir(target) else None
-    write_tree(tree, blobs, target)
+    write_tree(tree, blobs, target, chunks)
     if before is None:
         return
     entries = tree.select("path", F.when(F.col("type") == "directory", paths.DIR_MARKER).otherwise(F.coalesce("blob_id", F.lit(""))).alias("blob_id")).where(F.col("path") != paths.ROOT)
@@ -204,11 +253,15 @@ def restore(spark: SparkSession, tree: DataFrame, blobs: DataFrame, target: str,
         gone = gone.where(~paths.any_segment_ignored(F.col("path"), keep_ignored))
     gone.foreachPartition(lambda rows: [os.remove(_inside(target, r["path"])) for r in rows if os.path.lexists(_inside(target, r["path"]))])
     keep = expected.where("kind = 'directory'").select("path")
-    dirs = scan(spark, target, None, content=False).where("type = 'directory'").select("path", paths.depth(F.col("path")).alias("depth")).join(keep, "path", "left_anti")
-    for row in dirs.orderBy(F.desc("depth")).toLocalIterator():
-        full = _inside(target, row["path"])
-        if os.path.isdir(full) and not os.listdir(full):
-            os.rmdir(full)
+    dirs = listing(spark, target, None).where("type = 'directory'").select("path", paths.depth(F.col("path")).alias("depth")).join(keep, "path", "left_anti").checkpoint()
+    deepest = dirs.agg(F.max("depth").alias("d")).first()["d"]
+    for depth in range(deepest or 0, 0, -1):
+        dirs.where(F.col("depth") == depth).foreachPartition(lambda rows: [_remove_if_empty(_inside(target, r["path"])) for r in rows])
+
+
+def _remove_if_empty(full: str) -> None:
+    if os.path.isdir(full) and not os.listdir(full):
+        os.rmdir(full)
 
 
 def copy_directory(spark: SparkSession, source: str, target: str) -> None:

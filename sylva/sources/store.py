@@ -1,6 +1,6 @@
-"""Snapshots in Parquet: ``nodes``, ``blobs`` and ``history``, each appended to, never rewritten.
+"""Snapshots in Parquet: ``nodes``, ``blobs``, ``chunks`` and ``history``, each appended to, never rewritten.
 
-Nodes and blobs are keyed by content, so storing a tree twice adds nothing.  The history row is written last and
+A blob is held in one row, or, stored by :meth:`Store.put_directory`, in chunks.  Nodes, blobs and chunks are keyed by content, so storing a tree twice adds nothing.  The history row is written last and
 makes the snapshot: a run that fails before it leaves rows that the next one reuses.
 """
 
@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from sylva.functions import paths
 from sylva.operators import history as revisions
 from sylva.operators import nodes as tree_nodes
+from sylva.sources import chunks as chunked
 
 NODES = "hash string, path string, name string, type string, is_parent boolean, n_children long, size long, blob_id string, mtime long"
 EDGES = "parent_hash string, hash string, pos long"
 BLOBS = "blob_id string, content binary"
+CHUNKS, BLOB_CHUNKS = "chunk_id string, content binary", "blob_id string, pos long, chunk_id string, start long, size long"
+ERRORS = "ts timestamp, context string, path string, error string"
 HISTORY = "tree string, time_id string, ref string, route string, origin string, client_ts long, previous array<string>"
 
 
@@ -47,32 +50,72 @@ class Store:
     def blobs(self) -> DataFrame:
         return self._table("blobs", BLOBS)
 
+    @property
+    def chunks(self) -> DataFrame:
+        return self._table("chunks", CHUNKS)
+
+    @property
+    def blob_chunks(self) -> DataFrame:
+        return self._table("blob_chunks", BLOB_CHUNKS)
+
+    @property
+    def errors(self) -> DataFrame:
+        """What failed, as :meth:`record` has written it."""
+        return self._table("errors", ERRORS)
+
+    def record(self, context: str, failures: DataFrame) -> int:
+        """Appends ``failures`` (``path``, ``error``) to the table of errors; how many there are."""
+        rows = failures.select(F.current_timestamp().alias("ts"), F.lit(context).alias("context"), "path", "error").checkpoint()
+        count = rows.count()
+        if count:
+            rows.write.mode("append").parquet(f"{self.path}/errors")
+        return count
+
     def history(self, tree: str) -> DataFrame:
         return self._table("history", HISTORY).where(F.col("tree") == tree)
 
     def blob(self, blob_id: str) -> bytes:
         row = self.blobs.where(F.col("blob_id") == blob_id).first()
-        if row is None:
+        if row is not None:
+            return bytes(row["content"])
+        if not self.has_blob(blob_id):
             raise LookupError(f"no blob {blob_id}")
-        return bytes(row["content"])
+        return b"".join(chunked.read(self.blob_chunks, self.chunks, blob_id))
 
     def has_blob(self, blob_id: str) -> bool:
-        return not self.blobs.where(F.col("blob_id") == blob_id).isEmpty()
+        held = self.blobs.select("blob_id").unionByName(self.blob_chunks.select("blob_id"))
+        return not held.where(F.col("blob_id") == blob_id).isEmpty()
 
     def put(self, entries: DataFrame, tree: str, previous: list[str] | None = None, origin: str | None = None, client_ts: int | None = None) -> tuple[str, str]:
         """Stores scanned ``entries`` (with ``content``) as a revision of ``tree``: its ref (the root's hash) and its id."""
         check_key(tree)
         files = entries.where("type = 'file'")
-        dirs = entries.where("type = 'directory'").select("path")
-        found = tree_nodes.merkle_nodes(files.select("path", "blob_id", "size", "mtime"), dirs).checkpoint()
-        ref = found.where(F.col("path") == paths.ROOT).first()["hash"]
         stored = self.blobs.select("blob_id")
         files.select("blob_id", "content").dropDuplicates(["blob_id"]).join(stored, "blob_id", "left_anti").write.mode("append").parquet(f"{self.path}/blobs")
+        ref = self._put_nodes(files, entries.where("type = 'directory'").select("path"))
+        return ref, self.add_revision(tree, ref, previous, origin, client_ts)
+
+    def put_directory(self, root: str, tree: str, previous: list[str] | None = None, origin: str | None = None, client_ts: int | None = None, ignore: tuple[str, ...] | None = paths.DEFAULT_IGNORE, sizes: chunked.Sizes = chunked.Sizes()) -> tuple[str, str]:
+        """Stores a directory of files of any size, in chunks: its ref and the revision's id.
+
+        Contents are read once to be cut, and those of new chunks once more to be stored.
+        """
+        check_key(tree)
+        dirs, files = chunked.describe(self.spark, root, ignore, sizes)
+        chunked.contents(files, root, self.chunks).write.mode("append").parquet(f"{self.path}/chunks")
+        # a blob's list of chunks makes it readable, so it comes after them
+        chunked.blob_chunks(files).join(self.blob_chunks.select("blob_id").distinct(), "blob_id", "left_anti").write.mode("append").parquet(f"{self.path}/blob_chunks")
+        ref = self._put_nodes(files, dirs)
+        return ref, self.add_revision(tree, ref, previous, origin, client_ts)
+
+    def _put_nodes(self, files: DataFrame, dirs: DataFrame) -> str:
+        found = tree_nodes.merkle_nodes(files.select("path", "blob_id", "size", "mtime"), dirs).checkpoint()
+        ref = found.where(F.col("path") == paths.ROOT).first()["hash"]
         hashes = found.select(F.col("path").alias("parent_path"), F.col("hash").alias("parent_hash"))
         edges = tree_nodes.children(found).join(hashes, "parent_path").select("parent_hash", "hash", "pos").distinct()
         edges.join(self.edges.select("parent_hash").distinct(), "parent_hash", "left_anti").write.mode("append").parquet(f"{self.path}/edges")
         tree_nodes.new_nodes(found, self.nodes).select("hash", *(c for c in found.columns if c != "hash")).write.mode("append").parquet(f"{self.path}/nodes")
-        return ref, self.add_revision(tree, ref, previous, origin, client_ts)
+        return ref
 
     def add_revision(self, tree: str, ref: str, previous: list[str] | None = None, origin: str | None = None, client_ts: int | None = None) -> str:
         now = time.time_ns()
@@ -89,7 +132,27 @@ class Store:
         """Writes a stored tree to a directory."""
         from sylva.sources import directory
 
-        directory.restore(self.spark, self.get(ref).where(F.col("path") != paths.ROOT), self.blobs, target, clean)
+        tree = self.get(ref).where(F.col("path") != paths.ROOT)
+        directory.restore(self.spark, tree, self.blobs, target, clean, chunks=(self.blob_chunks, self.chunks))
+
+    def load_partly(self, ref: str, target: str) -> int:
+        """:meth:`load` of whatever can be written; what can't becomes rows of :attr:`errors`, which are counted.
+
+        These are nodes that an edge names but that aren't stored, files whose content isn't, and files that can't be
+        written, each with its reason.
+        """
+        from sylva.sources import directory
+
+        tree = self.get(ref).checkpoint()
+        hashes = tree.select(F.col("hash").alias("parent_hash"), F.col("path").alias("above"))
+        named = self.edges.join(hashes, "parent_hash").select("hash", "above").distinct()
+        gone = named.join(self.nodes.select("hash"), "hash", "left_anti").select(F.col("above").alias("path"), F.concat(F.lit("no node "), "hash").alias("error"))
+        failed = directory.write_partly(tree.where(F.col("path") != paths.ROOT), self.blobs, target, (self.blob_chunks, self.chunks))
+        return self.record(f"load {ref}", gone.unionByName(failed))
+
+    def holds(self, ref: str) -> bool:
+        """Whether a tree is stored: its nodes are written after all else."""
+        return not self.nodes.where(F.col("hash") == ref).isEmpty()
 
     def versions(self, tree: str) -> DataFrame:
         return self.history(tree).orderBy("time_id")
@@ -98,6 +161,24 @@ class Store:
         return revisions.tips(self.history(tree))
 
 
+def read_through(local: Store, peer: Store, ref: str) -> DataFrame:
+    """The nodes of a tree from ``local``; what it lacks is fetched from ``peer`` first and stored, contents before nodes.
+
+    A tree that ``local`` holds is read without ``peer``.
+    """
+    if not local.holds(ref):
+        tree = peer.get(ref).checkpoint()
+        wanted = tree.where("blob_id is not null").select("blob_id").distinct()
+        peer.blobs.join(wanted, "blob_id", "left_semi").join(local.blobs.select("blob_id"), "blob_id", "left_anti").write.mode("append").parquet(f"{local.path}/blobs")
+        lists = peer.blob_chunks.join(wanted, "blob_id", "left_semi").join(local.blob_chunks.select("blob_id").distinct(), "blob_id", "left_anti").checkpoint()
+        peer.chunks.join(lists.select("chunk_id").distinct(), "chunk_id", "left_semi").join(local.chunks.select("chunk_id"), "chunk_id", "left_anti").write.mode("append").parquet(f"{local.path}/chunks")
+        lists.write.mode("append").parquet(f"{local.path}/blob_chunks")
+        edges = peer.edges.join(tree.select(F.col("hash").alias("parent_hash")).distinct(), "parent_hash", "left_semi")
+        edges.join(local.edges.select("parent_hash").distinct(), "parent_hash", "left_anti").write.mode("append").parquet(f"{local.path}/edges")
+        tree_nodes.new_nodes(tree.drop("level"), local.nodes).select(*local.nodes.columns).write.mode("append").parquet(f"{local.path}/nodes")
+    return local.get(ref)
+
+
 def check_key(tree: str) -> None:
     if not tree.endswith("Tree"):
         raise ValueError(f'the key of a tree ends in "Tree": {tree}')

@@ -1,4 +1,4 @@
-"""Change streams: debouncing, consecutive deduplication and classification with state for each key."""
+"""Change streams: debouncing and classification with state for each key."""
 
 from __future__ import annotations
 
@@ -17,22 +17,6 @@ def debounce(changes: DataFrame, client: str = "client", ts: str = "ts", last: s
     return summed.drop("burst")
 
 
-def without_repeats(changes: DataFrame, client: str = "client", ts: str = "ts", event: str = "event_id", value: str = "event_type") -> DataFrame:
-    """Changes whose ``value`` differs from the last one of their client; the last value is kept as state."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values([ts, event], kind="stable")
-        before = rows[value].shift(1)
-        before.iloc[0] = last
-        if len(rows):
-            state.update((rows[value].iloc[-1],))
-        fresh = rows[(rows[value] != before) & ~(rows[value].isna() & before.isna())]
-        yield pd.DataFrame({client: [key[0]] * len(fresh), event: fresh[event].to_numpy(), value: fresh[value].to_numpy()})
-
-    return changes.groupBy(client).applyInPandasWithState(run, f"{client} long, {event} long, {value} string", "last string", "append", GroupStateTimeout.NoTimeout)
-
-
 def classify(events: DataFrame, event: str = "event_id") -> DataFrame:
     """Events (``path``, ``ts``, ``present``, and ``event``, which breaks ties) as changes: added, modified or deleted by whether the path was known.
 
@@ -50,8 +34,3 @@ def classify(events: DataFrame, event: str = "event_id") -> DataFrame:
         yield pd.DataFrame(out, columns=["path", "ts", "change"])
 
     return events.select("path", "ts", event, "present").groupBy("path").applyInPandasWithState(run, "path string, ts timestamp, change string", "known boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-def first_seen(refs: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Refs without redeliveries; what is remembered is bounded by the watermark."""
-    return refs.withWatermark("ts", late).dropDuplicatesWithinWatermark(["origin", "ref"])

@@ -19,6 +19,7 @@ from sylva.functions import paths
 from sylva.operators import compare, history, resolve
 from sylva.sources import directory
 from sylva.sources.store import Store
+from sylva.streaming import keyed
 
 REFS = "ts timestamp, tree string, origin string, ref string, seq long, predecessors array<string>"
 T = TypeVar("T")
@@ -177,12 +178,17 @@ class Agent:
         self.push()
         return changes.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(lambda batch, _: None if batch.isEmpty() else self.push()).start()
 
-    def incoming(self, refs: DataFrame, checkpoint: str, available_now: bool = False):
-        """Starts a stream that takes the newest ref of others in each batch; blank refs are left out."""
+    def incoming(self, refs: DataFrame, checkpoint: str, available_now: bool = False, quiet: str | None = None):
+        """Starts a stream that takes the newest ref of others in each batch; blank refs are left out.
+
+        With ``quiet`` a ref waits until no newer one has come for so long, by the clock; a newer one takes its place.
+        """
+        refs = refs.where((F.col("tree") == self.tree) & (F.col("origin") != self.client) & (F.trim("ref") != ""))
+        if quiet is not None:
+            refs = keyed.latest_when_quiet(refs, ["tree"], "ts", ["seq"], quiet)
 
         def step(batch: DataFrame, _: int) -> None:
-            others = batch.where((F.col("tree") == self.tree) & (F.col("origin") != self.client) & (F.trim("ref") != ""))
-            newest = others.orderBy(F.desc("ts"), F.desc("seq")).limit(1).collect()
+            newest = batch.orderBy(F.desc("ts"), F.desc("seq")).limit(1).collect()
             for row in newest:
                 self.take_with_recovery(row["ref"], row["predecessors"])
 

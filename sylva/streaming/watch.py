@@ -1,8 +1,8 @@
 """Watching a directory: what differs from the last snapshot becomes rows of a stream.
 
-Every step lists the whole directory on the executors and compares it with the snapshot of the step before, so a change
-that no notice was given of (drift) is found as well; there is no other source of truth.  Snapshots and changes are Parquet
-in a folder that the cluster shares; a step that fails before its snapshot is complete is repeated by the next one.
+The changes come from :mod:`sylva.sources.directory_stream` and are appended to a Parquet folder by Spark's file sink, which
+records each batch as a whole.  A step that fails anywhere is repeated by the next one with the same snapshot, so no
+change is lost or written twice.
 """
 
 from __future__ import annotations
@@ -11,17 +11,17 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from sylva.functions import paths
-from sylva.operators import compare
-from sylva.sources import directory
+from sylva.sources import directory_stream
 
-CHANGES = "step long, ts timestamp, path string, change string"
+CHANGES = directory_stream.SCHEMA
 
 
 @dataclass
 class Watch:
-    """A directory ``root`` and the folder ``path`` of its snapshots (``snapshots/step=k``) and changes (``changes``)."""
+    """A directory ``root`` and the folder ``path`` of its snapshots, its changes and the stream's progress."""
 
     spark: SparkSession
     root: str
@@ -30,37 +30,33 @@ class Watch:
     #: Whether files are compared by content, or by size and time of change alone.
     content: bool = True
 
-    def _snapshots(self) -> DataFrame:
-        schema = "path string, blob_id string, step long"
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/snapshots")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], schema)
+    def source(self) -> DataFrame:
+        return directory_stream.changes(self.spark, self.root, f"{self.path}/snapshots", self.ignore, self.content)
+
+    def _query(self, **trigger) -> StreamingQuery:
+        writer = self.source().writeStream.format("parquet").option("checkpointLocation", f"{self.path}/progress")
+        return writer.trigger(**trigger).start(f"{self.path}/changes")
 
     def step(self) -> int:
-        """Compares the directory with the last snapshot and writes the differences; the number of the step, from 1.
+        """Writes what differs from the snapshot before; the number of the step's own.
 
-        The first step's changes are all entries, as added.
+        The first step's changes are all entries, as added.  A step that failed is repeated first.
         """
-        known = self._snapshots()
-        last = known.agg(F.max("step")).first()[0] or 0
-        before = known.where(F.col("step") == last).select("path", "blob_id")
-        now = directory.scan(self.spark, self.root, (*paths.SYNC_IGNORE, *self.ignore), content=self.content)
-        told = F.col("blob_id") if self.content else F.concat_ws("/", "size", "mtime")
-        now = now.select("path", F.when(F.col("type") == "directory", paths.DIR_MARKER).otherwise(told).alias("blob_id"))
-        target = f"{self.path}/snapshots/step={last + 1}"
-        now.write.mode("overwrite").parquet(target)
-        found = compare.tree_diff(before, self.spark.read.schema("path string, blob_id string").parquet(target)).select(F.lit(last + 1).cast("long").alias("step"), F.current_timestamp().alias("ts"), "path", "change")
-        found.write.mode("append").parquet(f"{self.path}/changes")
-        return last + 1
+        self._query(availableNow=True).awaitTermination()
+        return directory_stream.Snapshots(f"{self.path}/snapshots").numbers()[-1]
+
+    def written(self) -> DataFrame:
+        """The changes of all steps so far."""
+        return self.spark.read.schema(CHANGES).parquet(f"{self.path}/changes")
 
     def changes(self) -> DataFrame:
         """The changes of all steps as a stream."""
         return self.spark.readStream.schema(CHANGES).parquet(f"{self.path}/changes")
 
-    def start(self, every: str = "30 seconds"):
+    def latest(self) -> DataFrame:
+        """``path``, ``change``: the last change of each path."""
+        return self.written().groupBy("path").agg(F.max_by("change", "step").alias("change"))
+
+    def start(self, every: str = "30 seconds") -> StreamingQuery:
         """Starts a query that makes a step at every trigger."""
-        ticks = self.spark.readStream.format("rate").load()
-        return ticks.writeStream.trigger(processingTime=every).foreachBatch(lambda _batch, _id: self.step()).start()
+        return self._query(processingTime=every)

@@ -108,11 +108,39 @@ def test_reach_of_random_graphs(spark):
     rng = random.Random(8)
     graphs = {f"t{k}": random_graph(rng, 20) for k in range(8)}
     found = spark.createDataFrame([(t, k, v) for t, g in graphs.items() for k, v in g.items()], "tree string, time_id string, previous array<string>")
-    got = {t: {} for t in graphs}
-    for r in history.reach(found, found.where("time_id = 'v19'").select("tree", F.col("time_id").alias("start"))).collect():
-        assert r["time_id"] not in got[r["tree"]]
-        got[r["tree"]][r["time_id"]] = (r["hops"], dense(r["hops"], r["route"]))
-    assert got == {t: ways_up(g, "v19") for t, g in graphs.items()}
+    starts = found.where("time_id = 'v19'").select("tree", F.col("time_id").alias("start"))
+    every = starts.join(found.select("tree", "time_id").unionByName(starts.select("tree", F.lit("lost").alias("time_id"))), "tree")
+    for block_rows in (1 << 16, 17):
+        got = {t: {} for t in graphs}
+        for r in history.reach(found, starts, routes_to=every, block_rows=block_rows).collect():
+            assert r["time_id"] not in got[r["tree"]]
+            got[r["tree"]][r["time_id"]] = (r["hops"], dense(r["hops"], r["route"]))
+        assert got == {t: ways_up(g, "v19") for t, g in graphs.items()}
+
+
+def test_reach_through_many_merges_in_rows_of_the_result(spark):
+    rng = random.Random(4)
+    n = 100_000
+    # one revision in ten merges a line that left up to 40 revisions before
+    ups = {k: [k - 1] if k % 10 else [k - 1, max(0, k - rng.randrange(2, 40))] for k in range(1, n)} | {0: []}
+    rows = [("t", k, v) for k, v in ups.items()]
+    found = spark.createDataFrame(rows, "tree string, time_id long, previous array<long>").repartition(4).checkpoint()
+    starts = spark.createDataFrame([("t", n - 1)], "tree string, start long")
+    got = dict(history.reach(found, starts, block_rows=20_000).select("time_id", "hops").collect())
+    want, level, hops = {n - 1: 0}, [n - 1], 0
+    while level:
+        hops += 1
+        level = list(dict.fromkeys(u for v in level for u in ups[v] if u not in want))
+        want |= dict.fromkeys(level, hops)
+    assert got == want
+
+
+def test_walk_sends_on_a_row_for_each_revision_that_leaves():
+    from sylva.operators.reach import Walk
+
+    links = {k: [(0, k - 1, None), (1, k - 2, None), (2, -1, 7)] for k in range(2, 500)}
+    walk = Walk(links, [(0, (), 499)]).run()
+    assert len(walk.hops) == 500 and walk.leaving == {-1: (7, 1, ((0, 2),))}
 
 
 def test_reach_of_a_long_chain_a_null_and_a_circle(spark):
