@@ -121,7 +121,7 @@ def not_received_before(stream: DataFrame, folder: str, keys: list[str], ts: str
     """Starts from a writer: refs that come for the first time, or for the first time since they were made invalid.
 
     Rows for which ``invalid`` holds make a ref invalid and aren't given out; of rows at one moment they come first.
-    What is remembered is forgotten ``ttl`` (an interval) after it was received, and of more than ``most_per[1]`` refs of each
+    What is remembered is forgotten ``ttl`` (an interval) after the ref last came, and of more than ``most_per[1]`` refs of each
     value of ``most_per[0]`` the oldest are, when the log is merged.
     """
     spark = stream.sparkSession
@@ -142,7 +142,7 @@ def not_received_before(stream: DataFrame, folder: str, keys: list[str], ts: str
 def written(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
     """The rows of all batches."""
     try:
-        return spark.read.schema(schema).parquet(f"{folder}/rows")
+        return spark.read.schema(schema).parquet(f"{folder}/rows").select(*schema.fieldNames())
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise

@@ -87,9 +87,10 @@ class Latest(StatefulProcessor):
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        bursts = self._held()
-        for _, _, row in bursts.quiet(expiredTimerInfo.getExpiryTimeInMs()):
-            yield Row(*row[1])
+        # all that are quiet by now: a timer in the past would wait for the next batch
+        bursts, now = self._held(), timerValues.getCurrentProcessingTimeInMs() if self.by_clock else timerValues.getCurrentWatermarkInMs()
+        for _, _, row in bursts.quiet(max(now, expiredTimerInfo.getExpiryTimeInMs())):
+            yield Row(**{f.name: v for f, v in zip(self.schema.fields, row[1])})
         self._keep(bursts)
 
     def close(self) -> None:

@@ -49,7 +49,7 @@ def test_updates_equal_full_roll_ups(spark):
     rng = random.Random(11)
     files, dirs = {"a/b/f1": 1, "a/f2": 2, "f3": 3}, {"empty/one"}
     state = rolled(spark, files, dirs).checkpoint()
-    for _ in range(4):
+    for _ in range(2):
         changed = spark.createDataFrame(random_step(rng, files, dirs), CHANGES)
         state = merkle.applied(state, merkle.update(state, changed)).checkpoint()
         assert rows(state) == rows(rolled(spark, files, dirs))

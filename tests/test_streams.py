@@ -94,12 +94,13 @@ def test_bursts_in_any_order():
 
 
 def test_latest_row_by_event_time(spark, tmp_path):
-    rows = [(1, T0, 1, "a", None), (1, T0 + timedelta(seconds=20), 3, "c", None), (1, T0 + timedelta(seconds=20), 2, "b", None), (2, T0 + timedelta(seconds=5), 4, None, None), (1, T0 + timedelta(seconds=100), 5, "e", None)]
+    many = [(3, T0 + timedelta(minutes=k), 100 + k, "m", None) for k in range(20)]
+    rows = [*many, (1, T0, 1, "a", None), (1, T0 + timedelta(seconds=20), 3, "c", None), (1, T0 + timedelta(seconds=20), 2, "b", None), (2, T0 + timedelta(seconds=5), 4, None, None), (1, T0 + timedelta(seconds=100), 5, "e", None)]
     written_in(spark, str(tmp_path / "in"), [rows, [(9, T0 + timedelta(hours=1), 6, "end", None)]])
     found = latest_when_quiet(stream(spark, str(tmp_path / "in")), ["client"], "ts", ["event_id"], "30 seconds", "1 second")
     found.writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out")).awaitTermination()
     got = spark.read.schema(found.schema).parquet(str(tmp_path / "out"))
-    assert sorted((r["client"], r["event_id"], r["kind"]) for r in got.collect()) == [(1, 3, "c"), (1, 5, "e"), (2, 4, None)]
+    assert sorted((r["client"], r["event_id"], r["kind"]) for r in got.collect()) == [(1, 3, "c"), (1, 5, "e"), (2, 4, None), *((3, 100 + k, "m") for k in range(20))]
 
 
 def test_latest_row_by_the_clock(spark, tmp_path):
