@@ -156,6 +156,21 @@ def stream_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.where("change != 'deleted'").select("path", "n_changes")
 
 
+@query
+def compacted_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`store_reads` of a store that is compacted after each revision and once more, with the contents looked up by their ids."""
+    store, entries = Store(spark, shared_folder(spark, "store")), _entries(spark, sf_dir).withColumn("size", F.octet_length("content").cast("long")).drop("doc_id")
+    first, known = store.put(entries.where("type = 'directory' or mtime % 3000 != 0"), "workTree")
+    store.compact()
+    second, _ = store.put(entries, "workTree", [known])
+    store.compact()
+    store.put(entries.where("type = 'directory'"), "emptyTree")
+    n = store.versions("workTree").count()
+    each = [store.get(ref).where("type = 'file'").select(F.lit(k).alias("version"), "path", "blob_id") for k, ref in enumerate((second, first), 1)]
+    stored = each[0].unionByName(each[1]).join(store.blobs.select("blob_id", F.octet_length("content").cast("long").alias("bytes")), "blob_id")
+    return stored.select("version", "path", "blob_id", "bytes", F.lit(n).cast("long").alias("n_versions"))
+
+
 @query
 def chunked_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The directory stored in content-defined chunks, fetched by the root's hash, written to a second one, and scanned there."""
@@ -239,10 +254,11 @@ ORACLE_SQL = {
     "write_through": _SCAN,
     "failures_as_rows": f"WITH {_BASE} SELECT path, CASE WHEN size % 6 = 0 THEN 'no blob ' || blob_id ELSE 'written' END AS outcome FROM base",
     "chunk_lists": f"WITH {_BASE} SELECT DISTINCT blob_id, size AS bytes, blob_id AS rebuilt, true AS whole FROM base",
-    "stream_directory": f"""WITH {_BASE}, {_DIRS.format(files='base')} SELECT d AS path, 1 AS n_changes FROM dirs UNION ALL SELECT path || '-new', 1 FROM base WHERE doc_id % 11 = 0
+    "stream_directory": f"""WITH {_BASE}, {_DIRS.format(files='base')} SELECT d AS path, CAST(1 AS BIGINT) AS n_changes FROM dirs UNION ALL SELECT path || '-new', 1 FROM base WHERE doc_id % 11 = 0
   UNION ALL SELECT path, CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END FROM base WHERE doc_id % 3 != 1 OR doc_id % 7 = 0""",
     "transactional_sink": f"""WITH {_BASE}, kept AS (SELECT source, path, blob_id, size, mtime FROM base WHERE doc_id % 2 = 0 UNION ALL SELECT 'more/' || source, 'more/' || path, blob_id, size, mtime FROM base WHERE doc_id % 3 = 0),
   up AS (SELECT unnest(['more', 'more/' || source]) AS d FROM base WHERE doc_id % 3 = 0 UNION ALL SELECT unnest([source, source || '/empty']) FROM base UNION ALL SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) FROM kept)
   SELECT path, 'file' AS type, size, mtime, blob_id FROM kept UNION ALL SELECT DISTINCT d, 'directory', NULL, NULL, NULL FROM up""",
+    "compacted_store": f"WITH {_BASE} SELECT CAST(v AS INTEGER) AS version, path, blob_id, size AS bytes, CAST(2 AS BIGINT) AS n_versions FROM base, (SELECT unnest([1, 2]) AS v) WHERE v = 1 OR mtime % 3000 != 0",
     "watch_changes": f"WITH {_BASE} SELECT path, 'modified' AS change FROM base WHERE doc_id % 7 = 0 UNION ALL SELECT path || '-new', 'added' FROM base WHERE doc_id % 11 = 0 UNION ALL SELECT path, 'deleted' FROM base WHERE doc_id % 3 = 1 AND doc_id % 7 != 0",
 }

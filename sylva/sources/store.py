@@ -1,11 +1,16 @@
-"""Snapshots in Parquet: ``nodes``, ``blobs``, ``chunks`` and ``history``, each appended to, never rewritten.
+"""Snapshots in Parquet: ``nodes``, ``blobs``, ``chunks`` and ``history``, each appended to.
 
 A blob is held in one row, or, stored by :meth:`Store.put_directory`, in chunks.  Nodes, blobs and chunks are keyed by content, so storing a tree twice adds nothing.  The history row is written last and
 makes the snapshot: a run that fails before it leaves rows that the next one reuses.
+
+Every append adds files.  :meth:`Store.compact` gathers them into a generation of files that are dealt and sorted by key, in a
+folder for each first digits of the keys, with Bloom filters, so that a lookup by key opens the files of one folder and those
+appended since.  A generation counts once its row is in the table ``generations``, which also names the files it has taken in.
 """
 
 from __future__ import annotations
 
+import os
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,24 +29,82 @@ ERRORS = "ts timestamp, context string, path string, error string"
 HISTORY = "tree string, time_id string, ref string, route string, origin string, client_ts long, previous array<string>"
 
 
+GENERATIONS = "name string, generation long, taken array<string>"
+#: Tables that are looked up by a hexadecimal key, and how many of its digits a folder has in common.
+KEYS, DIGITS = {"nodes": "hash", "blobs": "blob_id", "chunks": "chunk_id"}, 2
+#: Rows of a compacted file, as far as ranges allow.
+FILE_ROWS = {"nodes": 1_000_000, "blobs": 20_000, "chunks": 2_000}
+
+
 class Store:
     """Tables under ``path``, a folder that all executors see; one ``tree`` key for each tree."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _table(self, name: str, schema: str) -> DataFrame:
+    def _read(self, schema: str, *files: str) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+            return self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema)
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             return self.spark.createDataFrame([], schema)
 
+    def _generation(self, name: str) -> tuple[int, list[str]]:
+        """The table's last generation (0: none) and the files that it has taken in."""
+        found = self._read(GENERATIONS, f"{self.path}/generations").where(F.col("name") == name).orderBy(F.desc("generation")).first()
+        return (found["generation"], found["taken"]) if found else (0, [])
+
+    def _table(self, name: str, schema: str, key: str | None = None) -> DataFrame:
+        """A table, or its rows of one ``key``."""
+        number, taken = self._generation(name) if name in KEYS else (0, [])
+        appended = self._read(schema, f"{self.path}/{name}")
+        if number:
+            known = set(taken)
+            appended = self._read(schema, *(f for f in appended.inputFiles() if os.path.basename(f) not in known))
+        if key is not None:
+            appended = appended.where(F.col(KEYS[name]) == key)
+        if not number:
+            return appended
+        whole = self._read(f"{schema}, digits string", f"{self.path}/{name}-{number}")
+        if key is not None:
+            whole = whole.where((F.col("digits") == key[:DIGITS]) & (F.col(KEYS[name]) == key))
+        return whole.drop("digits").unionByName(appended)
+
+    def compact(self, *names: str) -> None:
+        """Gathers all files of the tables (by default of all that have keys) into a new generation.
+
+        Rows that were stored twice are kept once.  Files that the last generation had taken in, and the generation before
+        it, are removed: whoever still reads with them began before that.  Nothing may be appended meanwhile by others.
+        """
+        for name in names or KEYS:
+            schema, key = {"nodes": NODES, "blobs": BLOBS, "chunks": CHUNKS}[name], KEYS[name]
+            files = self._read(schema, f"{self.path}/{name}").inputFiles()
+            if not files:
+                continue
+            number, taken = self._generation(name)
+            rows = self._table(name, schema).dropDuplicates([key]).withColumn("digits", F.left(key, F.lit(DIGITS)))
+            parts = max(1, -(-self._table(name, schema).count() // FILE_ROWS[name]))
+            writer = rows.repartitionByRange(parts, key).sortWithinPartitions(key).write.mode("overwrite").partitionBy("digits")
+            writer.option(f"parquet.bloom.filter.enabled#{key}", "true").option(f"parquet.bloom.filter.expected.ndv#{key}", str(FILE_ROWS[name])).parquet(f"{self.path}/{name}-{number + 1}")
+            row = [(name, number + 1, [os.path.basename(f) for f in files])]
+            self.spark.createDataFrame(row, GENERATIONS).coalesce(1).write.mode("append").parquet(f"{self.path}/generations")
+            self._remove(*(f for f in files if os.path.basename(f) in set(taken)), f"{self.path}/{name}-{number - 1}")
+
+    def _remove(self, *paths_: str) -> None:
+        hadoop, conf = self.spark._jvm.org.apache.hadoop.fs, self.spark._jsc.hadoopConfiguration()
+        for p in paths_:
+            path = hadoop.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+
     @property
     def nodes(self) -> DataFrame:
         return self._table("nodes", NODES)
 
+    def node(self, hash_: str) -> DataFrame:
+        """The node of a hash, if it is stored."""
+        return self._table("nodes", NODES, hash_)
+
     @property
     def edges(self) -> DataFrame:
         return self._table("edges", EDGES)
@@ -75,7 +138,7 @@ class Store:
         return self._table("history", HISTORY).where(F.col("tree") == tree)
 
     def blob(self, blob_id: str) -> bytes:
-        row = self.blobs.where(F.col("blob_id") == blob_id).first()
+        row = self._table("blobs", BLOBS, blob_id).first()
         if row is not None:
             return bytes(row["content"])
         if not self.has_blob(blob_id):
@@ -83,8 +146,8 @@ class Store:
         return b"".join(chunked.read(self.blob_chunks, self.chunks, blob_id))
 
     def has_blob(self, blob_id: str) -> bool:
-        held = self.blobs.select("blob_id").unionByName(self.blob_chunks.select("blob_id"))
-        return not held.where(F.col("blob_id") == blob_id).isEmpty()
+        lists = self.blob_chunks.where(F.col("blob_id") == blob_id).select("blob_id")
+        return not self._table("blobs", BLOBS, blob_id).select("blob_id").unionByName(lists).isEmpty()
 
     def put(self, entries: DataFrame, tree: str, previous: list[str] | None = None, origin: str | None = None, client_ts: int | None = None) -> tuple[str, str]:
         """Stores scanned ``entries`` (with ``content``) as a revision of ``tree``: its ref (the root's hash) and its id."""
@@ -152,7 +215,7 @@ class Store:
 
     def holds(self, ref: str) -> bool:
         """Whether a tree is stored: its nodes are written after all else."""
-        return not self.nodes.where(F.col("hash") == ref).isEmpty()
+        return not self.node(ref).isEmpty()
 
     def versions(self, tree: str) -> DataFrame:
         return self.history(tree).orderBy("time_id")

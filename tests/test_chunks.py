@@ -116,3 +116,46 @@ def test_flat_and_deep_directories_use_many_tasks(spark, tmp_path):
     assert len(files) >= 8 and max(r["count"] for r in files) < 1_000 and sum(r["count"] for r in files) == 3_200
     listed = directory.dealt(directory.listing(spark, tmp_path).where("path like 'deep/a/b/d%' and type = 'directory'").select("path"), 200, directory.TASK_DIRS)
     assert listed.select(F.spark_partition_id()).distinct().count() >= 3
+
+
+def opened_files(found):
+    """Files that the scans of a DataFrame read when it is run."""
+    plan = found._jdf.queryExecution().executedPlan()
+    found.collect()
+    scans, waiting = [], [plan]
+    while waiting:
+        node = waiting.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+        if node.nodeName().startswith("Scan parquet"):
+            scans.append(node.metrics().apply("numFiles").value())
+        waiting += [node.children().apply(k) for k in range(node.children().size())]
+    return sum(scans)
+
+
+def test_a_compacted_store_opens_few_files(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    kinds = "path string, type string, size long, mtime long, blob_id string, content binary"
+    held = {}
+    for k in range(3):
+        data = {f"f{n}": f"content {k % 2} {n}".encode() for n in range(40)}
+        held |= {hashlib.sha256(v).hexdigest(): v for v in data.values()}
+        rows = [(p, "file", len(v), 1, hashlib.sha256(v).hexdigest(), bytearray(v)) for p, v in data.items()]
+        ref, _ = store.put(spark.createDataFrame(rows, kinds).repartition(4), "docsTree")
+        if k == 1:
+            store.compact()
+    # a row that is stored twice, as by two writers at once
+    store.blobs.limit(1).write.mode("append").parquet(f"{store.path}/blobs")
+    before = opened_files(store._table("blobs", "blob_id string, content binary"))
+    store.compact()
+    store.compact("blobs")
+    some = sorted(held)[::9]
+    assert [store.blob(b) for b in some] == [held[b] for b in some] and not store.has_blob("f" * 64)
+    assert store.blobs.count() == store.blobs.select("blob_id").distinct().count() == len(held)
+    assert store.holds(ref) and {r["path"] for r in store.get(ref).collect()} == {".", *(f"f{n}" for n in range(40))}
+    opened = opened_files(store._table("blobs", "blob_id string, content binary", some[0]))
+    assert opened <= 2 < before
+    # what is appended later is found beside the generation
+    more = bytearray(b"appended")
+    store.put(spark.createDataFrame([("g", "file", 8, 1, hashlib.sha256(more).hexdigest(), more)], kinds), "docsTree")
+    assert store.blob(hashlib.sha256(more).hexdigest()) == b"appended" and store.blobs.count() == len(held) + 1
