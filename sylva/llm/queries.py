@@ -153,7 +153,7 @@ _OP8 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT r, doc_id, p, md5(array_to_string(list_slice(w, p, p + 49), ' ')) AS h FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
 first AS (SELECT h, min(doc_id) AS least FROM win GROUP BY h),
-gone AS (SELECT DISTINCT r, unnest(range(p, p + 50)) AS q FROM win JOIN first USING (h) WHERE doc_id > least),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + 50)) AS q FROM win JOIN first USING (h) WHERE doc_id > least OR doc_id IS NULL AND least IS NOT NULL),
 words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM d),
 kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY q) AS text FROM words ANTI JOIN gone USING (r, q) GROUP BY r)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256

@@ -5,7 +5,8 @@ delta-encoded, the plain columns ``doc_id`` and ``n_tokens`` stand beside the li
 set size, and pages are indexed, so that a reader of the metadata never touches the ids and a reader of a few
 documents skips the other pages.
 
-Defined results: a null text is an empty one (its ids are the end id alone); rows of one ``doc_id`` are ordered
+Defined results: a null text is an empty one (its ids are the end id alone); the spelling of a special token in a text gets that
+token's id, as the library has it by default; rows of one ``doc_id`` are ordered
 by their text's hash and each kept; a null ``doc_id`` comes first; further columns are ignored; an empty table
 gives no rows.
 """
@@ -35,22 +36,25 @@ def _tokenizer(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 class WordEncoder:
     """Encodes many texts at once, each different word of them a single time.
 
     No pre-token runs on from a character other than white space to white space, nor from an ASCII letter or digit to a
-    comma or full stop, so texts can be cut at those places and the ids of the words are those of the text.  Arrow
+    comma or full stop, so texts can be cut at those places and the ids of the words are those of the text; no special token
+    holds such a place, and the library cuts texts at special tokens itself.  Arrow
     finds the different words and puts their ids in the words' places.  Ids of words seen before are remembered; new
     words are encoded many at a time in one string and told apart by the bytes of their tokens.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        for token in self.tokenizer.get_added_tokens_decoder().values():
+            raw = np.frombuffer(token.content.encode(), np.uint8)
+            if token.lstrip or token.rstrip or token.single_word or len(word_starts(raw, np.array([0, len(raw)]))) > 1:
+                raise ValueError(f"texts can't be cut into words around the token {token.content!r}")
         tokens = self.tokenizer.get_vocab(with_added_tokens=True)
         self.n_bytes = np.zeros(max(tokens.values()) + 1, dtype=np.int64)
         for token, i in tokens.items():

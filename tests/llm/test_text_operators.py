@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 import public_tokenizers as P  # noqa: E402
+from tokenizers import Tokenizer  # noqa: E402
 
 from sylva.llm import bpe, chat, decontam, substring, tokenfiles  # noqa: E402
 
@@ -118,7 +119,7 @@ def test_token_files(spark, tmp_path, encoding):
     tokenfiles.write(documents(spark, texts), path, tokenizer, 0, files=3, ids_encoding=encoding)
     at = {(r["file"], r["at"]): r["start"] for r in tokenfiles.starts(spark, path).collect()}
     rows = sorted(tokenfiles.checksums(spark, path).collect(), key=lambda r: (r["file"], r["at"]))
-    library = tokenfiles._tokenizer(tokenizer)
+    library = Tokenizer.from_file(tokenizer)
     ids = lambda t: [*library.encode(t or "", add_special_tokens=False).ids, 0]
     assert [r["doc_id"] for r in rows] == sorted((i for i, _ in texts), key=lambda i: -1 if i is None else i)
     crc = lambda t: zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids(t)))
@@ -148,7 +149,7 @@ def test_token_files_layout(spark, tmp_path, encoding, name):
     some = tokenfiles.read(spark, str(path)).where("doc_id in (3, 404)")
     plan = some._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(doc_id" in plan
-    assert sorted(len(r["ids"]) for r in some.collect()) == sorted(len(tokenfiles._tokenizer(P.path("byte_bpe_50k.json")).encode(texts[k][1], add_special_tokens=False).ids) + 1 for k in (3, 404))
+    assert sorted(len(r["ids"]) for r in some.collect()) == sorted(len(Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(texts[k][1], add_special_tokens=False).ids) + 1 for k in (3, 404))
     assert "ids:" not in tokenfiles.starts(spark, str(path))._jdf.queryExecution().executedPlan().toString()
 
 
@@ -162,12 +163,29 @@ def test_words_of_texts_keep_their_ids():
     rng = random.Random(9)
     parts = ["a", "é", "ß", " ", "  ", "\n", "\t", "1", "'s", "re", ".", ",", "!", "中", "<|endoftext|>", "\x1c", "\u00a0", "\u2003", "\u3000", "\x85", "\u1680", "\u202f", "\u205f", "\x00", "x,", "2."]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(50))) for _ in range(3_000)] + ["", ""]
-    library, encoder = tokenfiles._tokenizer(P.path("byte_bpe_50k.json")), tokenfiles.WordEncoder(P.path("byte_bpe_50k.json"))
+    library, encoder = Tokenizer.from_file(P.path("byte_bpe_50k.json")), tokenfiles.WordEncoder(P.path("byte_bpe_50k.json"))
     want = [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert encoder.encode(pa.array(texts)).to_pylist() == want
+    assert encoder.encode(pa.array(["a <|endoftext|> b"])).to_pylist() == [[64, 220, 50256, 275]]
     assert encoder.encode(pa.array(texts).slice(10, 20), 7).to_pylist() == [[*w, 7] for w in want[10:30]]
 
 
+def test_token_files_of_other_columns_and_clashing_names(spark, tmp_path):
+    rows = [(1, "one two", "f", 9, 8, "i"), (2, None, "f", 9, 8, "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, file string, at long, n_tokens long, ids string")
+    tokenfiles.write(docs, str(tmp_path / "ids"), P.path("byte_bpe_50k.json"), 0)
+    assert sorted((r["doc_id"], r["n_tokens"], len(r["ids"])) for r in tokenfiles.read(spark, str(tmp_path / "ids")).collect()) == [(1, 3, 3), (2, 1, 1)]
+
+
+def test_substring_rule_for_null_ids(spark):
+    """A null id is larger than any other and its repeats go; of rows without an id none is the larger one."""
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text), (None, text)], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in substring.verdicts(substring.cut_repeats(docs)).collect()) == [(0, 60), (1, 0)]
+    none = spark.createDataFrame([(None, text), (None, text)], "doc_id long, text string")
+    assert [r["n_removed"] for r in substring.verdicts(substring.cut_repeats(none)).collect()] == [0, 0]
+
+
 def test_token_files_empty(spark, tmp_path):
     path = str(tmp_path / "none")
     tokenfiles.write(documents(spark, []), path, P.path("byte_bpe_50k.json"), 0)
