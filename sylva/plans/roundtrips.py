@@ -161,9 +161,9 @@ def compacted_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """:func:`store_reads` of a store that is compacted after each revision and once more, with the contents looked up by their ids."""
     store, entries = Store(spark, shared_folder(spark, "store")), _entries(spark, sf_dir).withColumn("size", F.octet_length("content").cast("long")).drop("doc_id")
     first, known = store.put(entries.where("type = 'directory' or mtime % 3000 != 0"), "workTree")
-    store.compact()
+    store.compact(digits=1)
     second, _ = store.put(entries, "workTree", [known])
-    store.compact()
+    store.compact(digits=1)
     store.put(entries.where("type = 'directory'"), "emptyTree")
     n = store.versions("workTree").count()
     each = [store.get(ref).where("type = 'file'").select(F.lit(k).alias("version"), "path", "blob_id") for k, ref in enumerate((second, first), 1)]

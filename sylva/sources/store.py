@@ -29,9 +29,9 @@ ERRORS = "ts timestamp, context string, path string, error string"
 HISTORY = "tree string, time_id string, ref string, route string, origin string, client_ts long, previous array<string>"
 
 
-GENERATIONS = "name string, generation long, taken array<string>"
-#: Tables that are looked up by a hexadecimal key, and how many of its digits a folder has in common.
-KEYS, DIGITS = {"nodes": "hash", "blobs": "blob_id", "chunks": "chunk_id"}, 2
+GENERATIONS = "name string, generation long, digits int, taken array<string>"
+#: Tables that are looked up by a hexadecimal key.
+KEYS = {"nodes": "hash", "blobs": "blob_id", "chunks": "chunk_id"}
 #: Rows of a compacted file, as far as ranges allow.
 FILE_ROWS = {"nodes": 1_000_000, "blobs": 20_000, "chunks": 2_000}
 
@@ -50,14 +50,14 @@ class Store:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def _generation(self, name: str) -> tuple[int, list[str]]:
-        """The table's last generation (0: none) and the files that it has taken in."""
+    def _generation(self, name: str) -> tuple[int, int, list[str]]:
+        """The table's last generation (0: none), the digits that its folders have, and the files that it has taken in."""
         found = self._read(GENERATIONS, f"{self.path}/generations").where(F.col("name") == name).orderBy(F.desc("generation")).first()
-        return (found["generation"], found["taken"]) if found else (0, [])
+        return (found["generation"], found["digits"], found["taken"]) if found else (0, 0, [])
 
     def _table(self, name: str, schema: str, key: str | None = None) -> DataFrame:
         """A table, or its rows of one ``key``."""
-        number, taken = self._generation(name) if name in KEYS else (0, [])
+        number, digits, taken = self._generation(name) if name in KEYS else (0, 0, [])
         appended = self._read(schema, f"{self.path}/{name}")
         if number:
             known = set(taken)
@@ -68,12 +68,14 @@ class Store:
             return appended
         whole = self._read(f"{schema}, digits string", f"{self.path}/{name}-{number}")
         if key is not None:
-            whole = whole.where((F.col("digits") == key[:DIGITS]) & (F.col(KEYS[name]) == key))
+            whole = whole.where((F.col("digits") == key[:digits]) & (F.col(KEYS[name]) == key))
         return whole.drop("digits").unionByName(appended)
 
-    def compact(self, *names: str) -> None:
+    def compact(self, *names: str, digits: int = 2) -> None:
         """Gathers all files of the tables (by default of all that have keys) into a new generation.
 
+        Keys of a folder have their first ``digits`` in common: 16 to that power is the number of folders.
+
         Rows that were stored twice are kept once.  Files that the last generation had taken in, and the generation before
         it, are removed: whoever still reads with them began before that.  Nothing may be appended meanwhile by others.
         """
@@ -82,12 +84,12 @@ class Store:
             files = self._read(schema, f"{self.path}/{name}").inputFiles()
             if not files:
                 continue
-            number, taken = self._generation(name)
-            rows = self._table(name, schema).dropDuplicates([key]).withColumn("digits", F.left(key, F.lit(DIGITS)))
+            number, _, taken = self._generation(name)
+            rows = self._table(name, schema).dropDuplicates([key]).withColumn("digits", F.left(key, F.lit(digits)))
             parts = max(1, -(-self._table(name, schema).count() // FILE_ROWS[name]))
             writer = rows.repartitionByRange(parts, key).sortWithinPartitions(key).write.mode("overwrite").partitionBy("digits")
             writer.option(f"parquet.bloom.filter.enabled#{key}", "true").option(f"parquet.bloom.filter.expected.ndv#{key}", str(FILE_ROWS[name])).parquet(f"{self.path}/{name}-{number + 1}")
-            row = [(name, number + 1, [os.path.basename(f) for f in files])]
+            row = [(name, number + 1, digits, [os.path.basename(f) for f in files])]
             self.spark.createDataFrame(row, GENERATIONS).coalesce(1).write.mode("append").parquet(f"{self.path}/generations")
             self._remove(*(f for f in files if os.path.basename(f) in set(taken)), f"{self.path}/{name}-{number - 1}")
 
