@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.functions import paths
+from sylva.operators import resolve
 from sylva.operators.ordering import shared_folder
 from sylva.plans.catalogue import query
 from sylva.plans.fixtures import table
@@ -236,6 +237,20 @@ def failures_as_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.unionByName(partial.errors.select("path", F.col("error").alias("outcome")))
 
 
+@query
+def resolve_three_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fork of three revisions of one tree, which edit and delete files, merged into one: its files."""
+    store, entries = Store(spark, shared_folder(spark, "store")), _entries(spark, sf_dir)
+    sized = lambda rows: rows.withColumns({"blob_id": F.when(F.col("type") == "file", F.sha2("content", 256)), "size": F.octet_length("content").cast("long")}).drop("doc_id")
+    edited = lambda every, by: entries.withColumn("content", F.when(F.col("doc_id") % every == 0, F.concat("content", F.lit(by).cast("binary"))).otherwise(F.col("content")))
+    _, base = store.put(sized(entries), "workTree", client_ts=0)
+    store.put(sized(edited(2, "!A")), "workTree", [base], "A", 1_000)
+    store.put(sized(edited(3, "!B")), "workTree", [base], "B", 2_000)
+    store.put(sized(edited(5, "!C").where("type = 'directory' or doc_id % 7 != 3")), "workTree", [base], "C", 3_000)
+    found = resolve.resolve_all(store, "workTree")
+    return found.result.where(F.col("blob_id") != paths.DIR_MARKER).select("path", "blob_id", "origin", "mtime")
+
+
 assert paths.DIR_MARKER
 
 _BASE = """base AS (SELECT doc_id, coalesce(source, '_') AS source, coalesce(source, '_') || '/' || CASE WHEN doc_id % 4 = 0 THEN '' ELSE coalesce(lang, '_') || '/' END || 'doc-' || doc_id AS path,
@@ -259,6 +274,11 @@ ORACLE_SQL = {
     "transactional_sink": f"""WITH {_BASE}, kept AS (SELECT source, path, blob_id, size, mtime FROM base WHERE doc_id % 2 = 0 UNION ALL SELECT 'more/' || source, 'more/' || path, blob_id, size, mtime FROM base WHERE doc_id % 3 = 0),
   up AS (SELECT unnest(['more', 'more/' || source]) AS d FROM base WHERE doc_id % 3 = 0 UNION ALL SELECT unnest([source, source || '/empty']) FROM base UNION ALL SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) FROM kept)
   SELECT path, 'file' AS type, size, mtime, blob_id FROM kept UNION ALL SELECT DISTINCT d, 'directory', NULL, NULL, NULL FROM up""",
+    "resolve_three_tips": f"""WITH {_BASE}, t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+  v AS (SELECT path, mtime, blob_id AS z, doc_id % 2 = 0 AS has_a, doc_id % 3 = 0 AS has_b, doc_id % 5 = 0 AS has_c, doc_id % 7 = 3 AS gone, sha256(text || '!A') AS a, sha256(text || '!B') AS b, sha256(text || '!C') AS c FROM base JOIN t USING (doc_id))
+  SELECT path, CASE WHEN has_c THEN c WHEN has_b THEN b WHEN has_a THEN a ELSE z END AS blob_id, 'merged' AS origin, mtime FROM v WHERE NOT gone
+  UNION ALL SELECT path || ' (conflicted copy A 1970-01-01 000001)', a, 'merged', mtime FROM v WHERE has_a AND has_b
+  UNION ALL SELECT path || CASE WHEN has_b THEN ' (conflicted copy B 1970-01-01 000002)' ELSE ' (conflicted copy A 1970-01-01 000001)' END, CASE WHEN has_b THEN b ELSE a END, 'copy', mtime FROM v WHERE (has_a OR has_b) AND (has_c OR gone)""",
     "compacted_store": f"WITH {_BASE} SELECT CAST(v AS INTEGER) AS version, path, blob_id, size AS bytes, CAST(2 AS BIGINT) AS n_versions FROM base, (SELECT unnest([1, 2]) AS v) WHERE v = 1 OR mtime % 3000 != 0",
     "watch_changes": f"WITH {_BASE} SELECT path, 'modified' AS change FROM base WHERE doc_id % 7 = 0 UNION ALL SELECT path || '-new', 'added' FROM base WHERE doc_id % 11 = 0 UNION ALL SELECT path, 'deleted' FROM base WHERE doc_id % 3 = 1 AND doc_id % 7 != 0",
 }
