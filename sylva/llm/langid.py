@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from sylva.llm.linear import Dense, fit, sample_by_class, sigmoid
 from sylva.llm.tables import fresh
 
-#: Texts of each language that the models are fitted on, and the hashed features.
-SAMPLE, DIMENSIONS = 400, 1 << 12
+#: Texts of each language that the models are fitted on, of all languages together, and the hashed features.
+SAMPLE, SAMPLE_ROWS, DIMENSIONS = 400, 8_000, 1 << 12
 UNKNOWN = "und"
 #: Letters of a training text that are shown to the models a second time as a short text.
 SNIPPET = 80
@@ -177,9 +177,12 @@ def _typicality(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, n_langs: int) -
 
 
 def train(docs: DataFrame, train_rows, most: int = SAMPLE) -> Model:
-    """Fits on about ``most`` texts of each language among the rows with a language for which ``train_rows`` holds."""
+    """Fits on about ``most`` texts of each language among the rows with a language for which ``train_rows`` holds.
+
+    All languages are learned; of more than 20 each gives fewer texts, so that the sample stays within ``SAMPLE_ROWS``.
+    """
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & train_rows)
-    chosen, _ = sample_by_class(rows, "lang", most, "language")
+    chosen, _ = sample_by_class(rows, "lang", most, "language", SAMPLE_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

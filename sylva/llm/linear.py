@@ -82,20 +82,24 @@ def share(doc_id: Column, salt: str) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.lit(salt)), F.lit(_SHARES)) / F.lit(float(_SHARES))
 
 
-#: The most classes that are learned: the most frequent ones.
-MOST_CLASSES = 200
+#: More different labels than this aren't classes, but a column that holds something else.
+MOST_CLASSES = 10_000
 
 
-def sample_by_class(rows: DataFrame, label: str, most: int, salt: str, most_classes: int = MOST_CLASSES) -> tuple[DataFrame, dict]:
+def sample_by_class(rows: DataFrame, label: str, most: int, salt: str, most_rows: int | None = None) -> tuple[DataFrame, dict]:
     """About ``most`` rows of each class (all if there are fewer), chosen by their ids' hash, and the classes' counts.
 
-    An id that many rows of the sample share gives the row of the smallest hash.  Of each class only the count comes to
-    the driver; of more than ``most_classes`` (say, in a column that holds something else) the most frequent are learned.
+    Every class is learned; of many classes each gives fewer rows, so that all give about ``most_rows`` together.  An id that
+    many rows of the sample share gives the row of the smallest hash.  Of each class only the count comes to the driver.
     """
-    found = rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(most_classes).collect()
-    counts = {r[label]: r["count"] for r in found}
+    found = rows.where(F.col(label).isNotNull()).groupBy(label).count().limit(MOST_CLASSES + 1).collect()
+    if len(found) > MOST_CLASSES:
+        raise ValueError(f"{label} has more than {MOST_CLASSES} different values, which are no classes")
+    counts = {r[label]: r["count"] for r in sorted(found, key=lambda r: (-r["count"], r[label]))}
     if not counts:
         return rows.limit(0), counts
+    if most_rows is not None:
+        most = max(1, min(most, most_rows // len(counts)))
     shares = F.create_map(*(F.lit(x) for value, n in counts.items() for x in (value, min(1.0, most / n))))
     chosen = rows.where(share(F.col("doc_id"), salt) < F.element_at(shares, F.col(label)))
     others = [c for c in rows.columns if c != "doc_id"]

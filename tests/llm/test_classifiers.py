@@ -70,12 +70,58 @@ def test_features_take_linear_time():
 
 
 def test_sample_is_bounded(spark):
-    """Rows that share an id don't add to the sample, and rare values of a dirty column aren't learned."""
+    """Rows that share an id don't add to the sample, all classes are in it, and a column that holds no classes is an error."""
     rows = [(7, f"t{k}", "en") for k in range(500)] + [(k, "x", f"junk{k}") for k in range(50)] + [(100 + k, "y", "de") for k in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    chosen, counts = linear.sample_by_class(df, "lang", 10**6, "s", most_classes=2)
-    assert counts == {"en": 500, "de": 30}
+    chosen, counts = linear.sample_by_class(df, "lang", 10**6, "s")
+    assert len(counts) == 52 and counts["en"] == 500 and counts["de"] == 30
     assert chosen.where("lang = 'en'").count() == 1 and chosen.where("lang = 'de'").count() == 30
+    few, _ = linear.sample_by_class(spark.range(40_000).selectExpr("id as doc_id", "cast(id % 4 as string) as lang"), "lang", 1_000, "s", most_rows=400)
+    assert 250 < few.count() < 560 and few.select("lang").distinct().count() == 4
+    with pytest.raises(ValueError, match="no classes"):
+        linear.sample_by_class(spark.range(10_001).selectExpr("id as doc_id", "cast(id as string) as lang"), "lang", 10, "s")
+
+
+def test_all_of_many_languages_are_learned(spark):
+    """More than 200 languages, each with a letter of its own."""
+    rows = [(5 * k + n, chr(0x4E00 + k) * (3 + n), f"l{k}") for k in range(205) for n in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, F.lit(True))
+    assert len(model.langs) == 205
+    assert sum(model.predict(chr(0x4E00 + k) * 6)[0] == f"l{k}" for k in range(205)) >= 200
+
+
+def loop_sequences(text):
+    """The hashed sequences of one, two and three letters, letter by letter."""
+    cut = 1 << 32
+    codes = [ord(c) if c.isalpha() else 32 for c in f" {text.lower()} "]
+    a, b, c = ([x * m % cut for x in codes] for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
+    for k in range(1, len(codes) - 1):
+        if codes[k] != 32:
+            for x, s in ((a[k] ^ a[k] >> 15, 1), ((a[k] + b[k + 1]) % cut, 2), ((a[k - 1] + b[k] + c[k + 1]) % cut, 3)):
+                yield (x ^ s) * 0x27D4EB2F % cut >> 20
+
+
+def test_languages_match_plain_loops(spark):
+    """The family by its own model, then the language of most pairwise wins, each summed up one sequence after the other."""
+    df = languages(spark)
+    model = langid.train(df, F.lit(True))
+    names = sorted(set(model.families))
+    logistic = lambda z: 1 / (1 + np.exp(-z))
+    for text in ["the cat sat", "Der Hund, und ich!", "où est le chat 12", "el niño", "x", "ßé and ñ", "thought und déjà año " * 3]:
+        found = list(loop_sequences(text))
+        margins = [sum(model.weights[h, m] for h in found) / len(found) + model.biases[m] for m in range(model.weights.shape[1])]
+        p = [logistic(margins[k]) for k in range(len(names))]
+        family = p.index(max(p))
+        own = [k for k, f in enumerate(model.families) if f == names[family]]
+        wins = dict.fromkeys(own, 0.0)
+        for m, (i, j) in enumerate(model.pairs):
+            if i in wins:
+                wins[i] += logistic(2 * margins[len(names) + m])
+                wins[j] += 1 - logistic(2 * margins[len(names) + m])
+        best = max(own, key=lambda k: wins[k])
+        lang, score, _ = model.predict(text)
+        assert lang == model.langs[best] and abs(score - p[family] / sum(p) * (wins[best] / (len(own) - 1) if len(own) > 1 else 1)) < 1e-9
 
 
 @needs_data
