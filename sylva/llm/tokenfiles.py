@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sylva.llm.bpe import text_blocks
 
 #: Different words whose ids a task remembers; the oldest go beyond that.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 400_000
 _BLOCK_CHARS = 1 << 22
 
 
@@ -93,22 +93,19 @@ class WordEncoder:
         if older:
             known.update((w, older[w]) for w in new if w in older)
             new = [w for w in new if w not in known]
-        texts = {w: w.decode() for w in new}
         # words that start with white space and don't end with it keep their ids when they are joined
-        joined = [w for w, t in texts.items() if t[0] in " \n" and not t[-1].isspace()]
+        joined = [w for w in new if w[0] in b" \n" and (32 < w[-1] < 127 or not w.decode()[-1].isspace())]
         for at in range(0, len(joined), 500):
             self._learn_joined(joined[at : at + 500])
         alone = [w for w in new if w not in known]
-        for w, e in zip(alone, self.tokenizer.encode_batch_fast([texts[w] for w in alone], add_special_tokens=False)):
+        for w, e in zip(alone, self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False)):
             known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
 
     def _learn_joined(self, words: list[bytes]) -> None:
         ids = np.asarray(self.tokenizer.encode_batch_fast([b"".join(words).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
-        cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(w) for w in words])) + 1
-        raw, at = ids.tobytes(), 0
-        for w, end in zip(words, (cuts * 4).tolist()):
-            self.known[w] = raw[at:end]
-            at = end
+        cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(list(map(len, words)))) + 1
+        raw, ends = ids.tobytes(), (cuts * 4).tolist()
+        self.known.update(zip(words, (raw[a:b] for a, b in zip([0, *ends], ends))))
 
 
 _BLANK, _ALNUM, _STOP = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
