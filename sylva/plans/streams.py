@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sylva.operators.ordering import shared_folder
 from sylva.plans.catalogue import query
@@ -73,5 +74,7 @@ def stream_received(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each client and kind of event as a path that is present but for purchases."""
-    path = F.concat_ws("/", F.col("client").cast("string"), F.pmod(F.col("event_id"), F.lit(3)).cast("string"))
-    return _run(changes.classify(_events(spark, sf_dir).select(path.alias("path"), "ts", "event_id", (F.col("event_type") != "purchase").alias("present"))))
+    path, folder = F.concat_ws("/", F.col("client").cast("string"), F.pmod(F.col("event_id"), F.lit(3)).cast("string")), shared_folder(spark, "classify")
+    events = _events(spark, sf_dir).select(path.alias("path"), "ts", "event_id", (F.col("event_type") != "purchase").alias("present"))
+    batches.classify(events, folder).trigger(availableNow=True).start().awaitTermination()
+    return batches.written(spark, folder, T.StructType([*(events.schema[c] for c in ("path", "ts")), T.StructField("change", T.StringType())]))

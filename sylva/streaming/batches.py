@@ -139,6 +139,25 @@ def not_received_before(stream: DataFrame, folder: str, keys: list[str], ts: str
     return _in_batches(stream, folder, step)
 
 
+def classify(stream: DataFrame, folder: str, event: str = "event_id"):
+    """Starts from a writer: events (``path``, ``ts``, ``present``, and ``event``, which breaks ties) as changes: added, modified or deleted
+    by whether the path was known.
+
+    An event for a path that is neither known nor present is left out.
+    """
+    log = Log(stream.sparkSession, f"{folder}/log", ["path"], _types(stream, ["path", "present"]))
+
+    def step(batch: DataFrame, number: int) -> DataFrame:
+        batch = batch.withColumn("present", F.coalesce("present", F.lit(False)))
+        led = _led(batch, ["path"], ["ts", event], "present", log.before(number))
+        log.write(number, _last(batch, ["path"], ["ts", event], ["path", "present"]))
+        known = F.coalesce("before_", F.lit(False))
+        change = F.when(F.col("present"), F.when(known, "modified").otherwise("added")).when(known, "deleted")
+        return led.select("path", "ts", change.alias("change")).where("change is not null")
+
+    return _in_batches(stream, folder, step)
+
+
 def written(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
     """The rows of all batches."""
     try:

@@ -1,13 +1,9 @@
-"""Change streams: debouncing and classification with state for each key."""
+"""Change streams: debouncing by session windows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def debounce(changes: DataFrame, client: str = "client", ts: str = "ts", last: str = "event_id", gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
@@ -15,22 +11,3 @@ def debounce(changes: DataFrame, client: str = "client", ts: str = "ts", last: s
     found = changes.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("burst"), client)
     summed = found.agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("n_changes"), F.max_by(last, F.struct(ts, last)).alias("last"))
     return summed.drop("burst")
-
-
-def classify(events: DataFrame, event: str = "event_id") -> DataFrame:
-    """Events (``path``, ``ts``, ``present``, and ``event``, which breaks ties) as changes: added, modified or deleted by whether the path was known.
-
-    An event for a path that is neither known nor present is left out.
-    """
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = state.get[0] if state.exists else False
-        out = []
-        for ts, present in pd.concat(list(batches)).sort_values(["ts", event], kind="stable")[["ts", "present"]].itertuples(index=False):
-            if present or known:
-                out.append((key[0], ts, ("modified" if known else "added") if present else "deleted"))
-            known = bool(present)
-        state.update((known,))
-        yield pd.DataFrame(out, columns=["path", "ts", "change"])
-
-    return events.select("path", "ts", event, "present").groupBy("path").applyInPandasWithState(run, "path string, ts timestamp, change string", "known boolean", "append", GroupStateTimeout.NoTimeout)

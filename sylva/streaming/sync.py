@@ -14,18 +14,19 @@ from typing import Protocol, TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sylva.functions import paths
 from sylva.operators import compare, history, resolve
 from sylva.sources import directory
 from sylva.sources.store import Store
-from sylva.streaming import keyed
+from sylva.streaming import batches, keyed
 
 REFS = "ts timestamp, tree string, origin string, ref string, seq long, predecessors array<string>"
-T = TypeVar("T")
+Result = TypeVar("Result")
 
 
-def retry(act: Callable[[], T], attempts: int = 3, base_ms: int = 100, sleep: Callable[[float], None] = time.sleep) -> T:
+def retry(act: Callable[[], Result], attempts: int = 3, base_ms: int = 100, sleep: Callable[[float], None] = time.sleep) -> Result:
     """Calls ``act`` until it succeeds; waits ``base_ms``, twice that, and so on; raises the last error."""
     for k in range(attempts):
         try:
@@ -139,8 +140,8 @@ class Agent:
         return "ahead" if (ids.get(self.head), ref) in pairs else "diverged"
 
     def merge(self) -> str | None:
-        """Merges the two lowest tips, writes the result to the directory and announces it."""
-        found = resolve.resolve(self.store, self.tree)
+        """Merges all tips, writes the result to the directory and announces it."""
+        found = resolve.resolve_all(self.store, self.tree)
         if found is None:
             return None
         time_id = resolve.store_resolution(self.store, self.tree, found)
@@ -178,19 +179,28 @@ class Agent:
         self.push()
         return changes.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(lambda batch, _: None if batch.isEmpty() else self.push()).start()
 
-    def incoming(self, refs: DataFrame, checkpoint: str, available_now: bool = False, quiet: str | None = None):
+    def incoming(self, refs: DataFrame, checkpoint: str, available_now: bool = False, quiet: str | None = None, received: str | None = None):
         """Starts a stream that takes the newest ref of others in each batch; blank refs are left out.
 
-        With ``quiet`` a ref waits until no newer one has come for so long, by the clock; a newer one takes its place.
+        With ``quiet`` a ref waits until no newer one has come for so long, by the clock; a newer one takes its place.  With
+        ``received``, a folder, refs that were taken are remembered there and passed over when they come again, unless
+        taking them failed.
         """
         refs = refs.where((F.col("tree") == self.tree) & (F.col("origin") != self.client) & (F.trim("ref") != ""))
         if quiet is not None:
             refs = keyed.latest_when_quiet(refs, ["tree"], "ts", ["seq"], quiet)
-
-        def step(batch: DataFrame, _: int) -> None:
-            newest = batch.orderBy(F.desc("ts"), F.desc("seq")).limit(1).collect()
-            for row in newest:
-                self.take_with_recovery(row["ref"], row["predecessors"])
+        log = None
+        if received is not None:
+            schema = T.StructType([*(refs.schema[c] for c in ("origin", "ref", "ts")), T.StructField("invalid", T.BooleanType())])
+            log = batches.Log(self.spark, received, ["origin", "ref"], schema)
+
+        def step(batch: DataFrame, number: int) -> None:
+            if log is not None:
+                batch = batch.join(log.before(number).where("not invalid"), ["origin", "ref"], "left_anti")
+            for row in batch.orderBy(F.desc("ts"), F.desc("seq")).limit(1).collect():
+                outcome = self.take_with_recovery(row["ref"], row["predecessors"])
+                if log is not None:
+                    log.write(number, self.spark.createDataFrame([(row["origin"], row["ref"], row["ts"], outcome is None)], log.schema))
 
         writer = refs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
         return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -1,6 +1,7 @@
 """Directories read, stored, restored and kept in step."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,6 +135,42 @@ def test_incoming_stream(spark, tmp_path):
     assert listing(two) == listing(one)
 
 
+def test_incoming_waits_and_remembers(spark, tmp_path):
+    """The newest ref once none has come for a while; what was taken is passed over, what failed is taken again."""
+    (tmp_path / "two").mkdir()
+    messages = Messages(spark, str(tmp_path / "refs"))
+    agent = Agent(spark, str(tmp_path / "two"), Store(spark, str(tmp_path / "store")), "docsTree", "B", messages)
+    taken, outcomes = [], iter([None, "restore"])
+    agent.take_with_recovery = lambda ref, _: (taken.append(ref), next(outcomes))[1]
+
+    def send(ref, seq, origin="A", tree="docsTree"):
+        messages.send({"tree": tree, "origin": origin, "ref": ref, "seq": seq})
+
+    def run(n):
+        agent.incoming(messages.stream(), str(tmp_path / "progress"), available_now=True, received=f"{tmp_path}/received").awaitTermination()
+        assert len(taken) == n
+
+    send("one", 1)
+    run(1)
+    send("one", 2)
+    run(2)
+    send("one", 3)
+    send("mine", 4, origin="B")
+    send("other", 5, tree="otherTree")
+    run(2)
+    assert taken == ["one", "one"]
+    # by the clock
+    outcomes = iter(["restore"])
+    send("two", 6)
+    send("three", 7)
+    query = agent.incoming(messages.stream(), str(tmp_path / "waiting"), quiet="1 second")
+    until = time.time() + 60
+    while len(taken) < 3 and time.time() < until:
+        time.sleep(0.3)
+    query.stop()
+    assert taken == ["one", "one", "three"]
+
+
 def test_blob_writers_and_their_options(spark, tmp_path):
     blobs = spark.createDataFrame([("a/x", 1, "k1", bytearray(b"old"), 5_000), ("a/x", 2, "k2", bytearray(b"new"), 9_000), ("y", 1, "k3", bytearray(b""), None)], "path string, place long, blob_id string, content binary, mtime long")
     directory.blobs_to_files(blobs, str(tmp_path / "t"))

@@ -75,6 +75,22 @@ def test_received_refs_pass_again_once_invalid(spark, tmp_path, ttl):
     assert sorted(r["event_id"] for r in batches.written(spark, folder, source.drop("invalid").schema).collect()) == want
 
 
+def test_classified_across_batches(spark, tmp_path):
+    rows = events(random.Random(5), 90)
+    written_in(spark, str(tmp_path / "in"), [rows[k : k + 30] for k in range(0, 90, 30)])
+    source = stream(spark, str(tmp_path / "in")).select(F.coalesce(F.col("client").cast("string"), F.lit("x")).alias("path"), "ts", "event_id", (F.col("kind") == "a").alias("present"))
+    folder = f"file://{tmp_path}/out"
+    batches.classify(source, folder).trigger(availableNow=True).start().awaitTermination()
+    known, want = {}, []
+    for client, ts, _, kind, _ in rows:
+        path = "x" if client is None else str(client)
+        if kind == "a" or known.get(path):
+            want.append((path, ts, ("modified" if known.get(path) else "added") if kind == "a" else "deleted"))
+        known[path] = kind == "a"
+    got = [(r["path"], r["ts"], r["change"]) for r in spark.read.schema("path string, ts timestamp, change string").parquet(f"{folder}/rows").collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_bursts_in_any_order():
     rng = random.Random(4)
     for _ in range(50):
