@@ -30,8 +30,8 @@ from sylva.operators.ordering import running_sum
 
 #: Bytes of item texts in a block.
 BLOCK_BYTES = 4 << 20
-#: Classes that are scored at once.
-CLASS_ROWS = 256
+#: Classes that are scored at once, and the most names of classes (8 bytes each) that are broadcast.
+CLASS_ROWS, MOST_SENT = 256, 100_000
 
 
 def ranked(docs: DataFrame, items: DataFrame, most: int = 50, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -126,17 +126,17 @@ class Scorer:
         np.add.at(out, place, add)
         return out.reshape(-1, self.n)
 
-    def add(self, names: list, first: list[tuple], bags_: list[bytes], m: np.ndarray) -> None:
+    def add(self, numbers: list[int], first: list[tuple], bags_: list[bytes], m: np.ndarray) -> None:
         found = self.scores(bags_, m)
         for row, item in zip(*np.nonzero(found >= self.floor)):
             own = self.best[item]
-            own.append((-int(found[row, item]), first[row], names[row], bags_[row], int(m[row])))
+            own.append((-int(found[row, item]), first[row], numbers[row]))
             if len(own) >= 2 * self.most:
                 self._cut(item)
 
     def _cut(self, item: int) -> None:
         own = self.best[item]
-        own.sort(key=lambda x: x[:2])
+        own.sort()
         del own[self.most :]
         if len(own) == self.most:
             self.floor[item] = max(1, -own[-1][0])
@@ -151,32 +151,34 @@ def _block(docs: DataFrame, items: list[tuple[int | None, str]], most: int) -> D
     bags(docs, vocabulary).write.parquet(path)
     rows = spark.read.schema("doc_id long, n long, bag binary").parquet(path)
     total = rows.agg(F.count_if(F.col("n") > 0).alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_terms")).first()
-    found = classes(rows, total["n_docs"], total["n_terms"]).checkpoint()
+    # a class has a number, so that its bag needn't travel with its scores
+    found = classes(rows, total["n_docs"], total["n_terms"]).withColumn("class", F.monotonically_increasing_id()).checkpoint()
     weight = weights(found, total["n_docs"], len(vocabulary))
     sent = spark.sparkContext.broadcast((terms, weight))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*sent.value, most)
         for batch in batches:
-            names, bag, m, nameless, first = (batch.column(c) for c in ("name", "bag", "m", "nameless", "first_id"))
-            order = list(zip(nameless.to_pylist(), (x or 0 for x in first.to_pylist())))
+            numbers, bag, m, nameless, first = (batch.column(c) for c in ("class", "bag", "m", "nameless", "first_id"))
+            columns = numbers.to_pylist(), list(zip(nameless.to_pylist(), (x or 0 for x in first.to_pylist()))), bag.to_pylist(), m.to_numpy()
             for a in range(0, batch.num_rows, CLASS_ROWS):
-                cut = slice(a, a + CLASS_ROWS)
-                scorer.add(names.to_pylist()[cut], order[cut], bag.to_pylist()[cut], m.to_numpy()[cut])
+                scorer.add(*(c[a : a + CLASS_ROWS] for c in columns))
         for item, own in enumerate(scorer.best):
             scorer._cut(item)
-            score, first, name, bag, m = zip(*own) if own else ((),) * 5
-            columns = [pa.array([item] * len(own), pa.int32()), pa.array([-s for s in score], pa.int64()), pa.array([f[0] for f in first], pa.bool_()), pa.array([f[1] for f in first], pa.int64()), pa.array(name, pa.int64()), pa.array(bag, pa.binary()), pa.array(m, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["item", "score", "nameless", "first_id", "name", "bag", "m"])
+            score, first, number = zip(*own) if own else ((),) * 3
+            columns = [pa.array([item] * len(own), pa.int32()), pa.array([-s for s in score], pa.int64()), pa.array([f[0] for f in first], pa.bool_()), pa.array([f[1] for f in first], pa.int64()), pa.array(number, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["item", "score", "nameless", "first_id", "class"])
 
-    scored = found.select("name", "bag", "m", "first_.nameless", F.col("first_.doc_id").alias("first_id")).mapInArrow(run, "item int, score long, nameless boolean, first_id long, name long, bag binary, m long")
-    place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "nameless", "first_id"))
-    best = scored.withColumn("place", place).where(F.col("place") <= most).select("item", "score", "name", "bag", "m").checkpoint()
+    scored = found.select("class", "bag", "m", "first_.nameless", F.col("first_.doc_id").alias("first_id")).mapInArrow(run, "item int, score long, nameless boolean, first_id long, class long")
+    place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "nameless", "first_id", "class"))
+    best = scored.withColumn("place", place).where(F.col("place") <= most).select("item", "score", "class").checkpoint()
     # the smallest documents of the chosen classes, as many as an item can have; Spark keeps that many before it shuffles
-    chosen = best.select("name", "bag", "m").distinct()
+    chosen = found.select("class", "name", "bag", "m").join(best.select("class").distinct(), "class", "left_semi").checkpoint()
+    names = chosen.select("name").distinct()
+    candidates = named(rows, total["n_docs"], total["n_terms"]).join(F.broadcast(names) if len(items) * most <= MOST_SENT else names, "name", "left_semi")
     member = F.row_number().over(Window.partitionBy("name", "bag", "m").orderBy(F.asc_nulls_last("doc_id")))
-    members = named(rows, total["n_docs"], total["n_terms"]).join(F.broadcast(chosen) if len(items) * most <= 10_000 else chosen, ["name", "bag", "m"], "left_semi").withColumn("member", member).where(F.col("member") <= most)
+    members = candidates.withColumn("member", member).where(F.col("member") <= most).join(chosen, ["name", "bag", "m"]).select("class", "doc_id")
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     ids = spark.createDataFrame([(k, i) for k, (i, _) in enumerate(items)], "item int, item_id long")
-    out = best.join(members, ["name", "bag", "m"]).withColumn("rank", rank).where(F.col("rank") <= most)
+    out = best.join(members, "class").withColumn("rank", rank).where(F.col("rank") <= most)
     return out.join(ids, "item").select("item_id", "rank", "doc_id", "score")
