@@ -110,12 +110,30 @@ def test_bounds_are_never_too_low_and_shards_hold_all_rows():
 
 
 def test_nodes_below_the_reached_score_are_left_out():
+    """Just the leaves are opened that have no node above them, themselves included, whose ball lies below."""
     rng = np.random.default_rng(3)
     rows = np.concatenate([rng.integers(-5, 5, (1_000, 8)) + 400 * np.eye(8, dtype=int)[k] for k in range(8)])
     tree = balltree.BallTree(64)
     order, shard = tree.shard(rows, np.zeros(len(rows), int))
-    seen = [p for p in tree.visit(shard, {"rows": rows[:1]}, 0, [100_000, 10**9])]
-    assert 0 < sum(map(len, seen)) <= 1_500
+    query, least = rows[0].astype(float), 100_000
+    bound = {}
+
+    def leaves(node, above):
+        a, b = shard["nodes"][node]
+        own = rows[order[a:b]].astype(float)
+        centre = own.mean(axis=0)
+        bound[node] = query @ centre + np.linalg.norm(query) * max(np.linalg.norm(x - centre) for x in own)
+        reached = above and bound[node] >= least
+        if shard["left"][node]:
+            yield from leaves(shard["left"][node], reached)
+            yield from leaves(shard["left"][node] + 1, reached)
+        elif reached:
+            yield node
+
+    want = set(leaves(0, True))
+    at = {int(a): node for node, (a, _) in enumerate(shard["nodes"]) if not shard["left"][node]}
+    seen = [at[int(p[0])] for p in tree.visit(shard, {"rows": rows[:1]}, 0, [least, 10**9])]
+    assert set(seen) == want and len(seen) == len(want) < len(at)
 
 
 def test_products_are_exact_or_an_error():
