@@ -31,6 +31,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def mounted(uri: str) -> str:
+    """The path of a folder that is mounted as a file system, from a path or a ``file:`` address with any number of slashes.
+
+    Anything else would be taken for a relative path, in whatever folder a process happens to run.
+    """
+    path = "/" + uri.removeprefix("file:").lstrip("/") if uri.startswith("file:") else uri
+    if not path.startswith("/"):
+        raise ValueError(f"not an absolute path of a mounted file system: {uri}")
+    return path
+
+
 def ranged(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """``rows`` with ``range_``, fixed by a checkpoint: bounds drawn anew could differ."""
     checkpoint_dir(rows.sparkSession)

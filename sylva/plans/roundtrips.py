@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sylva.functions import paths
 from sylva.operators import resolve
-from sylva.operators.ordering import shared_folder
+from sylva.operators.ordering import mounted, shared_folder
 from sylva.plans.catalogue import query
 from sylva.plans.fixtures import table
 from sylva.sources import directory, directory_stream, tree_sink
@@ -22,10 +22,7 @@ from sylva.streaming.watch import Watch
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    path = shared_folder(spark, name)
-    if "://" in path and not path.startswith("file:"):
-        raise ValueError("directories need a shared folder that is mounted as a file system")
-    return "/" + path.removeprefix("file:").lstrip("/")
+    return mounted(shared_folder(spark, name))
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:

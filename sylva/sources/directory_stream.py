@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from sylva.functions import paths
+from sylva.operators.ordering import mounted
 from sylva.sources.directory import ScanError
 
 SCHEMA = "step long, ts timestamp, path string, change string"
@@ -51,7 +52,7 @@ class Snapshots:
     """Listings of a directory by number and slice, in the folder ``state``."""
 
     def __init__(self, state: str):
-        self.state = state.removeprefix("file://")
+        self.state = mounted(state)
 
     def numbers(self) -> list[int]:
         return sorted(int(n) for n in os.listdir(self.state) if n.isdigit()) if os.path.isdir(self.state) else []
@@ -109,7 +110,7 @@ def _slice_of(path: str, slices: int) -> int:
 
 class DirectoryChanges(DataSourceStreamReader):
     def __init__(self, options: dict):
-        self.root = options["path"]
+        self.root = mounted(options["path"])
         self.snapshots = Snapshots(options["state"])
         self.ignore = tuple(x for x in options.get("ignore", ",".join(paths.DEFAULT_IGNORE)).split(",") if x)
         self.content = str(options.get("content", "true")).lower() == "true"

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from sylva.operators.ordering import mounted
 from sylva.sources.directory import RestoreError
 
 SCHEMA = "path string, type string, mtime long, content binary"
@@ -53,7 +54,7 @@ def _checked(path: str) -> str:
 
 class TreeWriter(DataSourceWriter):
     def __init__(self, options: dict, overwrite: bool):
-        self.target, self.overwrite = os.path.abspath(options["path"].removeprefix("file://")), overwrite
+        self.target, self.overwrite = os.path.abspath(mounted(options["path"])), overwrite
         # where what is written can be moved without being copied
         name = f"{os.path.basename(self.target)}." if overwrite else ""
         self.staging = os.path.join(os.path.dirname(self.target) if overwrite else self.target, f"{STAGING}{name}{uuid.uuid4().hex}")
@@ -160,7 +161,7 @@ def recover(target: str) -> int:
 
     No job may be writing to it meanwhile.
     """
-    target, done = os.path.abspath(target.removeprefix("file://")), 0
+    target, done = os.path.abspath(mounted(target)), 0
     above, name = os.path.split(target)
     for found in sorted(os.listdir(above)) if os.path.isdir(above) else []:
         if found.startswith(f"{STAGING}{name}."):

@@ -48,6 +48,18 @@ def test_a_step_that_fails_loses_nothing(spark, tmp_path):
     assert len(Snapshots(state).numbers()) <= 3
 
 
+def test_the_state_lies_where_the_address_says(tmp_path, monkeypatch):
+    (tmp_path / "elsewhere").mkdir()
+    monkeypatch.chdir(tmp_path / "elsewhere")
+    for k, address in enumerate((str(tmp_path / "s0"), f"file:{tmp_path}/s1", f"file://{tmp_path}/s2")):
+        assert Snapshots(address).new() == 1
+        assert (tmp_path / f"s{k}" / "1").is_dir()
+    assert os.listdir(tmp_path / "elsewhere") == []
+    for address in ("state", "hdfs://host/state"):
+        with pytest.raises(ValueError, match="mounted"):
+            Snapshots(address)
+
+
 def test_a_slice_that_was_written_is_not_listed_again(tmp_path):
     root = tmp_path / "root"
     (root / "d").mkdir(parents=True)
