@@ -1,11 +1,15 @@
 """Byte-level BPE: overlapping chunk encoding and raw-byte decoding.
 
-Every text is cut into chunks of ``chunk_chars`` that overlap by ``overlap_chars``.  Chunks are dealt over the cluster and
-pre-tokenised on their own.  A chunk starts at an arbitrary place, so its first boundaries may be wrong, as may the
-last ones of the chunk before; but matches of the pattern depend on what follows them only, so from the first
-boundary that both chunks agree on they agree for good.  That seam cuts the text into pieces of whole pre-tokens,
-which are encoded separately.  A text whose chunks share no boundary in some overlap (a run of letters longer than
-the overlap) is encoded whole.  A text of one chunk has no seam: its only piece is encoded where it is read.
+Every text is cut into chunks of ``chunk_chars`` that overlap by ``overlap_chars``, each pre-tokenised on its own.  A chunk
+starts at an arbitrary place, so its first boundaries may be wrong, as may the last ones of the chunk before; but
+matches of the pattern depend on what follows them only, so from the first boundary that both chunks agree on they
+agree for good.  That seam cuts the text into pieces of whole pre-tokens, which are encoded separately.  Where two
+chunks share no boundary in their overlap (a run of letters longer than it), the chunk before grows by more and more
+chunks until it shares one with the next.
+
+The chunks of a text of up to ``task_chars`` are worked on one after the other where the text is read.  Those of a longer
+one are dealt over the cluster, and only their boundaries and ids meet; if some overlap has no seam, such a text is
+gathered and cut in one task like a shorter one.
 
 Defined results: a null text is an empty one and has no ids; repeated rows each give their own result; a null
 ``doc_id`` is a value like any other; further columns of the input are ignored; an empty table gives an empty one.
@@ -28,7 +32,9 @@ from pyspark.sql import functions as F
 from sylva.llm.tables import scratch_path
 
 #: Characters of a chunk, and by how many it overlaps the next one.
-CHUNK_CHARS, OVERLAP_CHARS = 1 << 13, 1 << 9
+CHUNK_CHARS, OVERLAP_CHARS = 1 << 10, 1 << 7
+#: Characters of the longest text whose chunks are worked on in one task.
+TASK_CHARS = 1 << 16
 #: No alternative of the pattern looks further ahead than this many characters past its start.
 LOOKAHEAD = 4
 #: Texts encoded at once inside a task, in characters: bounds the ids held in Python.
@@ -69,49 +75,121 @@ def decode_ids(ids, vocabulary: Vocabulary) -> bytes:
     return b"".join(map(table.__getitem__, ids))
 
 
-def boundaries(text: str, pattern: str) -> list[int]:
-    """Ends of the pre-tokens of ``text`` that can be seams: the character before is no white space.
+@functools.lru_cache(maxsize=4)
+def _compiled(pattern: str):
+    import regex
+
+    return regex.compile(pattern)
+
+
+def _ends(text: str, pattern: str) -> np.ndarray:
+    """Ends of all pre-tokens of ``text``."""
+    found = _compiled(pattern)
+    if not found.groups:
+        ends = np.cumsum(np.fromiter(map(len, found.findall(text)), dtype=np.int64))
+        if (int(ends[-1]) if len(ends) else 0) == len(text):  # else the pattern leaves gaps
+            return ends
+    return np.array([m.end() for m in found.finditer(text)], dtype=np.int64)
+
+
+def _between(text: str, ends: np.ndarray, first: int, past: int) -> list[int]:
+    """Those boundaries from ``first`` on and before ``past`` that can be seams: the character before is no white space.
 
     Cut behind white space, the left piece would lose the character that its look-ahead needs.
     """
-    import regex
+    a, b = np.searchsorted(ends, (first, past))
+    return [e for e in ends[a:b].tolist() if not text[e - 1].isspace()]
 
-    return [m.end() for m in regex.compile(pattern).finditer(text) if not text[m.end() - 1].isspace()]
 
+def shared_boundaries(chunk: str, pattern: str, chunk_chars: int, overlap_chars: int) -> tuple[list[int], list[int]]:
+    """The boundaries that a chunk shares out: those before the end of its first overlap, and those in the last one.
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
+    The latter count from the start of the next chunk.
+    """
+    ends = _ends(chunk, pattern)
+    return _between(chunk, ends, 0, overlap_chars), [e - chunk_chars for e in _between(chunk, ends, chunk_chars, len(chunk) - LOOKAHEAD + 1)]
+
+
+def seams(text: str, pattern: str, chunk_chars: int, overlap_chars: int) -> list[int]:
+    """Where ``text`` can be cut: one place for each two chunks that meet, but for those that had to grow together."""
+    n = -(-len(text) // chunk_chars)
+    if n < 2:
+        return []
+    of = [shared_boundaries(text[k : k + chunk_chars + overlap_chars], pattern, chunk_chars, overlap_chars) for k in range(0, len(text), chunk_chars)]
+    found, start, tail, at, width = [], 0, of[0][1], 1, 1
+    while at < n:
+        shared = set(tail).intersection(of[at][0])
+        if shared:
+            start = at * chunk_chars + min(shared)
+            found.append(start)
+            tail, at, width = of[at][1], at + 1, 1
+        else:  # the chunk grows from its first sure boundary, by twice as many chunks each time
+            at, width = at + width, 2 * width
+            if at < n:
+                grown = text[start : at * chunk_chars + overlap_chars]
+                tail = shared_boundaries(grown, pattern, at * chunk_chars - start, overlap_chars)[1]
+    return found
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, task_chars: int = TASK_CHARS) -> DataFrame:
     """``doc_id``, ``row`` long, ``piece`` int, ``n_pieces`` int, ``ids`` array<int>.
 
-    A text's ids are those of its pieces in order; ``row`` tells apart rows of several pieces.
+    A text's ids are those of its pieces in order; ``row`` tells texts apart.
     """
-    alone, several = pieces(docs, vocabulary, chunk_chars, overlap_chars)
-    return _encode_pieces(alone.unionByName(several), vocabulary)
+    texts, dealt = _parts(docs, vocabulary, chunk_chars, overlap_chars, task_chars)
+    schema = "doc_id long, row long, piece int, n_pieces int, ids array<int>"
+    cut = lambda batches: _cut_here(batches, vocabulary.pattern, chunk_chars, overlap_chars)
+    return texts.mapInArrow(lambda batches: _encoded(cut(batches), vocabulary), schema).unionByName(dealt.mapInArrow(lambda batches: _encoded(batches, vocabulary), schema))
 
 
-def encoded_digests(docs: DataFrame, vocabulary: Vocabulary, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
+def encoded_digests(docs: DataFrame, vocabulary: Vocabulary, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, task_chars: int = TASK_CHARS) -> DataFrame:
     """:func:`digests` of all texts.
 
-    A text of one piece is encoded, decoded and hashed in one go; pieces of several are encoded wherever they are
-    and only their ids meet in one task.
+    A text whose pieces are in one task is cut, encoded, decoded and hashed in one go; pieces that were dealt are
+    encoded wherever they are and only their ids meet in one task.
     """
-    alone, several = pieces(docs, vocabulary, chunk_chars, overlap_chars)
+    texts, dealt = _parts(docs, vocabulary, chunk_chars, overlap_chars, task_chars)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    packed = several.mapInArrow(lambda batches: _packed(_encoded(batches, vocabulary), vocabulary), "doc_id long, row long, piece int, n_pieces int, ids binary")
+    packed = dealt.mapInArrow(lambda batches: _packed(_encoded(batches, vocabulary), vocabulary), "doc_id long, row long, piece int, n_pieces int, ids binary")
     met = together(packed).mapInArrow(lambda batches: _digested(_unpacked(batches, vocabulary), vocabulary), schema)
-    return alone.mapInArrow(lambda batches: _digested(_encoded(batches, vocabulary), vocabulary), schema).unionByName(met)
+    cut = lambda batches: _cut_here(batches, vocabulary.pattern, chunk_chars, overlap_chars)
+    return texts.mapInArrow(lambda batches: _digested(_encoded(cut(batches), vocabulary), vocabulary), schema).unionByName(met)
 
 
-def pieces(docs: DataFrame, vocabulary: Vocabulary, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> tuple[DataFrame, DataFrame]:
-    """The pieces (``text``) of all texts: those of one chunk, and those of several cut at their chunks' seams."""
+def _parts(docs: DataFrame, vocabulary: Vocabulary, chunk_chars: int, overlap_chars: int, task_chars: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id``, ``row``, ``text``: the texts that a task cuts; and the pieces of those whose chunks were dealt."""
     if overlap_chars <= LOOKAHEAD or chunk_chars <= overlap_chars:
         raise ValueError("a chunk must be longer than the overlap, and that longer than the look-ahead")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n_pieces", F.greatest(F.ceil(F.length("text") / chunk_chars), F.lit(1)).cast("int"))
-    alone = rows.where("n_pieces = 1").select("doc_id", F.lit(0).cast("long").alias("row"), F.lit(0).alias("piece"), "n_pieces", "text")
-    return alone, _stitched(rows.where("n_pieces > 1"), vocabulary.pattern, chunk_chars, overlap_chars)
+    text = F.coalesce("text", F.lit("")).alias("text")
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text)
+    longer = F.length("text") > max(task_chars, chunk_chars)
+    pieces, unseamed = _stitched(rows.where(longer), vocabulary.pattern, chunk_chars, overlap_chars)
+    # dealt texts keep their numbers, all others have negative ones
+    here = rows.where(~longer).withColumn("row", -1 - F.col("row"))
+    return here.unionByName(unseamed), pieces
 
 
-def _stitched(long: DataFrame, pattern: str, chunk_chars: int, overlap_chars: int) -> DataFrame:
-    """Cuts each row's text at the seams of its chunks, which are written to the folder that the cluster shares."""
+def _cut_here(batches: Iterator[pa.RecordBatch], pattern: str, chunk_chars: int, overlap_chars: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in text_blocks(batch, "text", _BLOCK_CHARS):
+            doc_ids, rows, numbers, counts, texts = [], [], [], [], []
+            for doc_id, row, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "row", "text"))):
+                cuts = [0, *seams(text, pattern, chunk_chars, overlap_chars), len(text)]
+                n = len(cuts) - 1
+                doc_ids += [doc_id] * n
+                rows += [row] * n
+                numbers += range(n)
+                counts += [n] * n
+                texts += [text[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+            kinds = (part.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip((doc_ids, rows, numbers, counts, texts), kinds)], names=[*_PIECE, "text"])
+
+
+def _stitched(long: DataFrame, pattern: str, chunk_chars: int, overlap_chars: int) -> tuple[DataFrame, DataFrame]:
+    """The pieces of each row's text, cut at the seams of its chunks, and the texts that lack some seam.
+
+    Chunks are written to the folder that the cluster shares.
+    """
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
@@ -124,7 +202,7 @@ def _stitched(long: DataFrame, pattern: str, chunk_chars: int, overlap_chars: in
 
     spark, schema = long.sparkSession, "doc_id long, row long, piece int, n_pieces int, chunk string"
     path = scratch_path(spark, "chunks")
-    keyed = long.select("doc_id", F.monotonically_increasing_id().alias("row"), "n_pieces", "text")
+    keyed = long.select("doc_id", "row", F.ceil(F.length("text") / chunk_chars).cast("int").alias("n_pieces"), "text")
     keyed.mapInArrow(cut_up, schema).write.option("compression", "zstd").parquet(path)
     chunks = spark.read.schema(schema).parquet(path)
 
@@ -134,10 +212,9 @@ def _stitched(long: DataFrame, pattern: str, chunk_chars: int, overlap_chars: in
         for batch in batches:
             heads, tails = [], []
             for k, n, chunk in zip(*(batch.column(c).to_pylist() for c in ("piece", "n_pieces", "chunk"))):
-                ends, last = boundaries(chunk, pattern), len(chunk) - LOOKAHEAD
-                # both count from the start of the chunk that the seam is for
-                heads.append([e for e in ends if e < overlap_chars] if k else [])
-                tails.append([e - chunk_chars for e in ends if chunk_chars <= e <= last] if k < n - 1 else [])
+                head, tail = shared_boundaries(chunk, pattern, chunk_chars, overlap_chars)
+                heads.append(head if k else [])
+                tails.append(tail if k < n - 1 else [])
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("piece"), batch.column("n_pieces"), *(pa.array(x, pa.list_(kind)) for x in (heads, tails))], names=["row", "piece", "n_pieces", "head", "tail"])
 
     found = chunks.select("row", "piece", "n_pieces", "chunk").mapInArrow(pre_tokenise, f"row long, piece int, n_pieces int, head array<{name}>, tail array<{name}>")
@@ -162,7 +239,7 @@ def _stitched(long: DataFrame, pattern: str, chunk_chars: int, overlap_chars: in
     cut = met.where("lost is null").select("doc_id", "row", "piece", "n_pieces", F.col("chunk").substr(first + 1, size).alias("text"))
     parts = F.sort_array(F.collect_list(F.struct("piece", F.left("chunk", F.lit(chunk_chars)).alias("part"))))
     whole = met.where("lost").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_join(parts["part"], "").alias("text"))
-    return cut.unionByName(whole.select("doc_id", "row", F.lit(0).alias("piece"), F.lit(1).alias("n_pieces"), "text"))
+    return cut, whole.select("doc_id", "row", "text")
 
 
 _PIECE = ("doc_id", "row", "piece", "n_pieces")
@@ -200,11 +277,6 @@ def _unpacked(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iter
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in _PIECE), int_lists(ids)], names=[*_PIECE, "ids"])
 
 
-def _encode_pieces(cut: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    schema = "doc_id long, row long, piece int, n_pieces int, ids array<int>"
-    return cut.mapInArrow(lambda batches: _encoded(batches, vocabulary), schema)
-
-
 def text_blocks(batch: pa.RecordBatch, column: str, most_chars: int) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of about ``most_chars`` bytes of text; a longer text stands alone."""
     import pyarrow.compute as pc

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
@@ -81,11 +82,11 @@ def test_escape_round_trip(spark):
 # byte-level BPE --------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("chunk, overlap", [(bpe.CHUNK_CHARS, bpe.OVERLAP_CHARS), (64, 16), (200, 60)])
-def test_bpe_matches_library(spark, chunk, overlap):
+@pytest.mark.parametrize("chunk, overlap, task", [(bpe.CHUNK_CHARS, bpe.OVERLAP_CHARS, bpe.TASK_CHARS), (64, 16, 0), (64, 16, 1_000), (200, 60, 1 << 20)])
+def test_bpe_matches_library(spark, chunk, overlap, task):
     texts = list(enumerate(odd_texts())) + [(None, "none"), (3, "x" * 5_000), (3, "again")]
     clashing = documents(spark, texts).toDF("doc_id", "text", "row", "piece", "chunk")
-    got = bpe.encoded_digests(clashing, VOCABULARY, chunk, overlap).collect()
+    got = bpe.encoded_digests(clashing, VOCABULARY, chunk, overlap, task).collect()
     want = []
     for i, t in texts:
         ids = bpe.encode_text(t or "", VOCABULARY)
@@ -93,9 +94,25 @@ def test_bpe_matches_library(spark, chunk, overlap):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
-def test_bpe_decodes_its_pieces(spark):
+def test_bpe_seams_are_boundaries_of_the_whole_text():
+    letters = "a" * 700
+    texts = [*(t or "" for t in odd_texts()), f"one two {letters} three {letters}{letters} four five " + "six seven " * 600, letters * 3, " " * 900, "x\n\n   " * 200]
+    for text in texts:
+        ends = {m.end() for m in regex.compile(P.PATTERN).finditer(text)}
+        for chunk, overlap in ((64, 16), (100, 40), (1024, 128)):
+            cuts = bpe.seams(text, P.PATTERN, chunk, overlap)
+            assert set(cuts) <= ends and cuts == sorted(set(cuts)) and len(cuts) < max(1, -(-len(text) // chunk))
+    # what has no boundary grows; what follows is cut again
+    assert bpe.seams(letters, P.PATTERN, 64, 16) == []
+    assert len(bpe.seams(texts[-4], P.PATTERN, 64, 16)) >= 5
+    prose = "some words of a text, " * 400
+    assert len(bpe.seams(prose, P.PATTERN, 1024, 128)) == -(-len(prose) // 1024) - 1
+
+
+@pytest.mark.parametrize("task", [0, 1 << 16])
+def test_bpe_decodes_its_pieces(spark, task):
     texts = list(enumerate(odd_texts()))
-    got = bpe.decode(bpe.encode(documents(spark, texts), VOCABULARY, 100, 40), VOCABULARY).collect()
+    got = bpe.decode(bpe.encode(documents(spark, texts), VOCABULARY, 100, 40, task), VOCABULARY).collect()
     for i, t in texts:
         rows = sorted((r["piece"], bytes(r["bytes"])) for r in got if r["doc_id"] == i)
         assert b"".join(x for _, x in rows) == (t or "").encode(), i
