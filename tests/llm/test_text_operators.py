@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +120,16 @@ def test_bpe_decodes_its_pieces(spark, task):
     assert max(r["n_pieces"] for r in got) > 100
 
 
+def test_bpe_leaves_nothing_in_the_shared_folder(spark):
+    from sylva.operators.ordering import mounted
+    from sylva.operators.scratch import scratch
+
+    with scratch(spark) as folder:
+        assert bpe.encoded_digests(documents(spark, [(1, "word " * 3_000)]), VOCABULARY, task_chars=0).count() == 1
+        assert sorted(Path(mounted(folder)).rglob("*.parquet"))
+    assert not Path(mounted(folder)).exists()
+
+
 def test_bpe_empty_and_options(spark):
     assert bpe.encoded_digests(documents(spark, []), VOCABULARY).count() == 0
     assert bpe.encode(documents(spark, []), VOCABULARY).count() == 0
