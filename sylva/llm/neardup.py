@@ -8,8 +8,9 @@ fingerprints meet by key, are compared, and linked; the links' connected compone
 only a spanning forest of the links is given, found by comparing with pivots, so a group of copies gives links in
 proportion to its size; keys of very many fingerprints are dealt out in cells, every pair of which meets in one.
 
-A SimHash can't tell a similarity of 0.8 from one of 0.7, so the pipeline's stage (:func:`keep_first`) finds its
-candidates by MinHash keys of the texts' 5-word shingles and checks each link on the whole shingle sets.
+The pipeline's stage (:func:`keep_first`) groups the SimHashes of the texts' different 5-word shingles by the same Golay
+keys.  A SimHash can't tell a similarity of 0.8 from one of 0.7, so every link is checked on the whole shingle sets, and
+texts that the groups part are met once more by MinHash keys of the same shingles.
 
 A node's name begins with the smallest ``doc_id`` of its texts, so that the smallest name of a component, its root,
 tells the group's id without another join.
@@ -39,6 +40,8 @@ RADIUS = 3
 #: Fingerprints of one key that are compared in one task; more are dealt out in cells.
 CELL_ROWS = 16_384
 _ALL_PAIRS = 8
+#: Differing bits up to which :func:`print_groups` takes prints that share a key; sharing one is sure up to ``RADIUS``.
+GROUP_BITS = 12
 #: MinHash keys of a text and values of each: two texts of similarity 0.8 share none with a chance of 3 in a million.
 BANDS, BAND_ROWS = 32, 5
 #: Bytes of the shingle sets of one key that are compared in one task; more are dealt out in cells.
@@ -248,6 +251,14 @@ def text_shingles(text: str | None, shingle_words: int) -> np.ndarray:
     return np.unique(total)
 
 
+def set_print(shingles: np.ndarray) -> int:
+    """The 64-bit SimHash of a set of shingle hashes, as a signed number."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), 1 << 14):
+        votes += np.unpackbits(shingles[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(shingles), bitorder="little").view(np.int64)[0])
+
+
 def band_keys(shingles: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
     """A key for each band of ``rows`` MinHash values; two sets share a given one with their similarity to the power ``rows``."""
     seeds, factors = _hash_family(bands * rows)
@@ -268,33 +279,50 @@ def _hash_family(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_keys(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """``doc_id``, ``text_hash`` long, ``set`` binary (a hash of the text's shingle set), ``shingles`` long (their number), ``keys``."""
+    """``doc_id``, ``text_hash`` long, ``set`` binary (a hash of the text's shingle set), ``shingles`` long (their number).
+
+    Besides ``fingerprint`` long, the set's SimHash, and ``keys``, its MinHash keys.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, prints, keys = [], [], [], []
             for text in batch.column("text").to_pylist():
                 own = text_shingles(text, shingle_words)
                 nodes.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sizes.append(len(own))
+                prints.append(set_print(own))
                 keys.append(band_keys(own) if len(own) else np.empty(0, np.int64))
-            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "set", "shingles", "keys"])
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "set", "shingles", "fingerprint", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, set binary, shingles long, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, set binary, shingles long, fingerprint long, keys array<long>")
+
+
+def print_groups(nodes: DataFrame, most_bits: int = GROUP_BITS, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``nodes`` with ``near`` long: a fingerprint for each component of those that share a Golay key and differ in at most ``most_bits`` bits."""
+    prints = nodes.select("fingerprint").distinct().select(F.unhex(simhash.as_hex(F.col("fingerprint"))).alias("node")).checkpoint()
+    number = lambda c: F.conv(F.hex(c), 16, -10).cast("long")
+    roots = components(links(prints, most_bits, cell_rows)).select(number("node").alias("fingerprint"), number("root").alias("root"))
+    return nodes.join(roots, "fingerprint", "left").withColumn("near", F.coalesce("root", "fingerprint")).drop("root")
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, shingle_words: int, least: float, cell_bytes: int = CELL_BYTES) -> DataFrame:
-    """``a``, ``b``: for every key of ``nodes`` a spanning forest of its sets with a Jaccard similarity of ``least`` or more.
+    """``a``, ``b``: a spanning forest of the sets of ``nodes`` with a Jaccard similarity of ``least`` or more.
 
-    Of keys with the same members one is compared.  Only the sets of texts that share a key are sent, and every link
-    is checked on the whole sets.
+    Every group of near fingerprints is compared, and those that share a MinHash key unless all lie in one group.  Of keys
+    with the same members one is compared.  Only the sets of texts that share a key are sent, and every link is checked
+    on the whole sets.
     """
-    keyed_ = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "node", "shingles")
-    met = keyed_.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"), F.sum(8 * F.col("shingles")).alias("bytes")).where("n > 1")
+    near = print_groups(nodes).where("shingles > 0").select("node", "near", "shingles", "keys").checkpoint()
+    by_print = near.select(F.xxhash64(F.lit("near"), "near").alias("key"), F.lit(True).alias("by_print"), "near", "node", "shingles")
+    by_band = near.select(F.explode(F.array_distinct("keys")).alias("key"), F.lit(False).alias("by_print"), "near", "node", "shingles")
+    keyed_ = by_print.unionByName(by_band)
+    met = keyed_.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"), F.sum(8 * F.col("shingles")).alias("bytes"), F.max("by_print").alias("by_print"), (F.min("near") != F.max("near")).alias("parted"))
+    met = met.where((F.col("n") > 1) & (F.col("by_print") | F.col("parted")))
     chosen = met.groupBy("n", "members", "bytes").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("bytes") / cell_bytes).cast("long").alias("cells"))
     members = keyed_.join(chosen, "key").select("key", "cells", "node").checkpoint()
     wanted = members.select("node").distinct().join(nodes.select("node", "one"), "node")
@@ -404,7 +432,7 @@ def _linked_sets(docs: DataFrame, shingle_words: int, least: float, cell_bytes:
     checkpoint_dir(docs.sparkSession)
     rows = shingle_keys(docs, shingle_words).checkpoint()
     one = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
-    nodes = rows.groupBy("set").agg(F.min(one).alias("one"), F.count("*").alias("copies"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys"))
+    nodes = rows.groupBy("set").agg(F.min(one).alias("one"), F.count("*").alias("copies"), F.first("shingles").alias("shingles"), F.first("fingerprint").alias("fingerprint"), F.first("keys").alias("keys"))
     nodes = nodes.withColumn("node", named(F.col("one.doc_id"), F.col("set"))).checkpoint()
     return rows.select("doc_id", "text_hash", "set"), nodes, similar_links(docs, nodes, shingle_words, least, cell_bytes)
 

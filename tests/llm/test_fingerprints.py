@@ -248,6 +248,41 @@ def test_keep_first_short_texts(spark):
     assert {r["doc_id"] for r in neardup.keep_first(documents(spark, rows)).collect()} == {1, 3, 4, 5}
 
 
+def test_set_print_is_the_simhash():
+    rng = np.random.default_rng(10)
+    for n in (0, 1, 2, 9, 40_000):
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        votes = [int((x >> np.uint64(b) & np.uint64(1)).sum()) for b in range(64)]
+        assert neardup.set_print(x) % (1 << 64) == sum(1 << b for b, v in enumerate(votes) if 2 * v > n)
+
+
+def test_print_groups_find_near_copies(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(200):
+        words = [f"w{rng.randrange(3000)}" for _ in range(300)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(edited(rng, words, 1)))]
+    prints = [(i, neardup.set_print(neardup.text_shingles(t, 5))) for i, t in rows]
+    near = dict(neardup.print_groups(spark.createDataFrame(prints, "doc_id long, fingerprint long")).select("doc_id", "near").collect())
+    assert sum(near[2 * k] == near[2 * k + 1] for k in range(200)) > 150
+    assert len({near[2 * k] for k in range(200)}) == 200
+    prints = dict(prints)
+    assert all(near[2 * k] == near[2 * k + 1] for k in range(200) if (prints[2 * k] ^ prints[2 * k + 1]).bit_count() <= 3)
+
+
+def test_links_are_found_by_golay_keys_alone(spark):
+    rng = random.Random(13)
+    rows = []
+    for k in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(300)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(edited(rng, words, 1)))]
+    df = documents(spark, rows)
+    found = neardup.shingle_keys(df, 5).select("*", F.struct("doc_id", "text_hash").alias("one"), neardup.named(F.col("doc_id"), F.col("set")).alias("node"))
+    pairs = neardup.similar_links(df, found.withColumn("keys", F.array().cast("array<long>")), 5, 0.8)
+    linked = {tuple(sorted(r)) for r in pairs.select(neardup.name_id(F.col("a")), neardup.name_id(F.col("b"))).collect()}
+    assert len(linked) > 45 and linked <= {(2 * k, 2 * k + 1) for k in range(60)}
+
+
 def test_edited_likeness(spark):
     rows = [(i, t) for i, t in corpus() if i != 5] + [(5, "x y z")] * 2
     got = {(r["doc_id"], r["n_chars"], r["edited_sha256"]): r for r in fingerprint.edited_likeness(documents(spark, rows)).collect()}
