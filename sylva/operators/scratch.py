@@ -1,8 +1,9 @@
-"""A folder for one piece of work: everything that it writes on the way goes when it ends."""
+"""A folder for one piece of work: everything that it writes on the way goes when it ends, with its shuffle files."""
 
 from __future__ import annotations
 
 import contextlib
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -32,3 +33,10 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         hadoop = spark._jvm.org.apache.hadoop.fs
         path = hadoop.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files of DataFrames that nobody holds any more go; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sylva.functions import paths
 from sylva.operators import resolve
 from sylva.operators.ordering import mounted, shared_folder
+from sylva.operators.scratch import release
 from sylva.plans.catalogue import query
 from sylva.plans.fixtures import table
 from sylva.sources import directory, directory_stream, tree_sink
@@ -39,17 +40,22 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _write(spark: SparkSession, sf_dir: str, name: str) -> str:
     target, entries = _folder(spark, name), _entries(spark, sf_dir)
-    directory.write_tree(entries, entries.where("type = 'file'").select("blob_id", "content").dropDuplicates(["blob_id"]), target)
+    directory.make_dirs(entries.where("type = 'directory'").select("path"), target)
+    directory.blobs_to_files(entries.where("type = 'file'"), target)
     return target
 
 
 _SEEN = ("path", "type", "size", "mtime", "blob_id")
 
 
+def _seen(spark: SparkSession, root: str) -> DataFrame:
+    return directory.scan(spark, root, content=False, hashed=True).select(*_SEEN)
+
+
 @query
 def fs_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents, written as a directory and scanned."""
-    return directory.scan(spark, _write(spark, sf_dir, "scan")).select(*_SEEN)
+    return _seen(spark, _write(spark, sf_dir, "scan"))
 
 
 @query
@@ -195,7 +201,9 @@ def transactional_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     target, entries = _write(spark, sf_dir, "sink"), _entries(spark, sf_dir)
     blobs = entries.where("type = 'file'").select("blob_id", "content").dropDuplicates(["blob_id"])
     tree_sink.write(entries.where("doc_id is null or doc_id % 2 = 0"), blobs, target, overwrite=True)
+    release(spark)
     tree_sink.write(entries.where("doc_id % 3 = 0").withColumn("path", F.concat(F.lit("more/"), "path")), blobs, target)
+    release(spark)
     failing = entries.where("type = 'file'").withColumn("path", F.concat(F.lit("never/"), "path"))
     lost = failing.where("doc_id % 5 = 0").select(F.concat("path", F.lit("-lost")).alias("path"), "type", F.lit("none").alias("blob_id"), "mtime")
     try:
@@ -203,7 +211,8 @@ def transactional_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     except Exception as e:
         if "no blob for" not in str(e):
             raise
-    return directory.scan(spark, target).select(*_SEEN)
+    release(spark)
+    return _seen(spark, target)
 
 
 @query

@@ -26,6 +26,8 @@ SCHEMA = "path string, type string, size long, mtime long, blob_id string, conte
 LARGEST_FILE = 512 << 20
 #: Directories that a task lists, and files that it reads.
 TASK_DIRS, TASK_FILES, MOST_TASKS = 64, 256, 10_000
+#: Files and bytes that a task passes on at once, bytes of a file that are hashed at once, and directories that it remembers.
+ROWS_AT_ONCE, BYTES_AT_ONCE, PIECE, KNOWN = 1_000, 4 << 20, 1 << 20, 65_536
 
 
 class ScanError(Exception):
@@ -37,9 +39,35 @@ def _ignored(name: str, ignore: tuple[str, ...]) -> bool:
 
 
 def dealt(rows: DataFrame, count: int, each: int) -> DataFrame:
-    """Rows of a ``path`` over as many tasks as they take, however few bytes they have."""
+    """Rows of a ``path`` over as many tasks as they take, however few bytes they have.
+
+    Beyond four times the tasks of a shuffle, a task has up to eight times as many rows, since each costs a start.
+    """
     least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(min(MOST_TASKS, max(least, -(-count // each))), "path")
+    parts = max(least, min(-(-count // each), 4 * least), -(-count // (8 * each)))
+    return rows.repartition(min(MOST_TASKS, parts), "path")
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """Rows that many tasks have made, in no more parts than a shuffle has: what they say of a file is small."""
+    return rows.coalesce(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def in_batches(rows: Iterator[tuple], kinds: dict[str, pa.DataType], weight: int) -> Iterator[pa.RecordBatch]:
+    """``rows`` as Arrow batches; the column at ``weight`` has what is large in them."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[weight] or b"")
+        if len(held) >= ROWS_AT_ONCE or size >= BYTES_AT_ONCE:
+            yield _batch(held, kinds)
+            held, size = [], 0
+    if held:
+        yield _batch(held, kinds)
+
+
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(zip(*rows), kinds.values())], names=list(kinds))
 
 
 def _entries(root: str, ignore: tuple[str, ...]):
@@ -85,8 +113,20 @@ def listing(spark: SparkSession, root: str, ignore: tuple[str, ...] | None = pat
     return found
 
 
-def _reader(root: str, content: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_READ = {"path": pa.string(), "type": pa.string(), "size": pa.int64(), "mtime": pa.int64(), "blob_id": pa.string(), "content": pa.binary()}
+
+
+def content_hash(full: str) -> str:
+    """The SHA-256 of a file, of which a piece is held."""
+    digest = hashlib.sha256()
+    with open(full, "rb", buffering=0) as f:
+        while piece := f.read(PIECE):
+            digest.update(piece)
+    return digest.hexdigest()
+
+
+def _reader(root: str, content: bool, hashed: bool):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 full = os.path.join(root, path)
@@ -95,22 +135,47 @@ def _reader(root: str, content: bool):
                     if content and stat.st_size > LARGEST_FILE:
                         raise ScanError(f"{path} has {stat.st_size} bytes, more than a row holds; read it in chunks")
                     data = Path(full).read_bytes() if content else None
+                    digest = hashlib.sha256(data).hexdigest() if content else content_hash(full) if hashed else None
                 except FileNotFoundError:
                     continue
-                row = (path, "file", stat.st_size, stat.st_mtime_ns // 1_000_000, hashlib.sha256(data).hexdigest() if data is not None else None, data)
-                kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["path", "type", "size", "mtime", "blob_id", "content"])
+                yield path, "file", stat.st_size, stat.st_mtime_ns // 1_000_000, digest, data
+
+    return lambda batches: in_batches(read(batches), _READ, 5)
 
-    return run
 
+def scan(spark: SparkSession, root: str, ignore: tuple[str, ...] | None = paths.DEFAULT_IGNORE, max_depth: int | None = None, content: bool = True, hashed: bool = False) -> DataFrame:
+    """Files and directories below ``root``, listed now and read when the result is; ``ignore`` None leaves nothing out.
 
-def scan(spark: SparkSession, root: str, ignore: tuple[str, ...] | None = paths.DEFAULT_IGNORE, max_depth: int | None = None, content: bool = True) -> DataFrame:
-    """Files and directories below ``root``, listed now and read when the result is; ``ignore`` None leaves nothing out."""
+    Without ``content`` files aren't opened, unless they are to be ``hashed``: then a file of any size has its blob id.
+    """
     found = listing(spark, root, ignore, max_depth)
     files = found.where("type = 'file'").select("path")
     none = {"size": "long", "mtime": "long", "blob_id": "string", "content": "binary"}
     dirs = found.where("type = 'directory'").select("path", "type", *(F.lit(None).cast(t).alias(n) for n, t in none.items()))
-    return dirs.unionByName(dealt(files, files.count(), TASK_FILES).mapInArrow(_reader(str(root), content), SCHEMA))
+    return dirs.unionByName(dealt(files, files.count(), TASK_FILES).mapInArrow(_reader(str(root), content, hashed), SCHEMA))
+
+
+def contents(files: DataFrame, root: str, stored: DataFrame) -> DataFrame:
+    """``blob_id``, ``content`` of the blobs of scanned ``files`` that ``stored`` lacks, each read from one of the files that hold it.
+
+    A content that isn't there any more, since its file has changed, is an error.
+    """
+    one = files.groupBy("blob_id").agg(F.min(F.struct("path", "size")).alias("at"))
+    lacking = one.join(stored.select("blob_id"), "blob_id", "left_anti").select("blob_id", "at.path", "at.size").checkpoint()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for blob_id, path, size in zip(*(batch.column(c).to_pylist() for c in ("blob_id", "path", "size"))):
+                if size > LARGEST_FILE:
+                    raise ScanError(f"{path} has {size} bytes, more than a row holds; read it in chunks")
+                data = Path(os.path.join(root, path)).read_bytes()
+                if hashlib.sha256(data).hexdigest() != blob_id:
+                    raise ScanError(f"{path} has changed since it was listed")
+                yield blob_id, data
+
+    parts = max(-(-(lacking.agg(F.sum("size")).first()[0] or 0) // (64 << 20)), int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kinds = {"blob_id": pa.string(), "content": pa.binary()}
+    return lacking.repartition(min(MOST_TASKS, parts), "path").mapInArrow(lambda batches: in_batches(read(batches), kinds, 1), "blob_id string, content binary")
 
 
 def all_files(spark: SparkSession, root: str) -> DataFrame:
@@ -159,20 +224,40 @@ def write_tree(tree: DataFrame, blobs: DataFrame, target: str, chunks: tuple[Dat
     Each file goes to a temporary name and is then moved, so a task that runs twice leaves the same file.  A file without
     a blob id and entries of another type are left out.  Blobs may also be in ``chunks``: their list and the chunks.
     """
+    checkpoint_dir(tree.sparkSession)
+    tree = tree.select("path", "type", "blob_id", "mtime").checkpoint()
     missing = missing_blobs(tree, blobs).select("path", "blob_id", "mtime")
     lost = (missing if chunks is None else missing.join(chunks[0].select("blob_id"), "blob_id", "left_anti")).select("path").take(1)
     if lost:
         raise RestoreError(f"no blob for {lost[0]['path']}")
-    os.makedirs(target, exist_ok=True)
-    tree.where("type = 'directory'").select("path").foreachPartition(lambda rows: [_make_dir(target, r["path"]) for r in rows])
+    make_dirs(tree.where("type = 'directory'").select("path"), target)
     files = tree.where("type = 'file' AND blob_id IS NOT NULL").select("path", "blob_id", "mtime").join(blobs.select("blob_id", "content"), "blob_id")
-    files.select("path", "mtime", "content").foreachPartition(lambda rows: [_write_file(target, r) for r in rows])
+    _write_files(files, target)
     if chunks is not None:
         from sylva.sources import chunks as chunked
 
         chunked.write(missing, *chunks, target)
 
 
+def make_dirs(dirs: DataFrame, target: str) -> None:
+    """Makes the directories ``path`` below ``target``."""
+    os.makedirs(target, exist_ok=True)
+    dirs.select("path").foreachPartition(lambda rows: [_make_dir(target, r["path"]) for r in rows])
+
+
+def _write_files(files: DataFrame, target: str, create_dirs: bool = True) -> None:
+    """Writes files (``path``, ``mtime``, ``content``), each by a task and in one move."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[str] = set()
+        for batch in batches:
+            for path, mtime, content in zip(*(batch.column(c) for c in ("path", "mtime", "content"))):
+                _write_file(target, {"path": path.as_py(), "mtime": mtime.as_py(), "content": content.as_py()}, create_dirs, known)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    files.select("path", "mtime", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()
+
+
 def write_partly(tree: DataFrame, blobs: DataFrame, target: str, chunks: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Writes what can be written of a tree; ``path``, ``error`` of what can't, each entry by itself."""
     os.makedirs(target, exist_ok=True)
@@ -218,16 +303,26 @@ def _make_dir(target: str, path: str) -> None:
         raise RestoreError(f"a file stands at or above {path}") from e
 
 
-def _write_file(target: str, row: Row, create_dirs: bool = True) -> None:
-    path = _inside(target, row["path"])
+def _write_file(target: str, row: Row | dict, create_dirs: bool = True, known: set[str] | None = None) -> None:
+    """``known``: directories that the same task has found inside the target, and so needn't look at again."""
+    clean = os.path.normpath(row["path"])
+    above = os.path.dirname(clean)
+    seen = known is not None and above in known
+    path = os.path.join(os.path.normpath(target), clean) if seen else _inside(target, row["path"])
     if os.path.isdir(path):
         raise RestoreError(f"a directory stands at {row['path']}")
-    if create_dirs:
-        _make_dir(target, os.path.dirname(row["path"]) or ".")
-    elif not os.path.isdir(os.path.dirname(path)):
-        raise RestoreError(f"there is no directory for {row['path']}")
+    if not seen:
+        if create_dirs:
+            _make_dir(target, os.path.dirname(row["path"]) or ".")
+        elif not os.path.isdir(os.path.dirname(path)):
+            raise RestoreError(f"there is no directory for {row['path']}")
+        if known is not None:
+            if len(known) >= KNOWN:
+                known.clear()
+            known.add(above)
     temporary = os.path.join(os.path.dirname(path), f".sylva-tmp-{os.getpid()}-{os.path.basename(path)}")
-    Path(temporary).write_bytes(bytes(row["content"]))
+    with open(temporary, "wb") as f:
+        f.write(row["content"])
     if row["mtime"] is not None:
         os.utime(temporary, ns=(row["mtime"] * 1_000_000,) * 2)
     os.replace(temporary, path)
@@ -282,7 +377,7 @@ def blobs_to_files(blobs: DataFrame, target: str, create_dirs: bool = True, pres
     mtime = F.col("mtime") if preserve_mtime and "mtime" in rows.columns else F.lit(None).cast("long")
     if create_dirs:
         os.makedirs(target, exist_ok=True)
-    rows.select("path", mtime.alias("mtime"), "content").foreachPartition(lambda part: [_write_file(target, r, create_dirs) for r in part])
+    _write_files(rows.select("path", mtime.alias("mtime"), "content"), target, create_dirs)
 
 
 def blob_to_file(blobs: DataFrame, blob_id: str, target: str, path: str, create_dirs: bool = True, mtime: int | None = None) -> None:

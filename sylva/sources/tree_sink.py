@@ -11,6 +11,8 @@
 
 Nothing of a failed job is seen: a task that fails, or runs twice, leaves only temporaries of its own, which abort or the
 next write removes.  Of several rows of one path, one is kept.  Times of change are set before files are moved.
+
+The driver goes through the lists row by row and holds a bounded number of rows and directories, whatever a job writes.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -32,8 +35,8 @@ from sylva.sources.directory import RestoreError
 
 SCHEMA = "path string, type string, mtime long, content binary"
 STAGING, _DECIDED = ".sylva-tmp-job-", "decided"
-#: Files that a commit moves at once.
-MOVES = 32
+#: Files that a commit moves at once, rows of the lists that it holds for each of these, and directories that it remembers.
+MOVES, MOVE_ROWS, KNOWN = 32, 128, 65_536
 
 
 @dataclass
@@ -63,9 +66,16 @@ class TreeWriter(DataSourceWriter):
         os.makedirs(self.staging)
 
     def write(self, iterator: Iterator[Row]) -> Written:
-        """Every attempt of a task has a folder of its own, so the one that is committed is whole."""
+        """Every attempt of a task has a folder of its own, so the one that is committed is whole; one that fails removes it."""
         own = os.path.join(self.staging, f"task-{uuid.uuid4().hex}")
         os.mkdir(own)
+        try:
+            return self._write(iterator, own)
+        except BaseException:
+            shutil.rmtree(own, ignore_errors=True)
+            raise
+
+    def _write(self, iterator: Iterator[Row], own: str) -> Written:
         manifest = f"{own}.json"
         with open(f"{manifest}.part", "w") as told:
             for k, row in enumerate(iterator):
@@ -87,14 +97,14 @@ class TreeWriter(DataSourceWriter):
         if self.overwrite:
             building, whole = os.path.join(self.staging, "building"), os.path.join(self.staging, "whole")
             os.makedirs(building)
-            _verify(self.staging, manifests, building)
+            _verify(self.staging, manifests, building, building)
             _place(self.staging, manifests, building)
             os.rename(building, whole)
             if os.path.lexists(self.target):
                 os.rename(self.target, os.path.join(self.staging, "old"))
             os.rename(whole, self.target)
         else:
-            _verify(self.staging, manifests, self.target)
+            _verify(self.staging, manifests, self.target, os.path.join(self.staging, "skeleton"))
             # from here on the job counts as done, and what is left of it is only to be finished
             part = os.path.join(self.staging, f"{_DECIDED}.part")
             with open(part, "w") as f:
@@ -118,42 +128,58 @@ def _entries(staging: str, manifests: list[str]) -> Iterator[tuple[str, str, str
             yield from map(json.loads, f)
 
 
-def _verify(staging: str, manifests: list[str], target: str) -> None:
-    """Whether everything can be placed, before anything is."""
-    root, dirs = os.path.realpath(target), {"."}
+def _above(kind: str, path: str) -> str:
+    return path if kind == "directory" else os.path.dirname(path) or "."
+
+
+def _verify(staging: str, manifests: list[str], target: str, skeleton: str) -> None:
+    """Whether everything can be placed, before anything is; leaves the directories of all rows in ``skeleton``."""
+    root, known = os.path.realpath(target), set()
+    os.makedirs(skeleton, exist_ok=True)
     for kind, path, _ in _entries(staging, manifests):
-        at = path if kind == "directory" else os.path.dirname(path) or "."
-        while at not in dirs:
+        at = _above(kind, path)
+        if at not in known:
+            os.makedirs(os.path.join(skeleton, at), exist_ok=True)
+        while at != "." and at not in known:
             full = os.path.join(target, at)
             if os.path.lexists(full):
                 if not os.path.isdir(full):
                     raise RestoreError(f"a file stands at or above {path}")
                 if not (os.path.realpath(full) + os.sep).startswith(root + os.sep):
                     raise RestoreError(f"{path} leaves the target")
-            dirs.add(at)
+            _remember(known, at)
             at = os.path.dirname(at) or "."
     for kind, path, _ in _entries(staging, manifests):
-        if kind == "file" and (path in dirs or os.path.isdir(os.path.join(target, path))):
+        if kind == "file" and any(os.path.isdir(os.path.join(top, path)) for top in {skeleton, target}):
             raise RestoreError(f"a directory stands at {path}")
 
 
+def _remember(known: set[str], directory: str) -> None:
+    if len(known) >= KNOWN:
+        known.clear()
+    known.add(directory)
+
+
 def _place(staging: str, manifests: list[str], target: str) -> None:
     """Makes the directories and moves the files of all tasks; may be done again, since what has been moved is passed over."""
-    made = set()
-    for kind, path, _ in _entries(staging, manifests):
-        at = path if kind == "directory" else os.path.dirname(path) or "."
-        if at not in made:
-            os.makedirs(os.path.join(target, at), exist_ok=True)
-            made.add(at)
+    made: set[str] = set()
 
-    def move(entry: tuple[str, str, str | None]) -> None:
-        source = os.path.join(staging, entry[2])
-        if os.path.exists(source):
-            os.replace(source, os.path.join(target, entry[1]))
+    def move(files: list[tuple[str, str, str | None]]) -> None:
+        for _, path, name in files:
+            source = os.path.join(staging, name)
+            if os.path.exists(source):
+                os.replace(source, os.path.join(target, path))
 
+    entries = _entries(staging, manifests)
     with ThreadPoolExecutor(MOVES) as pool:
-        for _ in pool.map(move, (e for e in _entries(staging, manifests) if e[0] == "file")):
-            pass
+        while held := list(islice(entries, MOVES * MOVE_ROWS)):
+            for kind, path, _ in held:
+                if (at := _above(kind, path)) not in made:
+                    os.makedirs(os.path.join(target, at), exist_ok=True)
+                    _remember(made, at)
+            files = [e for e in held if e[0] == "file"]
+            for _ in pool.map(move, (files[k::MOVES] for k in range(min(MOVES, len(files))))):
+                pass
 
 
 def recover(target: str) -> int:

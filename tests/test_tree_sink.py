@@ -134,3 +134,36 @@ def test_round_trip(spark, tmp_path):
     found = directory.scan(spark, str(source))
     tree_sink.write(found, found.where(F.col("type") == "file").select("blob_id", "content").dropDuplicates(["blob_id"]), str(target))
     assert listing(target) == listing(source)
+
+
+@pytest.mark.parametrize("overwrite", [False, True])
+def test_a_commit_holds_few_rows_of_the_lists(tmp_path, monkeypatch, overwrite):
+    target, n = tmp_path / "t", 2_000
+    target.mkdir()
+    monkeypatch.setattr(tree_sink, "MOVES", 4)
+    monkeypatch.setattr(tree_sink, "MOVE_ROWS", 10, raising=False)
+    monkeypatch.setattr(tree_sink, "KNOWN", 7, raising=False)
+    writer = tree_sink.TreeWriter({"path": str(target)}, overwrite)
+    message = writer.write(iter([{"path": f"d{k % 20}/e/f{k}", "type": "file", "mtime": None, "content": b"%d" % k} for k in range(n)]))
+    told, moved, ahead = tree_sink._entries, [], []
+
+    def entries(*of):
+        for k, entry in enumerate(told(*of)):
+            if moved:
+                ahead.append(k - len(moved))
+            yield entry
+
+    replace = os.replace
+    monkeypatch.setattr(tree_sink, "_entries", entries)
+    monkeypatch.setattr(tree_sink.os, "replace", lambda a, b: (moved.append(b), replace(a, b)))
+    writer.commit([message])
+    assert listing(target) == {**{f"d{k}": None for k in range(20)}, **{f"d{k}/e": None for k in range(20)}, **{f"d{k % 20}/e/f{k}": b"%d" % k for k in range(n)}}
+    assert max(ahead) <= 100
+
+
+def test_an_attempt_that_fails_leaves_no_files(tmp_path):
+    (tmp_path / "t").mkdir()
+    writer = tree_sink.TreeWriter({"path": str(tmp_path / "t")}, False)
+    with pytest.raises(Exception, match="leaves the target"):
+        writer.write(iter([{"path": p, "type": "file", "mtime": None, "content": b"1"} for p in ("a", "b", "../c")]))
+    assert [p for p in (tmp_path / "t").rglob("*") if p.is_file() and p.suffix != ".part"] == []
