@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sylva.functions import paths
 from sylva.operators import resolve
 from sylva.operators.ordering import mounted, shared_folder
-from sylva.operators.scratch import release
+from sylva.operators.scratch import release, scratch
 from sylva.plans.catalogue import query
 from sylva.plans.fixtures import table
 from sylva.sources import directory, directory_stream, tree_sink
@@ -68,9 +68,11 @@ def fs_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fs_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scanned, stored, fetched by the root's hash, written to a second directory, and scanned there."""
     store, target = Store(spark, shared_folder(spark, "store")), _folder(spark, "copy")
-    ref, _ = store.put(directory.scan(spark, _write(spark, sf_dir, "source")), "workTree")
-    store.load(ref, target)
-    return directory.scan(spark, target).select(*_SEEN)
+    with scratch(spark):  # the first directory goes once it is stored
+        ref, _ = store.put_files(_write(spark, sf_dir, "source"), "workTree")
+    with scratch(spark):
+        store.load(ref, target)
+    return _seen(spark, target)
 
 
 @query

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from sylva.functions import paths
 from sylva.operators import history as revisions
 from sylva.operators import nodes as tree_nodes
+from sylva.operators.ordering import checkpoint_dir
 from sylva.sources import chunks as chunked
+from sylva.sources import directory
 
 NODES = "hash string, path string, name string, type string, is_parent boolean, n_children long, size long, blob_id string, mtime long"
 EDGES = "parent_hash string, hash string, pos long"
@@ -157,7 +159,22 @@ class Store:
         files = entries.where("type = 'file'")
         stored = self.blobs.select("blob_id")
         files.select("blob_id", "content").dropDuplicates(["blob_id"]).join(stored, "blob_id", "left_anti").write.mode("append").parquet(f"{self.path}/blobs")
-        ref = self._put_nodes(files, entries.where("type = 'directory'").select("path"))
+        checkpoint_dir(self.spark)
+        # kept without contents, as entries may be read from their files each time they are asked for
+        known = entries.select("path", "type", "blob_id", "size", "mtime").checkpoint()
+        ref = self._put_nodes(known.where("type = 'file'"), known.where("type = 'directory'").select("path"))
+        return ref, self.add_revision(tree, ref, previous, origin, client_ts)
+
+    def put_files(self, root: str, tree: str, previous: list[str] | None = None, origin: str | None = None, client_ts: int | None = None, ignore: tuple[str, ...] | None = paths.DEFAULT_IGNORE) -> tuple[str, str]:
+        """Stores a directory, a row for each different content: its ref and the revision's id.
+
+        Contents are read once to be told apart, and new ones once more to be stored; they aren't shuffled.
+        """
+        check_key(tree)
+        found = directory.gathered(directory.scan(self.spark, root, ignore, content=False, hashed=True).drop("content").checkpoint())
+        files = found.where("type = 'file'")
+        directory.contents(files, root, self.blobs).write.mode("append").parquet(f"{self.path}/blobs")
+        ref = self._put_nodes(files, found.where("type = 'directory'").select("path"))
         return ref, self.add_revision(tree, ref, previous, origin, client_ts)
 
     def put_directory(self, root: str, tree: str, previous: list[str] | None = None, origin: str | None = None, client_ts: int | None = None, ignore: tuple[str, ...] | None = paths.DEFAULT_IGNORE, sizes: chunked.Sizes = chunked.Sizes()) -> tuple[str, str]:
@@ -195,8 +212,6 @@ class Store:
 
     def load(self, ref: str, target: str, clean: bool = False) -> None:
         """Writes a stored tree to a directory."""
-        from sylva.sources import directory
-
         tree = self.get(ref).where(F.col("path") != paths.ROOT)
         directory.restore(self.spark, tree, self.blobs, target, clean, chunks=(self.blob_chunks, self.chunks))
 
@@ -206,8 +221,6 @@ class Store:
         These are nodes that an edge names but that aren't stored, files whose content isn't, and files that can't be
         written, each with its reason.
         """
-        from sylva.sources import directory
-
         tree = self.get(ref).checkpoint()
         hashes = tree.select(F.col("hash").alias("parent_hash"), F.col("path").alias("above"))
         named = self.edges.join(hashes, "parent_hash").select("hash", "above").distinct()
