@@ -11,12 +11,15 @@ what changed meanwhile is in the next one: no change is lost, and none is given
 Snapshots older than the last committed one are removed.
 
 Every batch lists the whole directory, so a change that no notice was given of (drift) is found as well.  Down to
-``splitDepth`` directories each slice lists all names, and takes those entries that fall to it by a hash; what lies
-below is dealt by its directory at that depth, so neither a flat directory nor a deep one is a single task.
+``splitDepth`` directories the names fall to slices by a hash; what lies below is dealt by its directory at that depth, so
+neither a flat directory nor a deep one is a single task.  A directory of many names that all slices need is
+listed by the first of them, which leaves each slice's names with the snapshot; slices begin at different directories,
+so they share this work.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import os
@@ -24,19 +27,20 @@ import shutil
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from pathlib import Path
+from itertools import chain, islice
+from stat import S_ISREG
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from sylva.functions import paths
 from sylva.operators.ordering import mounted
-from sylva.sources.directory import ScanError
+from sylva.sources.directory import ScanError, content_hash
 
 SCHEMA = "step long, ts timestamp, path string, change string"
 SLICES, SPLIT_DEPTH = 32, 2
-#: Bytes of a file that are held at once while it is hashed.
-PIECE = 1 << 20
+#: Names of a directory that every slice may list for itself.
+FEW = 1_000
 
 
 @dataclass
@@ -98,6 +102,34 @@ class Snapshots:
             if os.path.exists(temporary):
                 os.remove(temporary)
 
+    def names(self, number: int, directory: str, slices: int, part: int, listed: Iterator[tuple[int, str, str]]) -> tuple[list[tuple[str, str]], list[str]]:
+        """Of a ``directory``, the names (with their kinds) that fall to a slice, and all directories.
+
+        ``listed`` (slice, name, kind) is asked by whoever comes first, and what it says of many names is kept with the
+        snapshot for the other slices; of two that list a directory at once the first to end wins.
+        """
+        folder = os.path.join(self.state, str(number), f"names-{hashlib.blake2b(directory.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}")
+        if not os.path.isdir(folder):
+            few = list(islice(listed, FEW + 1))
+            if len(few) <= FEW:
+                return [n[1:] for n in few if n[0] == part], [n[1] for n in few if n[2] == "directory"]
+            temporary = f"{folder}.{uuid.uuid4().hex}"
+            os.makedirs(temporary)
+            try:
+                with contextlib.ExitStack() as files:
+                    to = {k: files.enter_context(open(os.path.join(temporary, str(k)), "w")) for k in ("dirs", *range(slices))}
+                    for k, name, kind in chain(few, listed):
+                        to[k].write(json.dumps([name, kind]) + "\n")
+                        if kind == "directory":
+                            to["dirs"].write(json.dumps(name) + "\n")
+                os.rename(temporary, folder)
+            except OSError:
+                shutil.rmtree(temporary, ignore_errors=True)
+                if not os.path.isdir(folder):
+                    raise
+        with open(os.path.join(folder, str(part))) as own, open(os.path.join(folder, "dirs")) as dirs:
+            return [tuple(json.loads(line)) for line in own], [json.loads(line) for line in dirs]
+
     def drop_before(self, number: int) -> None:
         for n in self.numbers():
             if n < number:
@@ -138,7 +170,7 @@ class DirectoryChanges(DataSourceStreamReader):
             raise ScanError(f"snapshot {partition.start} is gone from {self.snapshots.state}")
         now = self.snapshots.read(partition.end, partition.number)
         if now is None:
-            self.snapshots.write(partition.end, partition.number, self.listing(partition.number))
+            self.snapshots.write(partition.end, partition.number, self.listing(partition.number, partition.end))
             now = self.snapshots.read(partition.end, partition.number) or {}
         at = datetime.now(UTC).replace(tzinfo=None)
         for path, told in now.items():
@@ -148,41 +180,64 @@ class DirectoryChanges(DataSourceStreamReader):
             if path not in now:
                 yield partition.end, at, path, "deleted"
 
-    def listing(self, number: int) -> Iterator[tuple[str, str]]:
-        """The entries of a slice and what tells their content."""
-        yield from self._listed(self.root, "", 1, number)
+    def listing(self, number: int, snapshot: int) -> Iterator[tuple[str, str]]:
+        """The entries of a slice of a ``snapshot`` and what tells their content."""
+        waiting = [("", 1)]
+        while waiting:
+            above, depth = waiting.pop(0)
+            own, dirs = self.snapshots.names(snapshot, above, self.slices, number, self._dealt(above))
+            for name, kind in own:
+                path = above + name
+                if kind == "directory":
+                    yield path, paths.DIR_MARKER
+                    if depth >= self.split_depth:
+                        yield from self._below(path)
+                else:
+                    yield from self._told(path)
+            if depth < self.split_depth:
+                below = sorted(f"{above}{name}/" for name in dirs)
+                first = len(below) * number // self.slices  # slices begin at different ones
+                waiting += [(d, depth + 1) for d in below[first:] + below[:first]]
+
+    def _dealt(self, above: str) -> Iterator[tuple[int, str, str]]:
+        for name, kind in self._names(above):
+            yield _slice_of(above + name, self.slices), name, kind
+
+    def _names(self, above: str) -> Iterator[tuple[str, str]]:
+        try:
+            with os.scandir(os.path.join(self.root, above)) as entries:
+                for e in entries:
+                    if e.name.startswith(self.ignore) or e.is_symlink():
+                        continue
+                    if e.is_dir(follow_symlinks=False):
+                        yield e.name, "directory"
+                    elif e.is_file(follow_symlinks=False):
+                        yield e.name, "file"
+        except (FileNotFoundError, NotADirectoryError):  # gone since it was listed: told by what isn't there
+            return
 
-    def _listed(self, directory: str, above: str, depth: int, number: int | None) -> Iterator[tuple[str, str]]:
-        """``number`` None: the whole subtree belongs to the slice."""
+    def _below(self, directory: str) -> Iterator[tuple[str, str]]:
+        """The whole subtree of a directory that belongs to the slice."""
+        dirs = []
+        for name, kind in self._names(f"{directory}/"):
+            path = f"{directory}/{name}"
+            if kind == "directory":
+                yield path, paths.DIR_MARKER
+                dirs.append(path)
+            else:
+                yield from self._told(path)
+        for path in dirs:
+            yield from self._below(path)
+
+    def _told(self, path: str) -> Iterator[tuple[str, str]]:
+        full = os.path.join(self.root, path)
         try:
-            entries = sorted(os.scandir(directory), key=lambda e: e.name)
-        except FileNotFoundError:  # gone since it was listed: told by what isn't there
+            stat = os.lstat(full)
+            # what has become something else since it was listed is in the next snapshot
+            if S_ISREG(stat.st_mode):
+                yield path, content_hash(full) if self.content else f"{stat.st_size}/{stat.st_mtime_ns}"
+        except (FileNotFoundError, NotADirectoryError):
             return
-        for entry in entries:
-            if any(entry.name.startswith(p) for p in self.ignore) or entry.is_symlink():
-                continue
-            path = above + entry.name
-            own = number is None or _slice_of(path, self.slices) == number
-            if entry.is_dir(follow_symlinks=False):
-                if own:
-                    yield path, paths.DIR_MARKER
-                if depth < self.split_depth and number is not None:
-                    yield from self._listed(entry.path, f"{path}/", depth + 1, number)
-                elif own:
-                    yield from self._listed(entry.path, f"{path}/", depth + 1, None)
-            elif own and entry.is_file(follow_symlinks=False):
-                try:
-                    yield path, _content_hash(entry.path) if self.content else "{0.st_size}/{0.st_mtime_ns}".format(entry.stat(follow_symlinks=False))
-                except FileNotFoundError:
-                    continue
-
-
-def _content_hash(path: str) -> str:
-    digest = hashlib.sha256()
-    with Path(path).open("rb") as f:
-        while piece := f.read(PIECE):
-            digest.update(piece)
-    return digest.hexdigest()
 
 
 class DirectoryChangesSource(DataSource):

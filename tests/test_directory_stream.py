@@ -119,3 +119,48 @@ def test_watch_on_a_timer(spark, tmp_path):
         query.stop()
     assert told(watch.latest().collect()) == [("a", "deleted"), ("b", "added")]
     assert len(watch.written().where("path = 'a'").collect()) == 2
+
+
+def test_slices_share_the_listing_of_a_large_directory(tmp_path, monkeypatch):
+    root = tmp_path / "root"
+    for k in range(60):
+        path = root / f"d{k % 3}"
+        path.mkdir(parents=True, exist_ok=True)
+        (path / f"f{k}").write_text(str(k))
+    (root / "d0" / "below").mkdir()
+    (root / "d0" / "below" / "x").write_text("x")
+    monkeypatch.setattr(directory_stream, "FEW", 10, raising=False)
+    scandir, listed = os.scandir, []
+    monkeypatch.setattr(directory_stream.os, "scandir", lambda d: (listed.append(os.path.relpath(d, root)), scandir(d))[1])
+    reader = DirectoryChanges({"path": str(root), "state": str(tmp_path / "state"), "slices": "8"})
+    end = reader.latestOffset()
+    rows = [r[2] for p in reader.partitions({"snapshot": 0}, end) for r in reader.read(p)]
+    assert sorted(rows) == sorted(str(p.relative_to(root)) for p in root.rglob("*"))
+    assert [listed.count(d) for d in ("d0", "d1", "d2", "d0/below")] == [1, 1, 1, 1]
+    # what is kept of the names goes with the snapshot
+    monkeypatch.undo()
+    reader.commit(reader.latestOffset())
+    assert not (tmp_path / "state" / str(end["snapshot"])).exists()
+
+
+def test_what_has_become_something_else_since_it_was_listed(tmp_path, monkeypatch):
+    root = tmp_path / "root"
+    (root / "d").mkdir(parents=True)
+    for k in range(4):
+        (root / f"f{k}").write_text(str(k))
+    monkeypatch.setattr(directory_stream, "FEW", 0, raising=False)
+    reader = DirectoryChanges({"path": str(root), "state": str(tmp_path / "state"), "slices": "4"})
+    end = reader.latestOffset()
+    reader.snapshots.names(end["snapshot"], "", 4, 0, reader._dealt(""))  # as another slice has left them
+    (root / "f0").unlink()
+    (root / "f1").unlink()
+    (root / "f1").mkdir()
+    (root / "f2").unlink()
+    os.symlink(root / "f3", root / "f2")
+    (root / "d").rmdir()
+    (root / "d").write_text("now a file")
+    rows = [r[2] for p in reader.partitions({"snapshot": 0}, end) for r in reader.read(p)]
+    assert sorted(rows) == ["d", "f3"]
+    later = reader.latestOffset()
+    rows = {(r[2], r[3]) for p in reader.partitions(end, later) for r in reader.read(p)}
+    assert rows == {("d", "modified"), ("f1", "added")}
