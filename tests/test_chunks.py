@@ -5,6 +5,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,32 @@ def test_an_insertion_moves_few_borders():
         Sizes(8, 16, 32)
 
 
+def test_files_cut_together_have_the_chunks_of_each_by_itself(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    files = [rng.randbytes(n) for n in (0, 1, 64, 5_000, 0, 20_000, 31, 1_024)] + [b"\0" * 3_000, b""]
+    assert list(chunks.cut_together(files, SMALL)) == [brute_cut(f, SMALL) for f in files]
+    # in batches of many files and chunks, a file of any size among them
+    monkeypatch.setattr(chunks, "TOGETHER", 10_000)
+    for k, f in enumerate(files):
+        (tmp_path / f"f{k}").write_bytes(f)
+    batches = list(chunks._described(str(tmp_path), SMALL)(iter([pa.RecordBatch.from_pydict({"path": [*(f"f{k}" for k in range(len(files))), "gone"]})])))
+    rows = {r["path"]: r for b in batches for r in b.to_pylist()}
+    assert len(rows) == len(files) and len(batches) < 5
+    for k, f in enumerate(files):
+        of = rows[f"f{k}"]
+        assert (of["size"], of["blob_id"]) == (len(f), hashlib.sha256(f).hexdigest())
+        assert [f[c["start"] : c["start"] + c["size"]] for c in of["chunks"]] == (brute_cut(f, SMALL) or [b""])
+        assert [c["chunk_id"] for c in of["chunks"]] == [hashlib.sha256(f[c["start"] : c["start"] + c["size"]]).hexdigest() for c in of["chunks"]]
+
+
+def test_small_contents_travel_in_batches_of_many():
+    kinds = {"id": pa.string(), "content": pa.binary()}
+    batches = list(directory.in_batches(((str(k), b"x" * 300) for k in range(5_000)), kinds, 1))
+    assert len(batches) <= 10 and [r["id"] for b in batches for r in b.to_pylist()] == [str(k) for k in range(5_000)]
+    large = list(directory.in_batches(((str(k), b"x" * directory.BYTES_AT_ONCE) for k in range(3)), kinds, 1))
+    assert [b.num_rows for b in large] == [1, 1, 1]
+
+
 def test_a_large_file_is_stored_once_and_restored(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(directory, "LARGEST_FILE", 10_000)
     source, target = tmp_path / "source", tmp_path / "target"
