@@ -223,8 +223,10 @@ def transactional_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_through(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tree that a peer holds, read through a local store and, from that alone, once more."""
     peer, local = Store(spark, shared_folder(spark, "peer")), Store(spark, shared_folder(spark, "local"))
-    ref, _ = peer.put_directory(_write(spark, sf_dir, "source"), "workTree", sizes=Sizes(64, 256, 1024))
-    read_through(local, peer, ref)
+    with scratch(spark):  # the directory goes once the peer holds it
+        ref, _ = peer.put_directory(_write(spark, sf_dir, "source"), "workTree", sizes=Sizes(64, 256, 1024))
+    with scratch(spark):
+        read_through(local, peer, ref)
     unreachable = Store(spark, shared_folder(spark, "no-such-peer"))
     tree = read_through(local, unreachable, ref).where(F.col("path") != paths.ROOT)
     held = local.blob_chunks.join(local.chunks.select("chunk_id"), "chunk_id").groupBy("blob_id").agg(F.sum("size").alias("bytes"))

@@ -15,7 +15,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["chunked_roundtrip", "fs_roundtrip"])
+@pytest.mark.parametrize("name", ["chunked_roundtrip", "fs_roundtrip", "write_through"])
 def test_the_first_directory_goes_once_it_is_stored(spark, tmp_path, name):
     context = spark.sparkContext
     above = context.getCheckpointDir()
